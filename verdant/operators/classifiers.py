@@ -73,7 +73,7 @@ def predict_naive_bayes(weights: DataFrame, docs: DataFrame, log_prob: DataFrame
                   .join(sums, ["doc_id", "class"], "left")
                   .withColumn("_score", F.col("prior") + F.coalesce("_s", F.lit(0.0))))
     pos = classes.index(1) if set(classes) == {0, 1} else None
-    agg = [F.max_by("class", F.struct(F.col("_score"), -F.col("class"))).alias("y_pred"),
+    agg = [F.min_by("class", F.struct(-F.col("_score"), F.col("class"))).alias("y_pred"),
            F.max("_score").alias("_m"),
            F.collect_list(F.struct("class", "_score")).alias("_all")]
     out = scored.groupBy(*keep).agg(*agg)
@@ -82,7 +82,8 @@ def predict_naive_bayes(weights: DataFrame, docs: DataFrame, log_prob: DataFrame
         target = F.filter("_all", lambda s: s["class"] == F.lit(1))[0]["_score"]
     else:
         target = F.col("_m")
-    return out.select(*keep, F.col("y_pred").cast("int").alias("y_pred"), F.exp(target - lse).alias("prob"))
+    y = F.col("y_pred").cast("int") if pos is not None else F.col("y_pred")
+    return out.select(*keep, y.alias("y_pred"), F.exp(target - lse).alias("prob"))
 
 
 # ------------------------------------------------------------- vector features

@@ -20,11 +20,11 @@ from ..functions.math import argmax, class_from_prob, softmax_at
 from ..functions.text import preview
 
 
-def batch_logits_udf(make_predict_fn: Callable, n_outputs: int, batch_size: int = 16):
+def batch_logits_udf(make_predict_fn: Callable, n_outputs: int, batch_size: int = 16, input_dim: int | None = None):
     """C9: ``make_predict_fn() -> (np.ndarray[batch, d] -> np.ndarray[batch, n_outputs])``
     wrapped as an Arrow-batched UDF; the model is built once per Python worker."""
     return predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
-                             input_tensor_shapes=None)
+                             input_tensor_shapes=[[input_dim]] if input_dim else None)
 
 
 def linear_model_fn(weights: np.ndarray, bias: np.ndarray | None = None) -> Callable:

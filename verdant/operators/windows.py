@@ -37,13 +37,13 @@ def segmented_running_max(df: DataFrame, key: str, order_col: str, value: Column
     """Running maximum of ``value`` per ``key`` along ``order_col``; rows before
     the current one only unless ``include_current``.  NULL when empty."""
     seg_expr = segment if segment is not None else F.floor(F.col(order_col) / F.lit(EPOCHS_PER_SEGMENT))
-    seg = df.withColumn("_seg", seg_expr).withColumn("_v", value)
-    seg_max = seg.groupBy(key, "_seg").agg(F.max("_v").alias("_segmax"))
+    seg = df.withColumn("_seg", seg_expr).withColumn("_rv", value)
+    seg_max = seg.groupBy(key, "_seg").agg(F.max("_rv").alias("_segmax"))
     before = Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     prefix = seg_max.select(key, "_seg", F.max("_segmax").over(before).alias("_prefix"))
     end = 0 if include_current else -1
     within = Window.partitionBy(key, "_seg").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    run = seg.withColumn("_in", F.max("_v").over(within))
+    run = seg.withColumn("_in", F.max("_rv").over(within))
     return (run.join(prefix, [key, "_seg"])
                .withColumn(out_col, F.greatest(F.col("_prefix"), F.col("_in")))
-               .drop("_seg", "_v", "_in", "_prefix"))
+               .drop("_seg", "_rv", "_in", "_prefix"))

@@ -29,7 +29,7 @@ from ..sources import emissions as EM
 from ..sources import reviews as RV
 from ..sources import sinks as K
 from ..sources import tables as TB
-from ..session import by_doc, scratch_path
+from ..session import by_doc, scratch_path, ship_package
 from . import oracle as O
 from .classic import Prepared, nb_scores, prepare
 
@@ -414,6 +414,7 @@ def q_encode_dynamic(spark, sf):
 @query("encode_udf", W("SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: length(w)), ' ') AS ids "
                        "FROM documents", ["doc_id", "ids"]))
 def q_encode_udf(spark, sf):
+    ship_package(spark)
     enc = SC.encode_udf(SC.word_length_tokenizer)
     d = TB.table(spark, sf, "documents")
     return d.select("doc_id", F.array_join(enc(F.col("text")), " ").alias("ids"))
@@ -509,7 +510,8 @@ _LOGITS_SQL = (f"lg AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], {_w
 @query("score_batch", W(f"WITH {_LOGITS_SQL} SELECT vec_id, l0 AS logit0, l1 AS logit1 FROM lg",
                         ["vec_id", "logit0", "logit1"], {"logit0", "logit1"}))
 def q_score_batch(spark, sf):
-    udf = SC.batch_logits_udf(SC.linear_model_fn(_fixed_weights()), 2, batch_size=16)
+    ship_package(spark)
+    udf = SC.batch_logits_udf(SC.linear_model_fn(_fixed_weights()), 2, batch_size=16, input_dim=64)
     emb = TB.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     out = emb.withColumn("logits", udf("x"))
     return out.select("vec_id", F.col("logits")[0].alias("logit0"), F.col("logits")[1].alias("logit1"))
@@ -663,7 +665,7 @@ def _f1_sql(split, models):
 
 def _vote_sql(models, weight_split, split, op):
     ml = ", ".join(f"'{m}'" for m in models)
-    order = "CASE model " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(models)) + " END"
+    order = "CASE s.model " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(models)) + " END"
     return (_S + _f1_sql(weight_split, models) +
             f", v AS (SELECT s.split, s.doc_id, arg_min(s.y_true, {order}) AS y_true, sum(w.f1 * s.prob) / sum(w.f1) AS prob "
             f"FROM scores s JOIN wts w ON s.model = w.model WHERE s.split = '{split}' AND s.model IN ({ml}) GROUP BY s.split, s.doc_id) "

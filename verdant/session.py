@@ -26,6 +26,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("VERDANT_DRIVER_MEMORY", "16g"))
     )
     if master:
@@ -79,3 +80,20 @@ def by_doc(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, key)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (needed by the
+    Arrow-batched UDFs): zip it once and add it like ``--py-files``."""
+    key = id(spark.sparkContext)
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="verdant-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "verdant"), "zip", os.path.dirname(pkg_dir), "verdant")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(key)
