@@ -59,7 +59,9 @@ def doc_terms(df: DataFrame, text_col: str = "text", ngram_max: int = 2,
     ``session.by_doc``) the grouped count runs without a shuffle.
     """
     grams = with_ngrams(df.select(*keep, text_col), text_col, ngram_max)
-    return (grams.select(*keep, F.explode("_terms").alias("term"))
+    # explode_outer: an inner explode makes the optimizer add a size() > 0
+    # filter that evaluates the whole tokenizer a second time
+    return (grams.select(*keep, F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
                  .groupBy(*keep, "term").agg(F.count(F.lit(1)).cast("long").alias("tf")))
 
 
@@ -110,7 +112,8 @@ def fit_word_index(train: DataFrame, text_col: str = "text", with_oov: bool = Tr
     range partitioning, not in a single task."""
     from ..functions.text import OOV_TOKEN
 
-    counts = (train.select(F.explode(sequence_words(F.col(text_col))).alias("word"))
+    counts = (train.select(F.explode_outer(sequence_words(F.col(text_col))).alias("word"))
+                   .where(F.col("word").isNotNull())
                    .groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("count")))
     start = 2 if with_oov else 1
     ranked = _global_rank(counts, [F.col("count").desc(), F.col("word").asc()], "id", start)
@@ -154,7 +157,8 @@ def text_to_ids(df: DataFrame, word_index: DataFrame, num_words: int | None = No
     """Word ids per row in text order; unknown words and ids >= num_words
     become ``oov_id``."""
     others = [c for c in df.columns if c != text_col]
-    pieces = df.select("doc_id", F.posexplode(sequence_words(F.col(text_col))).alias("pos", "word"))
+    pieces = (df.select("doc_id", F.posexplode_outer(sequence_words(F.col(text_col))).alias("pos", "word"))
+                .where(F.col("word").isNotNull()))
     idx = word_index.select("word", "id")
     if num_words is not None and num_words > 0:
         idx = idx.where(F.col("id") < num_words)

@@ -119,15 +119,16 @@ def assign_segments(df: DataFrame, id_col: str, strata_col: str | None, seed: in
     wb = Window.partitionBy(strat).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_cum", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
 
-    # The bucket containing rank p (0-based) of each cut.
-    located = (hist.join(F.broadcast(cuts), _null_safe_on(hist, cuts, strat))
-                   .where((hist["_cum"] <= cuts["p"]) & (cuts["p"] < hist["_cum"] + hist["_n"]))
-                   .select(hist[strat], cuts["j"], cuts["p"], hist["_b"], hist["_cum"]))
-    cut_arrays = located.groupBy(strat).agg(
-        F.collect_list(F.struct("_b", "p", "_cum")).alias("_cuts"))
-
-    joined = keyed.join(F.broadcast(cut_arrays), on=strat, how="left") if strata_col is None else \
-        keyed.join(F.broadcast(cut_arrays), _null_safe_on(keyed, cut_arrays, strat), "left").drop(cut_arrays[strat])
+    # The bucket containing rank p (0-based) of each cut.  Stratum columns are
+    # renamed before each join: all sides derive from the same input, and
+    # self-join column references would be ambiguous.
+    cuts_r = cuts.withColumnRenamed(strat, "_cs")
+    located = (hist.join(F.broadcast(cuts_r), hist[strat].eqNullSafe(cuts_r["_cs"]))
+                   .where((F.col("_cum") <= F.col("p")) & (F.col("p") < F.col("_cum") + F.col("_n")))
+                   .select(F.col("_cs"), "j", "p", "_b", "_cum"))
+    cut_arrays = located.groupBy("_cs").agg(F.collect_list(F.struct("_b", "p", "_cum")).alias("_cuts"))
+    joined = (keyed.join(F.broadcast(cut_arrays), keyed[strat].eqNullSafe(cut_arrays["_cs"]), "left")
+                   .drop("_cs"))
     cuts_col = F.coalesce(F.col("_cuts"), F.array().cast("array<struct<_b:string,p:bigint,_cum:bigint>>"))
     joined = joined.withColumn("_cuts", cuts_col)
     is_boundary = F.exists("_cuts", lambda c: c["_b"] == F.col("_b"))

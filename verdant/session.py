@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,7 +62,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     survives the loss of executors, unlike a local checkpoint.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    # persist first: the checkpoint write then reads the computed partitions
+    # instead of running the plan a second time
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=eager)
+    if eager:
+        cached.unpersist()
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
