@@ -61,29 +61,35 @@ def fit_naive_bayes(train_weights: DataFrame, train_docs: DataFrame, vocab: Data
 
 def predict_naive_bayes(weights: DataFrame, docs: DataFrame, log_prob: DataFrame, prior: DataFrame,
                         classes: Sequence, max_features: int | None, keep=("doc_id", "label")) -> DataFrame:
-    """(keep..., y_pred, prob): argmax of prior + sum(weight * flp), first class
-    on ties; prob = posterior of class 1 (binary) or of the predicted class."""
-    classes = list(classes)
+    """(keep..., y_pred, prob): argmax of prior + sum(weight * flp), first
+    (smallest) class on ties; prob = posterior of class 1 (binary) or of the
+    predicted class.
+
+    Plan: the (term, class) table is bounded by vocabulary x classes and is
+    broadcast; per-(document, class) sums and the per-document map of class
+    sums are aggregated on ``doc_id``, so when ``weights`` and ``docs`` are
+    hash-partitioned by ``doc_id`` (``session.by_doc``) scoring runs without
+    any shuffle.  Class scores are then built inside each row from the k
+    priors (one value per class, read once).
+    """
+    classes = sorted(classes)
     lp = log_prob if max_features is None or max_features * len(classes) > MAX_BROADCAST_TERMS \
         else F.broadcast(log_prob)
+    priors = {r["class"]: r["prior"] for r in prior.collect()}
     sums = (weights.select("doc_id", "term", "weight").join(lp, "term")
-                   .groupBy("doc_id", "class").agg(F.sum(F.col("weight") * F.col("flp")).alias("_s")))
-    grid = docs.select(*keep).withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
-    scored = (grid.join(F.broadcast(prior), "class")
-                  .join(sums, ["doc_id", "class"], "left")
-                  .withColumn("_score", F.col("prior") + F.coalesce("_s", F.lit(0.0))))
-    pos = classes.index(1) if set(classes) == {0, 1} else None
-    agg = [F.min_by("class", F.struct(-F.col("_score"), F.col("class"))).alias("y_pred"),
-           F.max("_score").alias("_m"),
-           F.collect_list(F.struct("class", "_score")).alias("_all")]
-    out = scored.groupBy(*keep).agg(*agg)
-    lse = F.col("_m") + F.log(F.aggregate("_all", F.lit(0.0), lambda a, s: a + F.exp(s["_score"] - F.col("_m"))))
-    if pos is not None:
-        target = F.filter("_all", lambda s: s["class"] == F.lit(1))[0]["_score"]
-    else:
-        target = F.col("_m")
-    y = F.col("y_pred").cast("int") if pos is not None else F.col("y_pred")
-    return out.select(*keep, y.alias("y_pred"), F.exp(target - lse).alias("prob"))
+                   .groupBy("doc_id", "class").agg(F.sum(F.col("weight") * F.col("flp")).alias("_s"))
+                   .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("class", "_s"))).alias("_m")))
+    scored = docs.select(*keep).join(sums, "doc_id", "left")
+    score_cols = [F.lit(float(priors.get(c, float("-inf")))) + F.coalesce(F.col("_m")[F.lit(c)], F.lit(0.0))
+                  for c in classes]
+    scored = scored.withColumn("_sc", F.array(*score_cols))
+    best = F.array_position(F.col("_sc"), F.array_max("_sc")).cast("int")
+    y = F.element_at(F.array(*[F.lit(c) for c in classes]), best)
+    m = F.array_max("_sc")
+    lse = m + F.log(F.aggregate("_sc", F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    target = F.col("_sc")[classes.index(1)] if set(classes) == {0, 1} else m
+    yc = y.cast("int") if set(classes) == {0, 1} else y
+    return scored.select(*keep, yc.alias("y_pred"), F.exp(target - lse).alias("prob"))
 
 
 # ------------------------------------------------------------- vector features
