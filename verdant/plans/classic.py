@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +41,21 @@ def prepare(reviews: DataFrame, seed: int = 42, max_features: int | None = 50000
     if materialize:
         split = cut_lineage(split)
     terms = T.doc_terms(split, ngram_max=ngram_max, keep=("doc_id", "label", "split"))
+    if materialize:
+        # read twice (vocabulary, then weights): tokenise once
+        terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
     train_terms = terms.where(F.col("split") == "train")
-    n_train = split.where(F.col("split") == "train").count()
+    # class list and training size in one small aggregate (one row per class)
+    per_class = split.where(F.col("split") == "train").groupBy("label").count().collect()
+    classes = sorted(r["label"] for r in per_class)
+    n_train = sum(r["count"] for r in per_class)
     vocab = T.fit_vocabulary(train_terms, max_features, n_train)
     if materialize:
         vocab = cut_lineage(vocab)
     weights = T.tfidf(terms, vocab, max_features, keep=("doc_id", "label", "split"))
     if materialize:
         weights = cut_lineage(weights)
-    # class list: one value per class, read once (bounded by the label set)
-    classes = sorted(r[0] for r in split.where(F.col("split") == "train").select("label").distinct().collect())
+        terms.unpersist()
     return Prepared(split, vocab, weights, classes, max_features, ngram_max)
 
 
