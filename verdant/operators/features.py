@@ -140,9 +140,13 @@ def _global_rank(df: DataFrame, order: list[Column], out_col: str, start: int) -
 
 
 def lookup_ids(pieces: DataFrame, index: DataFrame, key: str, value: str, hot_limit: int = HOT_WORDS,
-               rank_col: str = "id") -> DataFrame:
+               rank_col: str = "id", bound: int | None = None) -> DataFrame:
     """Left join of ``pieces`` to ``index`` on ``key``: the ``hot_limit`` first
-    ids are broadcast, the rest is joined with a shuffle."""
+    ids are broadcast, the rest is joined with a shuffle.  When the index size
+    is bounded by a parameter (``bound``, e.g. a vocabulary cap) below
+    ``hot_limit``, one broadcast join does it all."""
+    if bound is not None and bound <= hot_limit:
+        return pieces.join(F.broadcast(index.select(key, value)), key, "left")
     hot = index.where(F.col(rank_col) <= hot_limit).select(key, F.col(value).alias("_v"))
     cold = index.where(F.col(rank_col) > hot_limit).select(key, F.col(value).alias("_v2"))
     first = pieces.join(F.broadcast(hot), key, "left")
@@ -162,7 +166,8 @@ def text_to_ids(df: DataFrame, word_index: DataFrame, num_words: int | None = No
     idx = word_index.select("word", "id")
     if num_words is not None and num_words > 0:
         idx = idx.where(F.col("id") < num_words)
-    found = lookup_ids(pieces, idx, "word", "id")
+    found = lookup_ids(pieces, idx, "word", "id",
+                       bound=num_words if num_words is not None and num_words > 0 else None)
     ids = F.coalesce(F.col("id"), F.lit(oov_id)).cast("int")
     seqs = found.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", ids.alias("id")))), lambda s: s["id"]).alias(out_col))

@@ -29,7 +29,7 @@ from ..sources import emissions as EM
 from ..sources import reviews as RV
 from ..sources import sinks as K
 from ..sources import tables as TB
-from ..session import by_doc, scratch_path, ship_package
+from ..session import by_doc, cut_lineage, scratch_path, ship_package
 from . import oracle as O
 from .classic import Prepared, nb_scores, prepare
 
@@ -70,7 +70,12 @@ def prepared(spark: SparkSession, sf_dir: str, label: str = "quality") -> Prepar
 
 
 def scores(spark, sf_dir):
-    return TB.model_scores(spark, sf_dir)
+    """The shared scores table, materialised once per session and scale: every
+    metric, vote and leaderboard reads it (checkpointed, not recomputed)."""
+    key = (id(spark), sf_dir, "scores")
+    if key not in _PREPARED:
+        _PREPARED[key] = cut_lineage(TB.model_scores(spark, sf_dir))
+    return _PREPARED[key]
 
 
 def member_sets(spark) -> DataFrame:
