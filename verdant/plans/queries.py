@@ -542,7 +542,23 @@ def q_argmax(spark, sf):
     return emb.select("vec_id", "label", argmax(F.slice("embedding", 1, 10)).alias("y_pred"))
 
 
-@query("score_texts", None)
+_CONV_SQL = (_TF + ", " + O.nb_ctes("sp", "'test'") + ", "
+             f"ctok AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, text, regexp_extract_all(strip_accents(lower(text)), '{O.TOKEN_RE}', 1) AS t FROM conversations), "
+             "cg AS (SELECT doc_id, list_concat(t, CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END) AS g FROM ctok), "
+             "cdt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(g) AS term FROM cg) GROUP BY ALL), "
+             "cw0 AS (SELECT doc_id, term, tf * idf AS w FROM cdt JOIN vidf USING (term)), "
+             "cw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM cw0), "
+             "csums AS (SELECT doc_id, class, sum(weight * flp) AS s FROM cw JOIN flp USING (term) GROUP BY ALL), "
+             "cgrid AS (SELECT c.doc_id, c.conv_id, c.turn, c.text, k.class FROM ctok c CROSS JOIN classes k), "
+             "cscored AS (SELECT g.*, p.prior + coalesce(x.s, 0.0) AS score FROM cgrid g JOIN prior p ON p.class = g.class "
+             "LEFT JOIN csums x ON x.doc_id = g.doc_id AND x.class = g.class), "
+             "cl AS (SELECT doc_id, max(score) AS m, max(CASE WHEN class = 1 THEN score END) AS s1 FROM cscored GROUP BY doc_id), "
+             "cl2 AS (SELECT c.doc_id, l.m + ln(sum(exp(c.score - l.m))) AS lse, max(l.s1) AS s1 FROM cscored c JOIN cl l USING (doc_id) GROUP BY c.doc_id, l.m), "
+             "cp AS (SELECT DISTINCT c.doc_id, c.conv_id, c.turn, c.text, exp(l.s1 - l.lse) AS prob FROM cgrid c JOIN cl2 l USING (doc_id)) "
+             "SELECT conv_id, turn, CASE WHEN prob >= 0.5 THEN 'pos' ELSE 'neg' END AS sentiment, prob, substring(text, 1, 120) AS preview FROM cp")
+
+
+@query("score_texts", W(_CONV_SQL, ["conv_id", "turn", "sentiment", "prob", "preview"], {"prob"}))
 def q_score_texts(spark, sf):
     """Conversation turns scored by the naive Bayes model fitted on reviews."""
     p = prepared(spark, sf)
