@@ -62,7 +62,7 @@ _PREPARED: dict = {}
 
 
 def prepared(spark: SparkSession, sf_dir: str, label: str = "quality") -> Prepared:
-    key = (id(spark), sf_dir, label)
+    key = (spark.sparkContext.applicationId, sf_dir, label)
     if key not in _PREPARED:
         src = TB.reviews(spark, sf_dir) if label == "quality" else TB.lang_reviews(spark, sf_dir)
         _PREPARED[key] = prepare(src)
@@ -72,7 +72,7 @@ def prepared(spark: SparkSession, sf_dir: str, label: str = "quality") -> Prepar
 def scores(spark, sf_dir):
     """The shared scores table, materialised once per session and scale: every
     metric, vote and leaderboard reads it (checkpointed, not recomputed)."""
-    key = (id(spark), sf_dir, "scores")
+    key = (spark.sparkContext.applicationId, sf_dir, "scores")
     if key not in _PREPARED:
         _PREPARED[key] = cut_lineage(TB.model_scores(spark, sf_dir))
     return _PREPARED[key]

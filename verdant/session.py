@@ -95,7 +95,7 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (needed by the
     Arrow-batched UDFs): zip it once and add it like ``--py-files``."""
-    key = id(spark.sparkContext)
+    key = spark.sparkContext.applicationId
     if key in _SHIPPED:
         return
     import shutil
