@@ -46,13 +46,14 @@ def test_split_independent_of_partitioning(spark):
 
 @settings(max_examples=8, deadline=None)
 @given(n=st.integers(min_value=1, max_value=300), k=st.integers(min_value=1, max_value=4),
-       frac=st.sampled_from([0.1, 0.25, 0.5]), digits=st.sampled_from([1, 2, 5]))
-def test_split_is_partition_with_quotas(spark, n, k, frac, digits):
+       frac=st.sampled_from([0.1, 0.25, 0.5]), digits=st.sampled_from([1, 2, 5]),
+       direct=st.sampled_from([0, None]))
+def test_split_is_partition_with_quotas(spark, n, k, frac, digits, direct):
     df = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % k).cast("int").alias("label"))
-    counts = P.class_counts(df, "label")
-    q = {r["label"]: (r["keep"], r["hold"]) for r in P.holdout_quotas(counts, "label", "_count", frac).collect()}
-    out = P.assign_segments(df, "doc_id", "label", 7, P.holdout_quotas(counts, "label", "_count", frac),
-                            ["hold"], ["test", "train"], bucket_digits=digits)
+    sizes = P.class_sizes(df, "label")
+    q = P.holdout_allocation(sizes, frac)
+    out = P.assign_segments(df, "doc_id", "label", 7, {k: [h] for k, (_, h) in q.items()}, sizes,
+                            ["test", "train"], bucket_digits=digits, direct_max_rows=direct)
     rows = out.collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(n))
     import math
@@ -68,3 +69,12 @@ def test_sample_exact_size(spark):
     assert P.sample_exact(df, 0.5, seed=1).count() == round(0.5 * 87)
     with pytest.raises(ValueError):
         P.sample_exact(df, 0.0)
+
+
+def test_histogram_plan_equals_direct_plan(spark, monkeypatch):
+    """The bucketed plan for large strata gives exactly the one-window result."""
+    r = reviews(spark, "/root/testdata/sf0.1").select("doc_id", "label")
+    direct = {x["doc_id"]: x["split"] for x in P.split_80_10_10(r).collect()}
+    monkeypatch.setattr(P, "DIRECT_MAX_ROWS", 0)
+    bucketed = {x["doc_id"]: x["split"] for x in P.split_80_10_10(r).collect()}
+    assert direct == bucketed

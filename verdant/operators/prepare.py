@@ -16,6 +16,7 @@ are ranked.  Every other row gets its segment from a broadcast of the cut table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,8 @@ from ..functions.text import clean_text as _clean_text_col
 # Number of hex digits of the md5 order key used as histogram bucket
 # (16**5 = 1,048,576 buckets per stratum).
 BUCKET_HEX_DIGITS = 5
+# Largest stratum ranked by a single window task; larger strata use buckets.
+DIRECT_MAX_ROWS = 1_000_000
 
 
 def require_columns(df: DataFrame, *cols: str) -> None:
@@ -85,45 +88,50 @@ def order_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(id_col).cast("string")))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, col: str) -> Column:
-    return left[col].eqNullSafe(right[col])
-
-
 def assign_segments(df: DataFrame, id_col: str, strata_col: str | None, seed: int,
-                    quotas: DataFrame, quota_cols: Sequence[str], names: Sequence[str],
-                    out_col: str = "split", bucket_digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
+                    cuts: dict, sizes: dict, names: Sequence[str], out_col: str = "split",
+                    bucket_digits: int = BUCKET_HEX_DIGITS, direct_max_rows: int | None = None) -> DataFrame:
     """Cut each stratum's hash order into consecutive segments.
 
-    ``quotas`` has one row per stratum (``strata_col``) and one count column per
-    segment except the last (``quota_cols``); the last segment takes the rest.
-    ``names`` has ``len(quota_cols) + 1`` entries.
+    ``cuts`` maps each stratum to its ascending cut positions (segment j holds
+    order ranks in [p_j, p_(j+1))); ``sizes`` maps strata to row counts;
+    ``names`` has one more entry than each cut list.  Both dicts have one
+    entry per stratum (class), read from a small aggregate.
+
+    When the largest stratum has at most ``direct_max_rows`` rows, each
+    stratum is ranked by one window (a task sorts at most that many rows);
+    above it, the histogram plan ranks only the rows of the buckets that
+    contain a cut.
     """
-    assert len(names) == len(quota_cols) + 1
+    limit = DIRECT_MAX_ROWS if direct_max_rows is None else direct_max_rows
     strat = strata_col or "_stratum"
+    spark = df.sparkSession
     base = df if strata_col else df.withColumn(strat, F.lit(0))
-    keyed = (base.withColumn("_k", order_key(id_col, seed))
-                 .withColumn("_b", F.substring("_k", 1, bucket_digits)))
-
-    # Cumulative cut positions per stratum: p_j = q_1 + ... + q_j.
-    pos_cols, acc = [], None
-    for qc in quota_cols:
-        acc = F.col(qc).cast("long") if acc is None else acc + F.col(qc).cast("long")
-        pos_cols.append(acc)
-    cuts = quotas.select(
-        F.col(strat),
-        F.explode(F.array(*[F.struct(F.lit(j).alias("j"), p.alias("p")) for j, p in enumerate(pos_cols)])).alias("c"),
-    ).select(strat, "c.j", "c.p")
+    keyed = base.withColumn("_k", order_key(id_col, seed))
+    strat_type = base.schema[strat].dataType
+    schema = T.StructType([T.StructField("_cs", strat_type), T.StructField("_pos", T.ArrayType(T.LongType()))])
+    cut_lit = spark.createDataFrame([(k, [int(p) for p in v]) for k, v in cuts.items()], schema)
+    max_n = max([int(v) for v in sizes.values()] or [0])
+    names_arr = F.array(*[F.lit(n) for n in names])
+    drop_strat = [] if strata_col else [strat]
+
+    if max_n <= limit:
+        joined = keyed.join(F.broadcast(cut_lit), keyed[strat].eqNullSafe(F.col("_cs")), "left").drop("_cs")
+        rank = F.row_number().over(Window.partitionBy(strat).orderBy("_k", id_col)) - 1
+        seg = F.size(F.filter(F.coalesce("_pos", F.array().cast("array<bigint>")), lambda p: p <= F.col("_r")))
+        out = joined.withColumn("_r", rank.cast("long")).withColumn(out_col, F.element_at(names_arr, seg + 1))
+        return out.drop("_k", "_pos", "_r", *drop_strat)
+
+    keyed = keyed.withColumn("_b", F.substring("_k", 1, bucket_digits))
+    cuts = cut_lit.select("_cs", F.posexplode("_pos").alias("j", "p"))
 
     # Histogram of the order buckets; cumulative count before each bucket.
     hist = keyed.groupBy(strat, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wb = Window.partitionBy(strat).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_cum", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
 
-    # The bucket containing rank p (0-based) of each cut.  Stratum columns are
-    # renamed before each join: all sides derive from the same input, and
-    # self-join column references would be ambiguous.
-    cuts_r = cuts.withColumnRenamed(strat, "_cs")
-    located = (hist.join(F.broadcast(cuts_r), hist[strat].eqNullSafe(cuts_r["_cs"]))
+    # The bucket containing rank p (0-based) of each cut.
+    located = (hist.join(F.broadcast(cuts), hist[strat].eqNullSafe(cuts["_cs"]))
                    .where((F.col("_cum") <= F.col("p")) & (F.col("p") < F.col("_cum") + F.col("_n")))
                    .select(F.col("_cs"), "j", "p", "_b", "_cum"))
     cut_arrays = located.groupBy("_cs").agg(F.collect_list(F.struct("_b", "p", "_cum")).alias("_cuts"))
@@ -145,41 +153,35 @@ def assign_segments(df: DataFrame, id_col: str, strata_col: str | None, seed: in
                       "_cuts", lambda c: (c["_b"] < F.col("_b")) |
                       ((c["_b"] == F.col("_b")) & (c["p"] <= F.col("_rank"))))))
                   .drop("_r", "_off", "_rank"))
-    names_arr = F.array(*[F.lit(n) for n in names])
     out = inner.unionByName(edge).withColumn(out_col, F.element_at(names_arr, F.col("_seg") + 1))
-    drop = ["_k", "_b", "_cuts", "_seg"] + ([] if strata_col else [strat])
-    return out.drop(*drop)
+    return out.drop("_k", "_b", "_cuts", "_seg", *drop_strat)
 
 
 # ------------------------------------------------------------------ quotas
-def holdout_quotas(counts: DataFrame, strata_col: str, count_col: str, fraction: float,
-                   keep_col: str = "keep", hold_col: str = "hold") -> DataFrame:
-    """Stratified two-way allocation.
+def holdout_allocation(sizes: dict, fraction: float) -> dict:
+    """Stratified two-way allocation: {stratum: (keep, hold)}.
 
     Held-out size = ceil(fraction * n) (product rounded to 9 digits first);
     the kept part is allocated to strata by largest remainder of
-    n_c * n_keep / n, in integers, ties to the smaller label; the held-out
-    part of each stratum is the rest.
+    n_c * n_keep / n in exact integers, ties to the smaller label (NULL
+    first); the held-out part of each stratum is the rest.
     """
     if not (0.0 < fraction < 1.0):
         raise ValueError("fraction must be in (0, 1)")
-    total = Window.partitionBy()  # one row per stratum: tiny table
-    n = F.sum(count_col).over(total)
-    c = counts.withColumn("_n", n.cast("long"))
-    c = c.withColumn("_hold", F.ceil(F.round(F.lit(float(fraction)) * F.col("_n"), 9)).cast("long"))
-    c = c.withColumn("_keep_total", F.col("_n") - F.col("_hold"))
-    prod = F.col(count_col).cast("long") * F.col("_keep_total")
-    c = c.withColumn("_base", F.when(F.col("_n") > 0, F.floor(prod / F.col("_n"))).otherwise(0).cast("long"))
-    c = c.withColumn("_rem", F.when(F.col("_n") > 0, prod - F.col("_base") * F.col("_n")).otherwise(0))
-    c = c.withColumn("_need", F.col("_keep_total") - F.sum("_base").over(total))
-    rank = F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(strata_col).asc_nulls_first()))
-    c = c.withColumn(keep_col, (F.col("_base") + F.when(rank <= F.col("_need"), 1).otherwise(0)).cast("long"))
-    c = c.withColumn(hold_col, (F.col(count_col) - F.col(keep_col)).cast("long"))
-    return c.select(strata_col, count_col, keep_col, hold_col)
+    n = sum(sizes.values())
+    hold_total = math.ceil(round(fraction * n, 9))
+    keep_total = n - hold_total
+    base = {k: (c * keep_total) // n if n else 0 for k, c in sizes.items()}
+    rem = {k: (c * keep_total) % n if n else 0 for k, c in sizes.items()}
+    need = keep_total - sum(base.values())
+    order = sorted(sizes, key=lambda k: (-rem[k], k is not None, k))
+    keep = {k: base[k] + (1 if i < need else 0) for i, k in enumerate(order)}
+    return {k: (keep[k], sizes[k] - keep[k]) for k in sizes}
 
 
-def class_counts(df: DataFrame, label_col: str) -> DataFrame:
-    return df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_count"))
+def class_sizes(df: DataFrame, label_col: str) -> dict:
+    """{label: rows}; one small aggregate (one row per class) read once."""
+    return {r[0]: int(r[1]) for r in df.groupBy(label_col).count().collect()}
 
 
 # --------------------------------------------------------------------- P7
@@ -187,26 +189,31 @@ def stratified_split(df: DataFrame, label_col: str = "label", fraction: float =
                      seed: int = 42, id_col: str = "doc_id", out_col: str = "split",
                      names: tuple[str, str] = ("train", "test")) -> DataFrame:
     """Two-way stratified split: ``names[1]`` receives ceil(fraction*n) rows."""
-    q = holdout_quotas(class_counts(df, label_col), label_col, "_count", fraction)
-    return assign_segments(df, id_col, label_col, seed, q, ["hold"], [names[1], names[0]], out_col)
+    sizes = class_sizes(df, label_col)
+    alloc = holdout_allocation(sizes, fraction)
+    cuts = {k: [hold] for k, (_, hold) in alloc.items()}
+    return assign_segments(df, id_col, label_col, seed, cuts, sizes, [names[1], names[0]], out_col)
 
 
-def _three_way(df: DataFrame, label_col: str, seed: int, id_col: str, out_col: str,
-               first_fraction: float, second_fraction: float, second_from_hold: bool) -> DataFrame:
-    counts = class_counts(df, label_col)
-    q1 = holdout_quotas(counts, label_col, "_count", first_fraction, "keep1", "hold1")
+def three_way_quotas(sizes: dict, first_fraction: float, second_fraction: float,
+                     second_from_hold: bool) -> dict:
+    """{stratum: (test, val)} for the nested splits."""
+    q1 = holdout_allocation(sizes, first_fraction)
     if second_from_hold:
         # hold out first_fraction, then halve it: validation = kept half, test = held half
-        q2 = holdout_quotas(q1.select(label_col, F.col("hold1").alias("_c2")), label_col, "_c2",
-                            second_fraction, "val", "test")
-    else:
-        # test first, then the validation share of the rest
-        q2 = holdout_quotas(q1.select(label_col, F.col("keep1").alias("_c2")), label_col, "_c2",
-                            second_fraction, "train_keep", "val")
-        q2 = q2.join(q1.select(label_col, F.col("hold1").alias("test")), on=label_col)
-    quotas = q2.select(label_col, "test", "val")
-    return assign_segments(df, id_col, label_col, seed, quotas, ["test", "val"],
-                           ["test", "val", "train"], out_col)
+        q2 = holdout_allocation({k: h for k, (_, h) in q1.items()}, second_fraction)
+        return {k: (q2[k][1], q2[k][0]) for k in sizes}
+    # test first, then the validation share of the rest
+    q2 = holdout_allocation({k: kp for k, (kp, _) in q1.items()}, second_fraction)
+    return {k: (q1[k][1], q2[k][1]) for k in sizes}
+
+
+def _three_way(df: DataFrame, label_col: str, seed: int, id_col: str, out_col: str,
+               first_fraction: float, second_fraction: float, second_from_hold: bool) -> DataFrame:
+    sizes = class_sizes(df, label_col)
+    q = three_way_quotas(sizes, first_fraction, second_fraction, second_from_hold)
+    cuts = {k: [t, t + v] for k, (t, v) in q.items()}
+    return assign_segments(df, id_col, label_col, seed, cuts, sizes, ["test", "val", "train"], out_col)
 
 
 # --------------------------------------------------------------------- P8
@@ -240,9 +247,7 @@ def sample_exact(df: DataFrame, fraction: float, seed: int = 42, id_col: str = "
         raise ValueError("fraction must be in (0, 1]")
     if fraction == 1.0:
         return df
-    quota = (df.agg(F.count(F.lit(1)).alias("_n"))
-               .select(F.lit(0).alias("_stratum"),
-                       F.bround(F.lit(float(fraction)) * F.col("_n"), 0).cast("long").alias("take")))
-    marked = assign_segments(df, id_col, None, seed, quota,
-                             ["take"], ["in", "out"], "_sampled")
+    n = df.count()
+    take = round(fraction * n)  # half to even
+    marked = assign_segments(df, id_col, None, seed, {0: [take]}, {0: n}, ["in", "out"], "_sampled")
     return marked.where(F.col("_sampled") == "in").drop("_sampled")
