@@ -51,9 +51,12 @@ def fit_naive_bayes(train_weights: DataFrame, train_docs: DataFrame, vocab: Data
     v = vocab.select("term").withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
     fc = train_weights.groupBy(F.col(label_col).alias("class"), "term").agg(F.sum("weight").alias("fc"))
     dense = v.join(fc, ["class", "term"], "left").withColumn("fc", F.coalesce("fc", F.lit(0.0)))
-    n_terms = F.count(F.lit(1)).over(Window.partitionBy("class"))
-    total = F.sum("fc").over(Window.partitionBy("class"))
-    log_prob = dense.select("term", "class", F.log((F.col("fc") + alpha) / (total + alpha * n_terms)).alias("flp"))
+    # per-class denominators: a grouped aggregate (one row per class, broadcast
+    # back), not a window by class, which would put a class's whole
+    # vocabulary into one task
+    totals = dense.groupBy("class").agg((F.sum("fc") + F.lit(alpha) * F.count(F.lit(1))).alias("_den"))
+    log_prob = (dense.join(F.broadcast(totals), "class")
+                     .select("term", "class", F.log((F.col("fc") + alpha) / F.col("_den")).alias("flp")))
     docs = train_docs.groupBy(F.col(label_col).alias("class")).agg(F.count(F.lit(1)).alias("n_c"))
     prior = docs.select("class", F.log(F.col("n_c") / F.sum("n_c").over(Window.partitionBy())).alias("prior"))
     return log_prob, prior
@@ -100,9 +103,9 @@ def vector_features(vocab: DataFrame, text_col: str = "text", ngram_max: int = 2
     The vocabulary (bounded by max_features) is read to the driver once, as
     ``CountVectorizerModel`` needs it; it is ordered by ``term_index``.
     """
-    rows = vocab.select("term", "idf", "term_index").orderBy("term_index").collect()
-    if len(rows) > MAX_BROADCAST_TERMS:
+    if vocab.limit(MAX_BROADCAST_TERMS + 1).count() > MAX_BROADCAST_TERMS:
         raise ValueError("vocabulary too large for vector features; set max_features")
+    rows = vocab.select("term", "idf", "term_index").orderBy("term_index").collect()
     terms = [r["term"] for r in rows]
     idf = Vectors.dense([r["idf"] for r in rows])
     cv = CountVectorizerModel.from_vocabulary(terms, inputCol="_terms", outputCol="_tf")
@@ -147,19 +150,49 @@ def resolve_models(name: str) -> list[str]:
 
 # --------------------------------------------------------------------------- C6
 def neural_pipeline(vector_size: int = 32, hidden: Sequence[int] = (16,), n_classes: int = 2,
-                    max_iter: int = 50, seed: int = 42) -> Pipeline:
+                    max_iter: int = 50, seed: int = 42, partitions: int = 1) -> Pipeline:
     """Re-aimed neural baseline: averaged Word2Vec word vectors -> multilayer
     perceptron.  Word order inside a text is not modelled (this is not an
-    LSTM)."""
+    LSTM).  Word2Vec trains on ``partitions`` tasks (pass the input's
+    partition count; 1 trains the whole corpus in one task); its vocabulary
+    is collected to the driver, so the caller bounds it (``with_words``)."""
     w2v = Word2Vec(vectorSize=vector_size, minCount=1, seed=seed, inputCol="_words", outputCol="features",
-                   maxIter=1, numPartitions=1)
+                   maxIter=1, numPartitions=max(1, int(partitions)))
     mlp = MultilayerPerceptronClassifier(layers=[vector_size, *hidden, n_classes], maxIter=max_iter, seed=seed,
                                          featuresCol="features", labelCol="label_d", blockSize=128)
     return Pipeline(stages=[w2v, mlp])
 
 
-def with_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn("_words", sequence_words(F.col(text_col)))
+def with_words(df: DataFrame, index: DataFrame | None = None, bound: int | None = None,
+               text_col: str = "text", oov_token: str = "<OOV>") -> DataFrame:
+    """``_words``: the sequence tokenizer's words; with a word index
+    ``(word, id)`` words outside it become ``oov_token``.  The index is
+    broadcast when ``bound`` (its parameter-bounded size) allows, else joined
+    with a shuffle; words are re-assembled per document in text order."""
+    if index is None:
+        return df.withColumn("_words", sequence_words(F.col(text_col)))
+    pieces = (df.select("doc_id", F.posexplode_outer(sequence_words(F.col(text_col))).alias("pos", "word"))
+                .where(F.col("word").isNotNull()))
+    known = index.select("word", F.lit(True).alias("_known"))
+    known = F.broadcast(known) if bound is not None and bound <= MAX_BROADCAST_TERMS else known
+    mapped = pieces.join(known, "word", "left").select(
+        "doc_id", "pos", F.when(F.col("_known"), F.col("word")).otherwise(F.lit(oov_token)).alias("w"))
+    words = mapped.groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"]).alias("_words"))
+    return (df.join(words, "doc_id", "left")
+              .withColumn("_words", F.coalesce(F.col("_words"), F.array().cast("array<string>"))))
+
+
+def deterministic_order(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Fixed hash partitioning by ``key`` and a sort inside each partition.
+
+    Estimators whose result depends on row order (boosted trees with row
+    sampling, Word2Vec, the perceptron's blocks) then see the same rows in the
+    same order on every run, without a global sort into one task.  The count
+    defaults to ``spark.sql.shuffle.partitions``; AQE does not change an
+    explicit repartition count."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key)
 
 
 # ------------------------------------------------------------------ C14-C17

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from ..operators import classifiers as C
 from ..operators import ensemble as E
+from ..operators import features as FT
 from ..operators import metrics as M
 from ..sources import tables as TB
 from .classic import ml_scores, nb_scores
 from .queries import MODELS, prepared, query, scores
 
+# vocabulary size of the sequence model (the reference's LSTM: 20,000 words)
+NEURAL_NUM_WORDS = 20000
+
 
 @query("clf_logreg")
 def q_logreg(spark, sf):
@@ -50,8 +54,14 @@ def q_compare(spark, sf):
 @query("clf_neural")
 def q_neural(spark, sf):
     p = prepared(spark, sf)
-    data = C.with_words(p.split).withColumn("label_d", F.col("label").cast("double")).orderBy("doc_id")
-    model = C.neural_pipeline(n_classes=len(p.classes)).fit(data.where(F.col("split") == "train"))
+    train = p.split.where(F.col("split") == "train")
+    # the sequence model's vocabulary: 20,000 most frequent training words,
+    # the rest is the OOV token (bounds what Word2Vec collects to the driver)
+    index = FT.fit_word_index(train).where(F.col("id") < NEURAL_NUM_WORDS)
+    data = C.with_words(p.split, index, NEURAL_NUM_WORDS).withColumn("label_d", F.col("label").cast("double"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    data = C.deterministic_order(data, "doc_id", parts)
+    model = C.neural_pipeline(n_classes=len(p.classes), partitions=parts).fit(data.where(F.col("split") == "train"))
     out = C.positive_prob(model.transform(data.where(F.col("split").isin("val", "test"))))
     return out.select(F.lit("neural").alias("model"), "split", "doc_id", F.col("label").alias("y_true"),
                       F.col("prediction").cast("int").alias("y_pred"), "prob")
@@ -61,7 +71,7 @@ def _stack(spark, sf, est, with_conf):
     s = scores(spark, sf)
     meta = E.meta_features(s, MODELS, with_confidence=with_conf)
     cols = E.meta_feature_names(MODELS, with_conf)
-    data = C.stack_features(meta, cols).coalesce(1).orderBy("doc_id")
+    data = C.deterministic_order(C.stack_features(meta, cols), "doc_id")
     model = est.fit(data.where(F.col("split") == "val"))
     return model, model.transform(data.where(F.col("split") == "test")), cols
 
