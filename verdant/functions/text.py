@@ -60,8 +60,14 @@ def strip_accents(c: Column) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    """Lower-case, then strip accents (the vectoriser's preprocessing order)."""
-    return strip_accents(F.lower(c))
+    """Lower-case, then strip accents (the vectoriser's preprocessing order).
+
+    A text whose UTF-8 byte length equals its character length is pure ASCII
+    and holds no character of the accent map, so the per-character map look-up
+    is skipped for it (``octet_length`` is constant time).  ``c`` should be a
+    column reference: it is evaluated in the condition and in the branch."""
+    low = F.lower(c)
+    return F.when(F.octet_length(c) == F.length(c), low).otherwise(strip_accents(low))
 
 
 def clean_text(c: Column, null_token: str | None = None) -> Column:
@@ -94,11 +100,18 @@ def ngrams(tokens: Column, ngram_max: int = 2, ngram_min: int = 1) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def separator_class(filters: str = SEQUENCE_FILTERS) -> str:
+    """Java regex character class matching every filter character and the
+    space."""
+    return "[" + "".join("\\" + ch if ch in "\\[]^-&" else ch for ch in filters + " ") + "]"
+
+
 def sequence_words(c: Column, filters: str = SEQUENCE_FILTERS) -> Column:
     """Words of the sequence tokenizer: lower-case, filter characters to
-    spaces, split on spaces, empty pieces dropped."""
-    spaced = F.translate(F.lower(c), filters, " " * len(filters))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    spaces, split on spaces, empty pieces dropped.  Splitting directly on the
+    class of filter characters and space gives the same pieces without a
+    per-character ``translate``."""
+    return F.filter(F.split(F.lower(c), separator_class(filters)), lambda w: w != "")
 
 
 def pad_ids(ids: Column, length, value: int = 0) -> Column:

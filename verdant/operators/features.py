@@ -125,54 +125,85 @@ def fit_word_index(train: DataFrame, text_col: str = "text", with_oov: bool = Tr
 
 
 def _global_rank(df: DataFrame, order: list[Column], out_col: str, start: int) -> DataFrame:
-    """Dense 0..n-1 positions in ``order`` + ``start`` without one-task windows:
-    range-partition and sort, then add the row counts of earlier partitions."""
+    """Dense 0..n-1 positions in ``order`` + ``start`` without one-task windows.
+
+    Range-partition and sort; ``monotonically_increasing_id`` evaluated right
+    after the sort holds the partition index in its upper bits and the row's
+    position inside the partition in its lower 33 bits.  A table of partition
+    sizes (one row per partition, so its broadcast is bounded by the partition
+    count) supplies each partition's offset.  The ranked rows are shuffled once
+    (the range exchange); the order is total, so positions are deterministic."""
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    pid = ordered.withColumn("_pid", F.spark_partition_id())
-    within = Window.partitionBy("_pid").orderBy(*order)
-    local = pid.withColumn("_lr", F.row_number().over(within))
-    sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    mid = F.monotonically_increasing_id()
+    pos = ordered.withColumn("_mid", mid).select(
+        "*", F.shiftright("_mid", 33).alias("_pid"), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_lr"))
+    sizes = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = sizes.select("_pid", F.coalesce(
         F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
-                 .withColumn(out_col, (F.col("_off") + F.col("_lr") - 1 + F.lit(start)).cast("long"))
-                 .drop("_pid", "_lr", "_off"))
+    return (pos.join(F.broadcast(offsets), "_pid")
+               .withColumn(out_col, (F.col("_off") + F.col("_lr") + F.lit(start)).cast("long"))
+               .drop("_mid", "_pid", "_lr", "_off"))
+
+
+def ordered_lookup(pieces: DataFrame, group: list[str], index: DataFrame, key: str, value: str,
+                   default: Column, bound: int | None, hot_limit: int | None = None,
+                   rank_col: str = "id") -> DataFrame:
+    """(group..., _vals): per group, ``value`` of each piece's ``key`` in
+    ``pos`` order; a key missing from the index gives ``default``.
+
+    ``pieces(group..., pos, key)`` may hold one row with NULL ``pos`` for an
+    empty group (``posexplode_outer``), which yields an empty array.  The
+    ``hot_limit`` first index entries are broadcast, so when ``pieces`` is
+    hash-partitioned by the first group column the per-group assembly runs
+    without a shuffle; only pieces whose key is outside that set (rare keys,
+    so no hot key by construction) are joined with a shuffle, assembled per
+    group and merged back with a join on the group.  When the index size is
+    bounded by ``bound`` <= ``hot_limit`` a single broadcast join does it all.
+    """
+    hot_limit = HOT_WORDS if hot_limit is None else hot_limit
+
+    def assemble(df, val):
+        item = F.when(F.col("pos").isNotNull(), F.struct("pos", val.alias("v")))
+        return df.groupBy(*group).agg(F.collect_list(item).alias("_items"))
 
+    def values(items):
+        return F.transform(F.array_sort(items), lambda s: s["v"])
 
-def lookup_ids(pieces: DataFrame, index: DataFrame, key: str, value: str, hot_limit: int = HOT_WORDS,
-               rank_col: str = "id", bound: int | None = None) -> DataFrame:
-    """Left join of ``pieces`` to ``index`` on ``key``: the ``hot_limit`` first
-    ids are broadcast, the rest is joined with a shuffle.  When the index size
-    is bounded by a parameter (``bound``, e.g. a vocabulary cap) below
-    ``hot_limit``, one broadcast join does it all."""
     if bound is not None and bound <= hot_limit:
-        return pieces.join(F.broadcast(index.select(key, value)), key, "left")
+        found = pieces.join(F.broadcast(index.select(key, F.col(value).alias("_v"))), key, "left")
+        return assemble(found, F.coalesce(F.col("_v"), default)).select(*group, values(F.col("_items")).alias("_vals"))
     hot = index.where(F.col(rank_col) <= hot_limit).select(key, F.col(value).alias("_v"))
-    cold = index.where(F.col(rank_col) > hot_limit).select(key, F.col(value).alias("_v2"))
+    cold = index.where(F.col(rank_col) > hot_limit).select(key, F.col(value).alias("_v"))
     first = pieces.join(F.broadcast(hot), key, "left")
-    matched = first.where(F.col("_v").isNotNull())
-    rest = first.where(F.col("_v").isNull()).drop("_v").join(cold, key, "left").withColumnRenamed("_v2", "_v")
-    return matched.unionByName(rest).withColumnRenamed("_v", value)
+    # every piece once, hot values filled, the others marked NULL
+    local = assemble(first, F.col("_v"))
+    missing = first.where(F.col("_v").isNull() & F.col(key).isNotNull()).drop("_v")
+    rare = assemble(missing.join(cold, key, "left"), F.coalesce(F.col("_v"), default)) \
+        .withColumnRenamed("_items", "_rare")
+    merged = local.join(rare, group, "left")
+    known = F.filter("_items", lambda s: s["v"].isNotNull())
+    items = F.concat(known, F.coalesce(F.col("_rare"), F.array().cast(merged.schema["_items"].dataType)))
+    return merged.select(*group, values(items).alias("_vals"))
 
 
 # --------------------------------------------------------------------- T10
 def text_to_ids(df: DataFrame, word_index: DataFrame, num_words: int | None = None,
                 text_col: str = "text", out_col: str = "ids", oov_id: int = 1) -> DataFrame:
     """Word ids per row in text order; unknown words and ids >= num_words
-    become ``oov_id``."""
+    become ``oov_id``.  The other columns of ``df`` must depend on ``doc_id``
+    only (they are carried as grouping keys, so no join back to the input is
+    needed).  Input hash-partitioned by ``doc_id`` is not shuffled again."""
     others = [c for c in df.columns if c != text_col]
-    pieces = (df.select("doc_id", F.posexplode_outer(sequence_words(F.col(text_col))).alias("pos", "word"))
-                .where(F.col("word").isNotNull()))
+    if "doc_id" not in others:
+        raise ValueError("text_to_ids needs a doc_id column")
+    group = ["doc_id"] + [c for c in others if c != "doc_id"]
+    pieces = df.select(*group, F.posexplode_outer(sequence_words(F.col(text_col))).alias("pos", "word"))
     idx = word_index.select("word", "id")
-    if num_words is not None and num_words > 0:
+    bounded = num_words is not None and num_words > 0
+    if bounded:
         idx = idx.where(F.col("id") < num_words)
-    found = lookup_ids(pieces, idx, "word", "id",
-                       bound=num_words if num_words is not None and num_words > 0 else None)
-    ids = F.coalesce(F.col("id"), F.lit(oov_id)).cast("int")
-    seqs = found.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", ids.alias("id")))), lambda s: s["id"]).alias(out_col))
-    return (df.select(*others).join(seqs, "doc_id", "left")
-              .withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>"))))
+    out = ordered_lookup(pieces, group, idx, "word", "id", F.lit(oov_id), num_words if bounded else None)
+    return out.select(*others, F.col("_vals").cast("array<int>").alias(out_col))
 
 
 # --------------------------------------------------------------------- T11
@@ -221,17 +252,15 @@ def cap_vocabulary(df: DataFrame, max_words: int | None, ids_col: str = "ids") -
 
 
 def decode_reviews(df: DataFrame, word_index: DataFrame, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """Text from ids: word of (id - 3), '?' when absent, joined by spaces."""
+    """Text from ids: word of (id - 3), '?' when absent, joined by spaces.
+    The other columns must depend on ``doc_id`` only; input partitioned by
+    ``doc_id`` is not shuffled again."""
     others = [c for c in df.columns if c != ids_col]
-    pieces = df.select("doc_id", F.posexplode(ids_col).alias("pos", "_id")) \
+    group = ["doc_id"] + [c for c in others if c != "doc_id"]
+    pieces = df.select(*group, F.posexplode_outer(ids_col).alias("pos", "_id")) \
                .withColumn("id", F.col("_id") - F.lit(INDEX_FROM)).drop("_id")
-    found = lookup_ids(pieces, word_index.select("id", "word"), "id", "word")
-    word = F.coalesce(F.col("word"), F.lit(UNKNOWN_WORD))
-    texts = found.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))), lambda s: s["w"]), " ")
-        .alias(out_col))
-    return (df.select(*others).join(texts, "doc_id", "left")
-              .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(""))))
+    out = ordered_lookup(pieces, group, word_index.select("id", "word"), "id", "word", F.lit(UNKNOWN_WORD), None)
+    return out.select(*others, F.array_join("_vals", " ").alias(out_col))
 
 
 def union_partitions(first: DataFrame, second: DataFrame) -> DataFrame:

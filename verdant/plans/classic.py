@@ -33,13 +33,22 @@ class Prepared:
     ngram_max: int
 
 
+def prepare_split(reviews: DataFrame, seed: int = 42, test_size: float = 0.1, val_size: float = 0.1,
+                  materialize: bool = True) -> DataFrame:
+    """(doc_id, text, label, split): the 80/10/10 split, hash-partitioned by
+    document (and checkpointed), the input of every text flow."""
+    split = by_doc(split_80_10_10(reviews.select("doc_id", "text", "label"), seed=seed,
+                                  test_size=test_size, val_size=val_size))
+    return cut_lineage(split) if materialize else split
+
+
 def prepare(reviews: DataFrame, seed: int = 42, max_features: int | None = 50000, ngram_max: int = 2,
-            test_size: float = 0.1, val_size: float = 0.1, materialize: bool = True) -> Prepared:
-    split = split_80_10_10(reviews.select("doc_id", "text", "label"), seed=seed,
-                           test_size=test_size, val_size=val_size)
-    split = by_doc(split)
-    if materialize:
-        split = cut_lineage(split)
+            test_size: float = 0.1, val_size: float = 0.1, materialize: bool = True,
+            split: DataFrame | None = None) -> Prepared:
+    """Split, vocabulary and TF-IDF table of one flow; ``split`` may be a
+    split computed earlier by ``prepare_split``."""
+    if split is None:
+        split = prepare_split(reviews, seed, test_size, val_size, materialize)
     terms = T.doc_terms(split, ngram_max=ngram_max, keep=("doc_id", "label", "split"))
     if materialize:
         # read twice (vocabulary, then weights): tokenise once

@@ -14,7 +14,7 @@ from ..operators import features as FT
 from ..operators import metrics as M
 from ..sources import tables as TB
 from .classic import ml_scores, nb_scores
-from .queries import MODELS, prepared, query, scores
+from .queries import MODELS, prepared, prepared_split, query, scores
 
 # vocabulary size of the sequence model (the reference's LSTM: 20,000 words)
 NEURAL_NUM_WORDS = 20000
@@ -53,15 +53,16 @@ def q_compare(spark, sf):
 
 @query("clf_neural")
 def q_neural(spark, sf):
-    p = prepared(spark, sf)
-    train = p.split.where(F.col("split") == "train")
+    split = prepared_split(spark, sf)
+    train = split.where(F.col("split") == "train")
+    n_classes = train.select("label").distinct().count()  # one row per class
     # the sequence model's vocabulary: 20,000 most frequent training words,
     # the rest is the OOV token (bounds what Word2Vec collects to the driver)
     index = FT.fit_word_index(train).where(F.col("id") < NEURAL_NUM_WORDS)
-    data = C.with_words(p.split, index, NEURAL_NUM_WORDS).withColumn("label_d", F.col("label").cast("double"))
+    data = C.with_words(split, index, NEURAL_NUM_WORDS).withColumn("label_d", F.col("label").cast("double"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = C.deterministic_order(data, "doc_id", parts)
-    model = C.neural_pipeline(n_classes=len(p.classes), partitions=parts).fit(data.where(F.col("split") == "train"))
+    model = C.neural_pipeline(n_classes=n_classes, partitions=parts).fit(data.where(F.col("split") == "train"))
     out = C.positive_prob(model.transform(data.where(F.col("split").isin("val", "test"))))
     return out.select(F.lit("neural").alias("model"), "split", "doc_id", F.col("label").alias("y_true"),
                       F.col("prediction").cast("int").alias("y_pred"), "prob")

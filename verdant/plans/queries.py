@@ -31,7 +31,7 @@ from ..sources import sinks as K
 from ..sources import tables as TB
 from ..session import by_doc, cut_lineage, scratch_path, ship_package
 from . import oracle as O
-from .classic import Prepared, nb_scores, prepare
+from .classic import Prepared, nb_scores, prepare, prepare_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,11 +61,22 @@ def query(name: str, sql: str | None = None):
 _PREPARED: dict = {}
 
 
+def _source(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    return TB.reviews(spark, sf_dir) if label == "quality" else TB.lang_reviews(spark, sf_dir)
+
+
+def prepared_split(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
+    """The checkpointed 80/10/10 split alone (for flows without TF-IDF)."""
+    key = (spark.sparkContext.applicationId, sf_dir, label, "split")
+    if key not in _PREPARED:
+        _PREPARED[key] = prepare_split(_source(spark, sf_dir, label))
+    return _PREPARED[key]
+
+
 def prepared(spark: SparkSession, sf_dir: str, label: str = "quality") -> Prepared:
     key = (spark.sparkContext.applicationId, sf_dir, label)
     if key not in _PREPARED:
-        src = TB.reviews(spark, sf_dir) if label == "quality" else TB.lang_reviews(spark, sf_dir)
-        _PREPARED[key] = prepare(src)
+        _PREPARED[key] = prepare(_source(spark, sf_dir, label), split=prepared_split(spark, sf_dir, label))
     return _PREPARED[key]
 
 
@@ -132,8 +143,12 @@ def _decode_sql(cap: int | None) -> str:
 
 
 def _encoded(spark, sf):
-    docs = TB.table(spark, sf, "documents").select("doc_id", "text")
-    index = FT.fit_word_index(docs, with_oov=False)
+    # text shuffled once by document: the id sequences are then assembled
+    # without shuffling the (much larger) word rows
+    docs = by_doc(TB.table(spark, sf, "documents").select("doc_id", "text"))
+    # read by the encoder and the decoder (hot and rare parts each): written
+    # once to the shared checkpoint folder
+    index = cut_lineage(FT.fit_word_index(docs, with_oov=False))
     return FT.encode_reviews(docs, index), index
 
 
@@ -364,14 +379,14 @@ def _pad_sql(length_expr):
 
 @query("word_index", W(_WORDS + " SELECT word, id, cnt AS count FROM wi", ["word", "id", "count"]))
 def q_word_index(spark, sf):
-    p = prepared(spark, sf)
-    return FT.fit_word_index(p.split.where(F.col("split") == "train")).select("word", "id", "count")
+    split = prepared_split(spark, sf)
+    return FT.fit_word_index(split.where(F.col("split") == "train")).select("word", "id", "count")
 
 
 def _seq(spark, sf, num_words=20000):
-    p = prepared(spark, sf)
-    index = FT.fit_word_index(p.split.where(F.col("split") == "train"))
-    return FT.text_to_ids(p.split.select("doc_id", "split", "text"), index, num_words)
+    split = prepared_split(spark, sf)
+    index = FT.fit_word_index(split.where(F.col("split") == "train"))
+    return FT.text_to_ids(split.select("doc_id", "split", "text"), index, num_words)
 
 
 @query("text_to_ids", W(_WORDS + ", " + _ids_sql(20000) + " SELECT doc_id, array_to_string(ids, ' ') AS ids FROM s",
@@ -388,8 +403,8 @@ def q_pad(spark, sf):
 
 @query("vocab_size", W(_WORDS + " SELECT (count(*) + 1)::BIGINT AS vocab_size FROM wi", ["vocab_size"]))
 def q_vocab_size(spark, sf):
-    p = prepared(spark, sf)
-    return FT.vocab_size(FT.fit_word_index(p.split.where(F.col("split") == "train")), 0)
+    split = prepared_split(spark, sf)
+    return FT.vocab_size(FT.fit_word_index(split.where(F.col("split") == "train")), 0)
 
 
 def _mask_sql(length_expr):
@@ -431,8 +446,8 @@ def q_encode_udf(spark, sf):
                           "SELECT label, n_c, (sum(n_c) OVER ())::DOUBLE / (count(*) OVER () * n_c) AS weight FROM c",
                           ["label", "n_c", "weight"], {"weight"}))
 def q_class_weights(spark, sf):
-    p = prepared(spark, sf)
-    return C.class_weights(p.split.where(F.col("split") == "train"))
+    split = prepared_split(spark, sf)
+    return C.class_weights(split.where(F.col("split") == "train"))
 
 
 @query("clf_nb", W(_TF + ", " + O.nb_ctes("sp", "'val', 'test'") + " SELECT doc_id, split, y_true, y_pred, prob FROM nbpred",
