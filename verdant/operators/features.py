@@ -133,7 +133,11 @@ def _global_rank(df: DataFrame, order: list[Column], out_col: str, start: int) -
     sizes (one row per partition, so its broadcast is bounded by the partition
     count) supplies each partition's offset.  The ranked rows are shuffled once
     (the range exchange); the order is total, so positions are deterministic."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # an explicit partition count: AQE never coalesces such a shuffle, so the
+    # position branch and the size branch read the same partitions (with
+    # coalescing they could group partitions differently)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     mid = F.monotonically_increasing_id()
     pos = ordered.withColumn("_mid", mid).select(
         "*", F.shiftright("_mid", 33).alias("_pid"), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_lr"))
