@@ -93,3 +93,29 @@ def test_naive_bayes_probabilities_sum_to_one(spark):
     assert got[(0, "d")] == pytest.approx(math.log(1.0 / 5.4))
     pri = {r["class"]: r["prior"] for r in prior.collect()}
     assert pri[1] == pytest.approx(math.log(2 / 3))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_table_keeps_rows_and_layout(spark):
+    from verdant.session import bucketed_table
+    df = spark.range(0, 3000).select((F.col("id") % 211).alias("doc_id"), F.col("id").alias("v"))
+    t = bucketed_table(df, "doc_id", "test rows")
+    assert sorted(map(tuple, t.collect())) == sorted(map(tuple, df.collect()))
+    other = bucketed_table(df.select("doc_id", (F.col("v") * 2).alias("w")), "doc_id", "test other")
+    per_doc = t.groupBy("doc_id").agg(F.sum("v").alias("s"))
+    joined = per_doc.join(other.groupBy("doc_id").agg(F.sum("w").alias("sw")), "doc_id")
+    shuffle = "Exchange hashpartitioning"   # broadcasts are fine, shuffles are not
+    assert shuffle not in _plan(per_doc) and shuffle not in _plan(joined)
+    assert joined.where(F.col("sw") != 2 * F.col("s")).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 7, 50, 333, 5000])
+def test_top_k_by_count_equals_sort_limit(spark, k):
+    df = spark.range(0, 1200).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("term"),
+                                     (F.floor(F.col("id") % 13 / 4) + (F.col("id") % 5 == 0).cast("long") * 40).cast("long").alias("count"))
+    want = [r["term"] for r in df.orderBy(F.col("count").desc(), F.col("term").asc()).limit(k).collect()]
+    got = FT.top_k_by_count(df, k, "count", "term")
+    assert sorted(r["term"] for r in got.collect()) == sorted(want)

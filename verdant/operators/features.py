@@ -78,17 +78,36 @@ def fit_vocabulary(train_terms: DataFrame, max_features: int | None = 50000, n_d
     if max_features is not None:
         if max_features <= 0:
             raise ValueError("max_features must be positive or None")
-        stats = stats.orderBy(F.col("count").desc(), F.col("term").asc()).limit(max_features)
+        stats = top_k_by_count(stats, max_features, "count", "term")
     if n_docs is None:
         n_docs = train_terms.select("doc_id").distinct().count()
     n = F.lit(float(n_docs))
     vocab = stats.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
     if max_features is not None:
-        # bounded table (<= max_features rows): a global window is fine
-        vocab = vocab.withColumn("term_index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+        # alphabetical feature position, ranked without a one-task window
+        vocab = _global_rank(vocab, [F.col("term").asc()], "term_index", 0) \
+            .withColumn("term_index", F.col("term_index").cast("int"))
     return vocab
 
 
+def top_k_by_count(df: DataFrame, k: int, count_col: str, key_col: str) -> DataFrame:
+    """The ``k`` rows with the highest integer ``count_col`` (ties by
+    ascending ``key_col``), exactly, without gathering partitions' top-k lists
+    into one task (what ``orderBy().limit(k)`` does).
+
+    A histogram of the count values (one row per distinct count, a table far
+    smaller than the input) gives the count of the k-th row; only rows at or
+    above it are ranked, by the range-partitioned global rank."""
+    hist = df.groupBy(count_col).agg(F.count(F.lit(1)).alias("_rows"))
+    at_least = F.sum("_rows").over(Window.orderBy(F.col(count_col).desc())
+                                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    threshold = (hist.withColumn("_cum", at_least).where(F.col("_cum") >= k)
+                     .agg(F.max(count_col)).first()[0])
+    candidates = df if threshold is None else df.where(F.col(count_col) >= F.lit(threshold))
+    ranked = _global_rank(candidates, [F.col(count_col).desc(), F.col(key_col).asc()], "_rank", 1)
+    return ranked.where(F.col("_rank") <= k).drop("_rank")
+
+
 # --------------------------------------------------------------------- T6-T8
 def term_counts(doc_terms_df: DataFrame, vocab: DataFrame, max_features: int | None) -> DataFrame:
     """(doc_id, term, tf) restricted to the vocabulary."""

@@ -18,7 +18,7 @@ from ..operators import classifiers as C
 from ..operators import features as T
 from ..operators.metrics import classification_report
 from ..operators.prepare import split_80_10_10
-from ..session import by_doc, cut_lineage
+from ..session import bucketed_table, by_doc, cut_lineage
 
 SCORE_COLS = ("model", "split", "doc_id", "y_true", "y_pred", "prob")
 
@@ -35,11 +35,12 @@ class Prepared:
 
 def prepare_split(reviews: DataFrame, seed: int = 42, test_size: float = 0.1, val_size: float = 0.1,
                   materialize: bool = True) -> DataFrame:
-    """(doc_id, text, label, split): the 80/10/10 split, hash-partitioned by
-    document (and checkpointed), the input of every text flow."""
-    split = by_doc(split_80_10_10(reviews.select("doc_id", "text", "label"), seed=seed,
-                                  test_size=test_size, val_size=val_size))
-    return cut_lineage(split) if materialize else split
+    """(doc_id, text, label, split): the 80/10/10 split, the input of every
+    text flow.  Materialised as a table bucketed by document, so the term
+    counts, TF-IDF norms and per-document scores downstream need no shuffle."""
+    split = split_80_10_10(reviews.select("doc_id", "text", "label"), seed=seed,
+                           test_size=test_size, val_size=val_size)
+    return bucketed_table(split, "doc_id", "split") if materialize else by_doc(split)
 
 
 def prepare(reviews: DataFrame, seed: int = 42, max_features: int | None = 50000, ngram_max: int = 2,
@@ -63,7 +64,8 @@ def prepare(reviews: DataFrame, seed: int = 42, max_features: int | None = 50000
         vocab = cut_lineage(vocab)
     weights = T.tfidf(terms, vocab, max_features, keep=("doc_id", "label", "split"))
     if materialize:
-        weights = cut_lineage(weights)
+        # bucketed like the split: scoring joins and per-document sums stay local
+        weights = bucketed_table(weights, "doc_id", "tfidf")
         terms.unpersist()
     return Prepared(split, vocab, weights, classes, max_features, ngram_max)
 

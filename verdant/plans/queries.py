@@ -29,7 +29,7 @@ from ..sources import emissions as EM
 from ..sources import reviews as RV
 from ..sources import sinks as K
 from ..sources import tables as TB
-from ..session import by_doc, cut_lineage, scratch_path, ship_package
+from ..session import bucketed_table, by_doc, cut_lineage, scratch_path, ship_package
 from . import oracle as O
 from .classic import Prepared, nb_scores, prepare, prepare_split
 
@@ -85,7 +85,9 @@ def scores(spark, sf_dir):
     metric, vote and leaderboard reads it (checkpointed, not recomputed)."""
     key = (spark.sparkContext.applicationId, sf_dir, "scores")
     if key not in _PREPARED:
-        _PREPARED[key] = cut_lineage(TB.model_scores(spark, sf_dir))
+        # bucketed by document: every vote (grouped by split and document) and
+        # the meta features run without a shuffle
+        _PREPARED[key] = bucketed_table(TB.model_scores(spark, sf_dir), "doc_id", "scores")
     return _PREPARED[key]
 
 
