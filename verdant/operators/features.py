@@ -148,18 +148,21 @@ def _global_rank(df: DataFrame, order: list[Column], out_col: str, start: int) -
 
     Range-partition and sort; ``monotonically_increasing_id`` evaluated right
     after the sort holds the partition index in its upper bits and the row's
-    position inside the partition in its lower 33 bits.  A table of partition
-    sizes (one row per partition, so its broadcast is bounded by the partition
-    count) supplies each partition's offset.  The ranked rows are shuffled once
-    (the range exchange); the order is total, so positions are deterministic."""
-    # an explicit partition count: AQE never coalesces such a shuffle, so the
-    # position branch and the size branch read the same partitions (with
-    # coalescing they could group partitions differently)
+    position inside the partition in its lower 33 bits.  These positions
+    depend on the physical layout (sampled range bounds), which a second
+    execution of the plan could choose differently, so the positioned rows are
+    written once (reliable checkpoint in the shared folder) and everything
+    below reads that copy.  A table of partition sizes (one row per partition,
+    so its broadcast is bounded by the partition count) supplies each
+    partition's offset.  The ranked rows are shuffled once (the range
+    exchange); the order is total, so positions are deterministic."""
+    from ..session import cut_lineage
+
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     mid = F.monotonically_increasing_id()
-    pos = ordered.withColumn("_mid", mid).select(
-        "*", F.shiftright("_mid", 33).alias("_pid"), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_lr"))
+    pos = cut_lineage(ordered.withColumn("_mid", mid).select(
+        "*", F.shiftright("_mid", 33).alias("_pid"), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_lr")))
     sizes = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = sizes.select("_pid", F.coalesce(
         F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
