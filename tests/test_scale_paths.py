@@ -119,3 +119,12 @@ def test_top_k_by_count_equals_sort_limit(spark, k):
     want = [r["term"] for r in df.orderBy(F.col("count").desc(), F.col("term").asc()).limit(k).collect()]
     got = FT.top_k_by_count(df, k, "count", "term")
     assert sorted(r["term"] for r in got.collect()) == sorted(want)
+
+
+def test_top_k_distributed_rank_path(spark, monkeypatch):
+    monkeypatch.setattr(FT, "MAX_BROADCAST_TERMS", 10)   # candidates above the bound: range rank
+    df = spark.range(0, 900).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("term"),
+                                    (F.col("id") % 7).alias("count"))
+    want = [r["term"] for r in df.orderBy(F.col("count").desc(), F.col("term").asc()).limit(200).collect()]
+    got = FT.top_k_by_count(df, 200, "count", "term")
+    assert sorted(r["term"] for r in got.collect()) == sorted(want)

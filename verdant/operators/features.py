@@ -84,12 +84,20 @@ def fit_vocabulary(train_terms: DataFrame, max_features: int | None = 50000, n_d
     n = F.lit(float(n_docs))
     vocab = stats.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
     if max_features is not None:
-        # alphabetical feature position, ranked without a one-task window
-        vocab = _global_rank(vocab, [F.col("term").asc()], "term_index", 0) \
+        vocab = rank_rows(vocab, [F.col("term").asc()], "term_index", 0, max_features) \
             .withColumn("term_index", F.col("term_index").cast("int"))
     return vocab
 
 
+def rank_rows(df: DataFrame, order: list[Column], out_col: str, start: int, bound: int | None) -> DataFrame:
+    """Positions in ``order`` + ``start``.  When ``bound`` (a checked upper
+    limit of the row count) is at most ``MAX_BROADCAST_TERMS`` one window task
+    sorts them; otherwise the range-partitioned global rank is used."""
+    if bound is not None and bound <= MAX_BROADCAST_TERMS:
+        return df.withColumn(out_col, (F.row_number().over(Window.orderBy(*order)) - 1 + F.lit(start)).cast("long"))
+    return _global_rank(df, order, out_col, start)
+
+
 def top_k_by_count(df: DataFrame, k: int, count_col: str, key_col: str) -> DataFrame:
     """The ``k`` rows with the highest integer ``count_col`` (ties by
     ascending ``key_col``), exactly, without gathering partitions' top-k lists
@@ -101,10 +109,13 @@ def top_k_by_count(df: DataFrame, k: int, count_col: str, key_col: str) -> DataF
     hist = df.groupBy(count_col).agg(F.count(F.lit(1)).alias("_rows"))
     at_least = F.sum("_rows").over(Window.orderBy(F.col(count_col).desc())
                                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    threshold = (hist.withColumn("_cum", at_least).where(F.col("_cum") >= k)
-                     .agg(F.max(count_col)).first()[0])
+    reach = F.col("_cum") >= k
+    # threshold = count of the k-th row; rows at or above it; all rows
+    threshold, n_at, n_all = hist.withColumn("_cum", at_least).agg(
+        F.max(F.when(reach, F.col(count_col))), F.min(F.when(reach, F.col("_cum"))), F.max("_cum")).first()
     candidates = df if threshold is None else df.where(F.col(count_col) >= F.lit(threshold))
-    ranked = _global_rank(candidates, [F.col(count_col).desc(), F.col(key_col).asc()], "_rank", 1)
+    n_candidates = int((n_all if threshold is None else n_at) or 0)
+    ranked = rank_rows(candidates, [F.col(count_col).desc(), F.col(key_col).asc()], "_rank", 1, n_candidates)
     return ranked.where(F.col("_rank") <= k).drop("_rank")
 
 

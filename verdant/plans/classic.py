@@ -100,9 +100,12 @@ def ml_scores(p: Prepared, name: str, max_iter: int | None = None, tol: float =
     vec = fmodel.transform(data).select("doc_id", "label", "split", "features")
     vec = vec.withColumn("label_d", F.col("label").cast("double"))
     train = vec.where(F.col("split") == "train")
-    cw = C.class_weights(train)
-    train = train.join(F.broadcast(cw.select("label", "weight")), "label")
-    n_train = train.count()
+    # class sizes from the split (no text work): one row per class, read once;
+    # the balanced weights go into the rows as a literal map
+    cw = C.class_weights(p.split.where(F.col("split") == "train").select("label")).collect()
+    n_train = sum(int(r["n_c"]) for r in cw)
+    weight_of = F.create_map(*[x for r in cw for x in (F.lit(r["label"]), F.lit(float(r["weight"])))])
+    train = train.withColumn("weight", weight_of[F.col("label")])
     sum_w = float(n_train)  # balanced weights sum to n
     est = C.make_classifier(name, n_train=n_train, sum_weights=sum_w, n_classes=len(p.classes),
                             max_iter=max_iter, tol=tol)
