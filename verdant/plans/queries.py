@@ -579,8 +579,11 @@ _CONV_SQL = (_TF + ", " + O.nb_ctes("sp", "'test'") + ", "
 def q_score_texts(spark, sf):
     """Conversation turns scored by the naive Bayes model fitted on reviews."""
     p = prepared(spark, sf)
-    conv = TB.table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "text")
+    raw = TB.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    # one document per turn: conv_id * (largest turn + 1) + turn is unique for
+    # any number of turns (one scalar aggregate)
+    width = int(raw.agg(F.max("turn")).first()[0] or 0) + 1
+    conv = raw.select((F.col("conv_id") * F.lit(width) + F.col("turn")).alias("doc_id"), "conv_id", "turn", "text")
     conv = by_doc(conv)
     terms = FT.doc_terms(conv, keep=("doc_id",))
     w = FT.tfidf(terms, p.vocab, p.max_features)
