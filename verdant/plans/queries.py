@@ -148,9 +148,10 @@ def _encoded(spark, sf):
     # text shuffled once by document: the id sequences are then assembled
     # without shuffling the (much larger) word rows
     docs = by_doc(TB.table(spark, sf, "documents").select("doc_id", "text"))
-    # read by the encoder and the decoder (hot and rare parts each): written
-    # once to the shared checkpoint folder
-    index = cut_lineage(FT.fit_word_index(docs, with_oov=False))
+    # read by the encoder and the decoder (hot and rare parts each); the ranked
+    # rows are already written once inside the rank, so each read is a scan of
+    # that copy plus a broadcast of partition offsets
+    index = FT.fit_word_index(docs, with_oov=False)
     return FT.encode_reviews(docs, index), index
 
 
