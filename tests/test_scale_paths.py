@@ -128,3 +128,18 @@ def test_top_k_distributed_rank_path(spark, monkeypatch):
     want = [r["term"] for r in df.orderBy(F.col("count").desc(), F.col("term").asc()).limit(200).collect()]
     got = FT.top_k_by_count(df, 200, "count", "term")
     assert sorted(r["term"] for r in got.collect()) == sorted(want)
+
+
+def test_uncapped_naive_bayes_hot_split_equals_broadcast(spark):
+    w = spark.createDataFrame([(d, d % 2, t, float((d * 7 + len(t)) % 5 + 1) / 5.0)
+                               for d in range(1, 41) for t in ("the", "a", f"w{d % 6}", f"x{d % 11}")],
+                              "doc_id long, label int, term string, weight double")
+    docs = w.select("doc_id", "label").distinct()
+    counts = w.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+    lp, prior = C.fit_naive_bayes(w, docs, counts, [0, 1])
+    capped = C.predict_naive_bayes(w, docs, lp, prior, [0, 1], 1000)
+    split = C.predict_naive_bayes(w, docs, lp, prior, [0, 1], None, term_counts=counts, hot_terms=2)
+    plain = C.predict_naive_bayes(w, docs, lp, prior, [0, 1], None)
+    want = {r["doc_id"]: (r["y_pred"], round(r["prob"], 12)) for r in capped.collect()}
+    assert {r["doc_id"]: (r["y_pred"], round(r["prob"], 12)) for r in split.collect()} == want
+    assert {r["doc_id"]: (r["y_pred"], round(r["prob"], 12)) for r in plain.collect()} == want

@@ -62,8 +62,33 @@ def fit_naive_bayes(train_weights: DataFrame, train_docs: DataFrame, vocab: Data
     return log_prob, prior
 
 
+HOT_TERMS = 100_000
+
+
+def _term_join(weights: DataFrame, log_prob: DataFrame, n_classes: int, max_features: int | None,
+               term_counts: DataFrame | None, hot_terms: int | None) -> DataFrame:
+    """weights ⋈ log_prob on term.  Capped vocabulary: one broadcast join.
+    Uncapped with ``term_counts(term, count)``: the ``hot_terms`` most
+    frequent terms' rows are broadcast (the hot keys of this join), the others
+    are joined with a shuffle that by construction has no hot key.  Uncapped
+    without counts: a shuffled join (AQE splits skewed partitions)."""
+    if max_features is not None and max_features * n_classes <= MAX_BROADCAST_TERMS:
+        return weights.join(F.broadcast(log_prob), "term")
+    if term_counts is None:
+        return weights.join(log_prob, "term")
+    from .features import top_k_by_count
+    n_hot = HOT_TERMS if hot_terms is None else hot_terms
+    hot_terms_df = top_k_by_count(term_counts.select("term", "count"), n_hot, "count", "term").select("term")
+    hot = log_prob.join(F.broadcast(hot_terms_df), "term")          # n_hot x classes rows
+    rare = log_prob.join(F.broadcast(hot_terms_df), "term", "left_anti")
+    first = weights.join(F.broadcast(hot), "term")
+    rest = weights.join(F.broadcast(hot_terms_df), "term", "left_anti").join(rare, "term")
+    return first.unionByName(rest)
+
+
 def predict_naive_bayes(weights: DataFrame, docs: DataFrame, log_prob: DataFrame, prior: DataFrame,
-                        classes: Sequence, max_features: int | None, keep=("doc_id", "label")) -> DataFrame:
+                        classes: Sequence, max_features: int | None, keep=("doc_id", "label"),
+                        term_counts: DataFrame | None = None, hot_terms: int | None = None) -> DataFrame:
     """(keep..., y_pred, prob): argmax of prior + sum(weight * flp), first
     (smallest) class on ties; prob = posterior of class 1 (binary) or of the
     predicted class.
@@ -76,10 +101,10 @@ def predict_naive_bayes(weights: DataFrame, docs: DataFrame, log_prob: DataFrame
     priors (one value per class, read once).
     """
     classes = sorted(classes)
-    lp = log_prob if max_features is None or max_features * len(classes) > MAX_BROADCAST_TERMS \
-        else F.broadcast(log_prob)
     priors = {r["class"]: r["prior"] for r in prior.collect()}
-    sums = (weights.select("doc_id", "term", "weight").join(lp, "term")
+    joined = _term_join(weights.select("doc_id", "term", "weight"), log_prob, len(classes), max_features,
+                        term_counts, hot_terms)
+    sums = (joined
                    .groupBy("doc_id", "class").agg(F.sum(F.col("weight") * F.col("flp")).alias("_s"))
                    .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("class", "_s"))).alias("_m")))
     scored = docs.select(*keep).join(sums, "doc_id", "left")

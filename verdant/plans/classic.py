@@ -77,7 +77,7 @@ def nb_scores(p: Prepared, splits=("train", "val", "test")) -> DataFrame:
     docs = p.split.where(F.col("split").isin(list(splits))).select("doc_id", "label", "split")
     w = p.weights.where(F.col("split").isin(list(splits)))
     pred = C.predict_naive_bayes(w, docs, log_prob, prior, p.classes, p.max_features,
-                                 keep=("doc_id", "label", "split"))
+                                 keep=("doc_id", "label", "split"), term_counts=p.vocab)
     return pred.select(F.lit("nb").alias("model"), "split", "doc_id", F.col("label").cast("int").alias("y_true"),
                        "y_pred", "prob")
 
