@@ -7,9 +7,9 @@ attention pools its states, a logistic unit scores it; a document's score is
 that of its worst window, so every word of every text is scored.
 
 Training is done here, in numpy, on a bounded sample of labelled documents
-(``SAMPLE`` per class, the first by a hash of doc_id) with Adam on the
-documents' highest windows.  Scoring runs in Arrow batches on all executors;
-the model (under 1 MB) travels with the function.
+(``SAMPLE`` per class, the first by a hash of doc_id) with Adam, on random
+windows at first and then on the documents' highest ones.  Scoring runs in Arrow batches on all executors;
+the model (a few MB) travels with the function.
 
 Cases: a null or empty text has one empty window (a constant score); very long
 texts are scored in slices of windows; without labelled rows of both classes the
@@ -29,10 +29,17 @@ from pyspark.sql import functions as F
 from .common import arrow_map, crc_bucket, table
 
 WINDOW, STRIDE = 32, 24
-WORDS, CHARS = 1 << 14, 1 << 12
+WORDS, CHARS = 1 << 20, 1 << 12  # hash spaces
+#: words in fewer training documents share one vector
+MIN_DOCS = 3
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 10, 6, 6, 4
 SAMPLE = 1000
-EPOCHS = 12
+STEPS, BATCH = 500, 32
+#: share of the steps on random windows, before the highest ones are taken
+RANDOM = 0.4
+#: words that say nothing fall back to zero
+DROP = 0.15  # share of words hidden in training
+DECAYED, DECAY = ("word", "char"), 0.3
 SLICE = 512  # windows scored at once: their states fit a core's cache
 SEED = 7
 
@@ -78,11 +85,14 @@ def sigmoid(x):
 class Model:
     """The network's arrays; inputs are rows (word, mean of character pairs)."""
 
-    def __init__(self, seed: int = SEED):
+    def __init__(self, index: np.ndarray, seed: int = SEED):
+        #: word hash -> row of the word vectors; 0: too rare to have its own
+        self.index = index
+        words = int(index.max()) + 1
         rng = np.random.default_rng(seed)
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         mat = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"word": np.zeros((WORDS, WORD_DIM), np.float32) + 0.01 * mat(WORDS, WORD_DIM),
+        self.p = {"word": 0.01 * rng.standard_normal((words, WORD_DIM)).astype(np.float32),
                   "char": 0.1 * mat(CHARS, CHAR_DIM),
                   # both directions side by side: (direction, in, 3 gates x hidden)
                   "W": np.stack([mat(d, 3 * h), mat(d, 3 * h)]), "U": np.stack([mat(h, 3 * h), mat(h, 3 * h)]),
@@ -95,7 +105,7 @@ class Model:
         if not len(word):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
         n = np.diff(np.append(at, len(pair)))[:, None]
-        return np.concatenate([self.p["word"][word], np.add.reduceat(self.p["char"][pair], at) / n], axis=1)
+        return np.concatenate([self.p["word"][self.index[word]], np.add.reduceat(self.p["char"][pair], at) / n], axis=1)
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows x (n, T, d); mask (n, T) marks words."""
@@ -261,45 +271,60 @@ class Model:
         return sigmoid(out)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED, batch: int = 64) -> Model:
-    """Adam on the highest window of each document (multiple-instance training)."""
-    model, rng = Model(seed), np.random.default_rng(seed)
+def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = SEED, batch: int = BATCH) -> Model:
+    """Adam on windows of as many documents of either class: random windows
+    first, then each document's highest one (multiple-instance training)."""
     y = np.array(labels, np.float32)
     read = [Words.read(t) for t in texts]
+    seen, docs = np.unique(np.concatenate([np.unique(w) for w, _, _ in read]), return_counts=True)
+    index = np.zeros(WORDS, np.int32)
+    index[seen[docs >= MIN_DOCS]] = np.arange(1, (docs >= MIN_DOCS).sum() + 1)
+    model, rng = Model(index, seed), np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
-    for epoch in range(epochs):
-        rate = 0.02 * (0.5 if epoch >= epochs * 2 // 3 else 1.0)
-        order = rng.permutation(len(texts))
-        for lo in range(0, len(order), batch):
-            some = order[lo:lo + batch]
+    each = [np.flatnonzero(y == label) for label in (0, 1)]
+    decks: list[list[int]] = [[], []]
+    windows = [max(1, -(-(len(w) - WINDOW) // STRIDE) + 1) for w, _, _ in read]
+    while step < steps:
+        some = []
+        for label in (0, 1):  # both classes alike, each reshuffled when it is through
+            for _ in range(batch // 2):
+                decks[label] = decks[label] or rng.permutation(each[label]).tolist()
+                some.append(decks[label].pop())
+        rate = 0.02 if step < steps * 2 // 3 else 0.008
+        if step < steps * RANDOM:
+            offset = np.array([rng.integers(windows[i]) for i in some])
+        else:
             owner, number, logit = map(np.concatenate, zip(*model.window_logits([texts[i] for i in some])))
             rank = np.lexsort((-logit, owner))
             offset = number[rank[np.searchsorted(owner[rank], np.arange(len(some)))]]
-            x = np.zeros((len(some), WINDOW, WORD_DIM + CHAR_DIM), np.float32)
-            mask = np.zeros((len(some), WINDOW), np.float32)
-            for j, i in enumerate(some):
-                rows = model.inputs(texts[i])[offset[j] * STRIDE:][:WINDOW]
-                x[j, :len(rows)], mask[j, :len(rows)] = rows, 1
-            logit, saved = model.forward(x, mask, keep=True)
-            grads, dx = model.backward(x, mask, (sigmoid(logit) - y[some]).astype(np.float32) / len(some), saved)
-            grads["word"], grads["char"] = np.zeros_like(model.p["word"]), np.zeros_like(model.p["char"])
-            for j, i in enumerate(some):
-                word, pair, at = read[i]
-                a = offset[j] * STRIDE
-                b = min(a + WINDOW, len(word))
-                if b <= a:
-                    continue
-                np.add.at(grads["word"], word[a:b], dx[j, :b - a, :WORD_DIM])
-                ends = np.append(at, len(pair))
-                n = np.diff(ends)[a:b]
-                np.add.at(grads["char"], pair[ends[a]:ends[b]], np.repeat(dx[j, :b - a, WORD_DIM:] / n[:, None], n, axis=0))
-            step += 1
-            for k, g in grads.items():
-                m, v = moment[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                model.p[k] -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
+        x = np.zeros((len(some), WINDOW, WORD_DIM + CHAR_DIM), np.float32)
+        mask = np.zeros((len(some), WINDOW), np.float32)
+        for j, i in enumerate(some):
+            rows = model.inputs(texts[i])[offset[j] * STRIDE:][:WINDOW]
+            x[j, :len(rows)], mask[j, :len(rows)] = rows, 1
+        x *= rng.random((len(some), WINDOW, 1), dtype=np.float32) >= DROP
+        logit, saved = model.forward(x, mask, keep=True)
+        grads, dx = model.backward(x, mask, (sigmoid(logit) - y[some]).astype(np.float32) / len(some), saved)
+        grads["word"], grads["char"] = np.zeros_like(model.p["word"]), np.zeros_like(model.p["char"])
+        for j, i in enumerate(some):
+            word, pair, at = read[i]
+            a = offset[j] * STRIDE
+            b = min(a + WINDOW, len(word))
+            if b <= a:
+                continue
+            np.add.at(grads["word"], index[word[a:b]], dx[j, :b - a, :WORD_DIM])
+            ends = np.append(at, len(pair))
+            n = np.diff(ends)[a:b]
+            np.add.at(grads["char"], pair[ends[a]:ends[b]], np.repeat(dx[j, :b - a, WORD_DIM:] / n[:, None], n, axis=0))
+        step += 1
+        for k, g in grads.items():
+            m, v = moment[k]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            if k in DECAYED:
+                model.p[k] *= np.float32(1 - rate * DECAY)
+            model.p[k] -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
     return model
 
 
@@ -315,11 +340,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
             .join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").collect())
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     rows = training_rows(docs, labels, sample)
     share = sum(r.toxic for r in rows) / len(rows) if rows else 0.0
-    model = train([r.text for r in rows], [r.toxic for r in rows], epochs) if 0 < share < 1 else None
+    model = train([r.text for r in rows], [r.toxic for r in rows], steps) if 0 < share < 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
