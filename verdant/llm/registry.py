@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .jaccard import op9_jaccard
 from .language import op7_language
 from .neighbours import op5_neighbours
 from .packing import op8_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
+    "op9_jaccard": op9_jaccard,
     "op10_warc": op10_warc,
 }
 SQL = {"op2_exact_dedup": OP2_SQL}
