@@ -99,6 +99,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def keep_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, all columns as they are.  Rows with a null
+    doc_id stay; one shuffle of the rows by (doc_id, digest)."""
+    gone = (exact_dedup(docs).where(~F.col("kept"))
+            .select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct())
+    gone = written(gone, "dedup_gone")
+    marked = docs.withColumn("_own", digest_of(F.col("text")))
+    cond = (marked["doc_id"].cast("long") == gone["_id"]) & (marked["_own"] == gone["_digest"])
+    return marked.join(gone, cond, "left_anti").drop("_own")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

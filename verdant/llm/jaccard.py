@@ -298,5 +298,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                       F.coalesce("component_id", "doc_id").alias("component_id"), "digest")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id; all
+    columns as they are.  A doc_id of several rows goes only if none of them
+    stays; rows with a null doc_id stay."""
+    found = jaccard_components(docs)
+    gone = (found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+            .where("not stays").select(F.col("doc_id").alias("_id")))
+    gone = written(gone, "jac_gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("digest")

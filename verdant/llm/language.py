@@ -98,31 +98,39 @@ def profiles(docs: DataFrame, k: int = PROFILE) -> dict[str, np.ndarray]:
     return {lang: np.array(x, dtype=np.int64) for lang, x in out.items()}
 
 
+class Profiles:
+    """Learned rank tables, ready to compare a text with."""
+
+    def __init__(self, learned: dict[str, np.ndarray], k: int = PROFILE):
+        self.k, self.langs = k, sorted(learned)
+        self.every = np.unique(np.concatenate([learned[x] for x in self.langs])) if self.langs else np.empty(0, np.int64)
+        self.ranks = np.full((len(self.langs), len(self.every) + 1), -1, dtype=np.int32)
+        for i, lang in enumerate(self.langs):
+            self.ranks[i, np.searchsorted(self.every, learned[lang])] = np.arange(len(learned[lang]))
+
+    def language(self, text: str) -> tuple[str, float]:
+        """The nearest language, and how much nearer it is than the second (or
+        than no match at all)."""
+        mine = top(*grams(text), self.k)
+        if not len(mine) or not self.langs:
+            return UNKNOWN, 0.0
+        at = np.searchsorted(self.every, mine)
+        at[at == len(self.every)] = 0
+        at[self.every[at] != mine] = len(self.every)
+        theirs = self.ranks[:, at]
+        away = np.where(theirs < 0, self.k, np.abs(theirs - np.arange(len(mine)))).sum(axis=1)
+        best = int(away.argmin())
+        second = min([self.k * len(mine), *np.delete(away, best).tolist()])
+        return self.langs[best], float(1 - away[best] / second) if second else 1.0
+
+
 def predict(docs: DataFrame, learned: dict[str, np.ndarray], k: int = PROFILE) -> DataFrame:
-    """doc_id, lang_pred, score of docs(doc_id, text).  The score is how much
-    nearer the best language is than the second (or than no match at all)."""
-    langs = sorted(learned)
-    every = np.unique(np.concatenate([learned[x] for x in langs])) if langs else np.empty(0, np.int64)
-    ranks = np.full((len(langs), len(every) + 1), -1, dtype=np.int32)
-    for i, lang in enumerate(langs):
-        ranks[i, np.searchsorted(every, learned[lang])] = np.arange(len(learned[lang]))
+    """doc_id, lang_pred, score of docs(doc_id, text)."""
+    known = Profiles(learned, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text in b.column(1):
-                mine = top(*grams(text.as_py() or ""), k)
-                if not len(mine) or not langs:
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                at = np.searchsorted(every, mine)
-                at[at == len(every)] = 0
-                at[every[at] != mine] = len(every)
-                theirs = ranks[:, at]
-                away = np.where(theirs < 0, k, np.abs(theirs - np.arange(len(mine)))).sum(axis=1)
-                best = int(away.argmin())
-                second = min([k * len(mine), *np.delete(away, best)])
-                out.append((langs[best], float(1 - away[best] / second) if second else 1.0))
+            out = [known.language(text.as_py() or "") for text in b.column(1)]
             cols = list(zip(*out)) if out else [(), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
@@ -131,6 +139,20 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], k: int = PROFILE) -
     return arrow_map(src, run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, k: int = PROFILE) -> DataFrame:
+    """The rows of docs whose language is known, all columns as they are: texts
+    predicted ``und`` go (while no language could be learned: texts without letters)."""
+    known = Profiles(profiles(docs.where(crc_bucket() != 0), k), k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            keep = [known.language(t or "")[0] != UNKNOWN if known.langs else bool(LETTERS.search(t or "")) for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
+
+
 def identify(docs: DataFrame, k: int = PROFILE) -> DataFrame:
     """Learn from the rows that aren't held out, predict all rows."""
     learned = profiles(docs.where(crc_bucket() != 0), k)
