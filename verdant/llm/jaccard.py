@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, join_groups, table, written
 from .components import components
-from .shingles import digest, mixed, sets_of
+from .shingles import ROWS, digest, mixed, sets_of
 
 PERCENT = 90
 #: a shingle counted in more documents than this is late in the order
@@ -103,7 +103,7 @@ def describe(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "n", "digest", "lows", "shingles", "counts"]
         for b in batches:
             rows, every = [], []
-            for doc_id, s in zip(b.column(0).to_pylist(), sets_of(b.column(1).to_pylist())):
+            for doc_id, s in zip(b.column(0).to_pylist(), sets_of(b.column(1))):
                 lows = None
                 if len(s):
                     with np.errstate(over="ignore"):
@@ -130,11 +130,11 @@ def set_rows(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = has_bit(bits, b.column(2).to_numpy())
-            some = b.filter(pa.array(keep))
-            if some.num_rows:
-                s = [x for x in sets_of(some.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([digest(x) for x in s], pa.binary()),
+            some = b.filter(pa.array(has_bit(bits, b.column(2).to_numpy())))
+            for lo in range(0, some.num_rows, ROWS):
+                part = some.slice(lo, ROWS)
+                s = list(sets_of(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest(x) for x in s], pa.binary()),
                                                   pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "digest", "s"])
 
     found = arrow_map(docs.withColumn("_h", F.xxhash64("doc_id")), run, "doc_id long, digest binary, s array<long>")
@@ -199,35 +199,32 @@ def postings(docs: DataFrame, bits: np.ndarray, small: int) -> DataFrame:
     """digest, n, key, c.  c = 0: a posted shingle of a set that may meet a large
     one; c > 0: a subset of that size of a small set."""
 
+    def posted_by(s: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        n = len(s)
+        if n and 100 * n >= PERCENT * (small + 1):
+            late = has_bit(bits, s)
+            yield np.concatenate([s[~late], s[late]])[:prefix(n)], 0
+        if n and n <= small:
+            with np.errstate(over="ignore"):
+                each = mixed(s.view(np.uint64))
+                total = each.sum(dtype=np.uint64)
+                for c in subset_sizes(n, small):
+                    left = np.array([each[list(out)].sum(dtype=np.uint64) for out in combinations(range(n), n - c)], np.uint64)
+                    yield mixed(total - left).view(np.int64), c
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, ns, keys, cs = [], [], [], []
-
-            def put(name: bytes, n: int, key: np.ndarray, c: int) -> None:
-                names.append((name, len(key)))
-                ns.append(np.full(len(key), n, np.int32))
-                keys.append(key)
-                cs.append(np.full(len(key), c, np.int32))
-
-            for s in sets_of(b.column(0).to_pylist()):
-                n = len(s)
-                if not n:
-                    continue
-                name = digest(s)
-                if 100 * n >= PERCENT * (small + 1):
-                    late = has_bit(bits, s)
-                    put(name, n, np.concatenate([s[~late], s[late]])[:prefix(n)], 0)
-                if n <= small:
-                    with np.errstate(over="ignore"):
-                        each = mixed(s.view(np.uint64))
-                        total = each.sum(dtype=np.uint64)
-                        for c in subset_sizes(n, small):
-                            left = np.array([each[list(out)].sum(dtype=np.uint64) for out in combinations(range(n), n - c)], np.uint64)
-                            put(name, n, mixed(total - left).view(np.int64), c)
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, m in names for _ in range(m)], pa.binary()), pa.array(np.concatenate(ns)),
-                     pa.array(np.concatenate(keys)), pa.array(np.concatenate(cs))], names=["digest", "n", "key", "c"])
+            for lo in range(0, b.num_rows, ROWS):
+                names, ns, keys, cs = [], [], [], []
+                for s in sets_of(b.column(0).slice(lo, ROWS)):
+                    for key, c in posted_by(s):
+                        names += [digest(s)] * len(key)
+                        ns.append(np.full(len(key), len(s), np.int32))
+                        keys.append(key)
+                        cs.append(np.full(len(key), c, np.int32))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array(np.concatenate(x)) for x in (ns, keys, cs))],
+                                                     names=["digest", "n", "key", "c"])
 
     rows = arrow_map(docs.select("text"), run, "digest binary, n int, key long, c int")
     # copies of one text meet here, before and after the shuffle
@@ -240,9 +237,11 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int) -> DataFrame:
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     big = written(roots.join(written(sizes, "jac_root_sizes"), "root").select(
         F.col("node").alias("digest"), "root", (F.col("m") > BIG).alias("big")), "jac_node_roots")
-    rows = posted.join(big, "digest", "left").select(
-        "key", "c", "digest", "n", F.coalesce("root", "digest").alias("root"), F.coalesce("big", F.lit(False)).alias("big"))
-    rows = written(rows, "jac_posted")
+    # a list of one class has no pair
+    shared = written(posted.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "c"), "jac_shared")
+    rows = written(posted.join(shared, ["key", "c"], "left_semi"), "jac_shared_rows")
+    rows = written(rows.join(big, "digest", "left").select(
+        "key", "c", "digest", "n", F.coalesce("root", "digest").alias("root"), F.coalesce("big", F.lit(False)).alias("big")), "jac_rooted")
     lists = rows.groupBy("key", "c").agg(
         F.min("root").alias("r0"), F.max("root").alias("r1"),
         F.min(F.when(F.col("big"), F.col("root"))).alias("b0"), F.max(F.when(F.col("big"), F.col("root"))).alias("b1"))

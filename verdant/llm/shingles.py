@@ -10,9 +10,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SHINGLE = 3
-SEGMENT = 1 << 21  # bytes hashed at once
+SEGMENT = 1 << 19  # bytes hashed at once
+ROWS = 512  # texts held as Python strings at once
 SPACES = b" \t\n\x0b\x0c\r"
 _SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, dtype=np.uint8))
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64) + np.uint64(1)
@@ -99,9 +101,12 @@ def shingle_set(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def sets_of(texts: list[str | None], k: int = SHINGLE) -> Iterator[np.ndarray]:
-    for words in words_of(texts):
-        yield shingle_set(words, k)
+def sets_of(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The set of each text of an Arrow column, a few texts in memory at a time."""
+    for lo in range(0, len(texts), ROWS):
+        for words in words_of(texts.slice(lo, ROWS).to_pylist()):
+            yield shingle_set(words, k)
+    pa.default_memory_pool().release_unused()
 
 
 def digest(s: np.ndarray) -> bytes | None:
