@@ -51,6 +51,8 @@ MIN_HASHES = 4
 MOST_SMALL = 27
 #: a component of more classes than this is big
 BIG = 32
+#: in a list of more classes than this, a pair is taken once, at its first shared key
+LONG = 64
 
 
 def need(a: int, b: int) -> int:
@@ -238,30 +240,45 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int) -> DataFrame:
     big = written(roots.join(written(sizes, "jac_root_sizes"), "root").select(
         F.col("node").alias("digest"), "root", (F.col("m") > BIG).alias("big")), "jac_node_roots")
     # a list of one class has no pair
-    shared = written(posted.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "c"), "jac_shared")
-    rows = written(posted.join(shared, ["key", "c"], "left_semi"), "jac_shared_rows")
+    shared = written(posted.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+                     .select("key", "c", (F.col("m") > LONG).alias("long")), "jac_shared")
+    rows = written(posted.join(shared, ["key", "c"]), "jac_shared_rows")
     rows = written(rows.join(big, "digest", "left").select(
-        "key", "c", "digest", "n", F.coalesce("root", "digest").alias("root"), F.coalesce("big", F.lit(False)).alias("big")), "jac_rooted")
+        "key", "c", "digest", "n", "long", F.coalesce("root", "digest").alias("root"), F.coalesce("big", F.lit(False)).alias("big")), "jac_rooted")
     lists = rows.groupBy("key", "c").agg(
         F.min("root").alias("r0"), F.max("root").alias("r1"),
         F.min(F.when(F.col("big"), F.col("root"))).alias("b0"), F.max(F.when(F.col("big"), F.col("root"))).alias("b1"))
     lists = written(lists.where("r0 != r1").select("key", "c", F.coalesce(F.col("b0") != F.col("b1"), F.lit(False)).alias("two")), "jac_lists")
     live = written(rows.join(lists, ["key", "c"]), "jac_live")
-    a = live.select("key", "c", F.col("digest").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"), F.col("big").alias("gu"), "two")
-    b = live.select("key", "c", F.col("digest").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), F.col("big").alias("gv"))
-    cond = ((F.col("ru") != F.col("rv")) & (100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
-            & F.when(F.col("c") > 0, F.col("c") == need_col("nu", "nv")).otherwise(F.greatest("nu", "nv") > small))
-    light = a.where("not gu").join(b, ["key", "c"]).where(cond & (F.col("gv") | (F.col("u") < F.col("v"))))
-    heavy = a.where("gu and two").join(b.where("gv"), ["key", "c"]).where(cond & (F.col("u") < F.col("v")))
-    pairs = light.drop("two").unionByName(heavy.drop("two")).select(
-        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "c",
-        F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"),
-        F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"))
-    counted = pairs.groupBy("u", "v", "c", "nu", "nv").agg(F.count(F.lit(1)).alias("k"))
+    # classes in long lists carry the keys that they share with anyone
+    own = (rows.where("c = 0").join(live.where("long and c = 0").select("digest").distinct(), "digest", "left_semi")
+           .groupBy("digest").agg(F.sort_array(F.collect_list("key")).alias("keys")))
+    full = live.where("long and c = 0").join(written(own, "jac_own_keys"), "digest")
+    short = live.where("not long or c > 0").withColumn("keys", F.lit(None).cast("array<bigint>"))
+
     pre = lambda n: F.col(n) - F.ceil(F.col(n) * PERCENT / 100.0).cast("int") + 1
     o = need_col("nu", "nv")
     forced = F.greatest(F.lit(1), F.least(pre("nu") - F.col("nu") + o, pre("nv") - F.col("nv") + o))
-    return counted.where((F.col("c") > 0) | (F.col("k") >= forced)).select("u", "v").distinct()
+
+    def meet(side: DataFrame, extra) -> DataFrame:
+        """Pairs of one list; rows of big components only meet other components' rows."""
+        a, b = (side.select("key", "c", F.col("digest").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x),
+                            F.col("big").alias("g" + x), F.col("keys").alias("k" + x), F.col("two").alias("two" + x)) for x in "uv")
+        cond = (F.col("ru") != F.col("rv")) & (100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")) & extra
+        light = a.where("not gu").join(b, ["key", "c"]).where(cond & (F.col("gv") | (F.col("u") < F.col("v"))))
+        heavy = a.where("gu and twou").join(b.where("gv"), ["key", "c"]).where(cond & (F.col("u") < F.col("v")))
+        return light.unionByName(heavy)
+
+    counted = meet(short, F.when(F.col("c") > 0, F.col("c") == o).otherwise(F.greatest("nu", "nv") > small)).select(
+        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "c",
+        F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"),
+        F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"))
+    counted = (counted.groupBy("u", "v", "c", "nu", "nv").agg(F.count(F.lit(1)).alias("k"))
+               .where((F.col("c") > 0) | (F.col("k") >= forced)).select("u", "v"))
+    # a pair that shares a long list is judged there by all keys, and a pair that shares none by its count above
+    both = F.array_intersect("ku", "kv")
+    once = meet(full, (F.greatest("nu", "nv") > small) & (F.size(both) >= forced))
+    return counted.unionByName(once.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
