@@ -103,3 +103,29 @@ def test_csv_edge_rows(spark, tmp_path):
     assert [r["text"] for r in rows] == ["a, quoted comma", 'doubled "quote"', "line\nbreak", None, "NA"]
     enc = {r["label"]: r["label_idx"] for r in P.encode_labels(df, mode="string").collect()}
     assert enc == {"10": 0, "neg": 1, "pos": 2}
+
+
+def test_meta_logreg_is_regularised(spark):
+    """C14 agrees with Newton's method on the L2 problem with C = 1."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    from verdant.operators import classifiers as C
+    rng = np.random.default_rng(3)
+    x = rng.random((40, 3))
+    y = (x @ [1.0, 2.0, -1.5] + 0.3 * rng.standard_normal(40) > 0.7).astype(float)
+    model = C.meta_logreg(len(x)).fit(spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label_d"]))
+    z, w = np.column_stack([x, np.ones(len(x))]), np.zeros(4)
+    ridge = np.diag([1.0, 1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
+    assert np.allclose([*model.coefficients.toArray(), model.intercept], w, atol=1e-4)
+
+
+def test_weighted_vote_with_zero_weights(spark):
+    from verdant.operators import ensemble as E
+    rows = [("a", "test", 1, 1, 0, 0.2), ("b", "test", 1, 1, 0, 0.4)]
+    s = spark.createDataFrame(rows, "model string, split string, doc_id long, y_true int, y_pred int, prob double")
+    w = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "model string, f1 double")
+    got = E.weighted_vote(s, w).collect()
+    assert len(got) == 1 and abs(got[0]["prob"] - 0.3) < 1e-9

@@ -7,7 +7,9 @@ from __spark_entry__ import entry, oracle_sql, queries
 from oracle_check import compare
 
 SF = "/root/testdata/sf0.001"
-SQL = oracle_sql()
+# the training-data queries and their pipeline have their own tests
+OWN = {k for k in queries() if k.startswith("op") and k[2:3].isdigit()} | {"pipeline"}
+SQL = {k: v for k, v in oracle_sql().items() if k not in OWN}
 SLOW_MODELS = {"clf_all", "clf_svm", "stack_gbt_colsample", "compare_models"}
 
 
@@ -17,9 +19,9 @@ def test_oracle(spark, duck001, name):
     assert not problems, problems
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(SQL) - SLOW_MODELS))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(SQL) - SLOW_MODELS - OWN))
 def test_rows_only(spark, name):
-    assert queries()[name](spark, SF).count() >= 0
+    assert queries()[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdant.operators import prepare as P
@@ -46,14 +47,13 @@ def test_split_independent_of_partitioning(spark):
 
 @settings(max_examples=8, deadline=None)
 @given(n=st.integers(min_value=1, max_value=300), k=st.integers(min_value=1, max_value=4),
-       frac=st.sampled_from([0.1, 0.25, 0.5]), digits=st.sampled_from([1, 2, 5]),
-       direct=st.sampled_from([0, None]))
-def test_split_is_partition_with_quotas(spark, n, k, frac, digits, direct):
+       frac=st.sampled_from([0.1, 0.25, 0.5]), digits=st.sampled_from([1, 2, 5]))
+def test_split_is_partition_with_quotas(spark, n, k, frac, digits):
     df = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % k).cast("int").alias("label"))
     sizes = P.class_sizes(df, "label")
     q = P.holdout_allocation(sizes, frac)
     out = P.assign_segments(df, "doc_id", "label", 7, {k: [h] for k, (_, h) in q.items()}, sizes,
-                            ["test", "train"], bucket_digits=digits, direct_max_rows=direct)
+                            ["test", "train"], bucket_digits=digits)
     rows = out.collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(n))
     import math
@@ -71,10 +71,12 @@ def test_sample_exact_size(spark):
         P.sample_exact(df, 0.0)
 
 
-def test_histogram_plan_equals_direct_plan(spark, monkeypatch):
-    """The bucketed plan for large strata gives exactly the one-window result."""
+def test_histogram_plan_equals_one_window(spark):
+    """The bucketed plan gives exactly the ranks of one window per class."""
     r = reviews(spark, "/root/testdata/sf0.1").select("doc_id", "label")
-    direct = {x["doc_id"]: x["split"] for x in P.split_80_10_10(r).collect()}
-    monkeypatch.setattr(P, "DIRECT_MAX_ROWS", 0)
-    bucketed = {x["doc_id"]: x["split"] for x in P.split_80_10_10(r).collect()}
-    assert direct == bucketed
+    sizes = P.class_sizes(r, "label")
+    cuts = {k: [v // 10, v // 3] for k, v in sizes.items()}
+    out = P.assign_segments(r, "doc_id", "label", 42, cuts, sizes, ["a", "b", "c"], "seg")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(P.order_key("doc_id", 42), "doc_id")) - 1
+    plain = {x["doc_id"]: sum(x["r"] >= c for c in cuts[x["label"]]) for x in r.withColumn("r", rank).collect()}
+    assert {x["doc_id"]: "abc".index(x["seg"]) for x in out.collect()} == plain

@@ -226,10 +226,11 @@ def stack_features(meta: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
         meta.withColumn("label_d", F.col("y_true").cast("double")))
 
 
-def meta_logreg(max_iter: int = 1000) -> LogisticRegression:
-    """Meta logistic regression: L2, C = 1 over n rows (regParam = 1/n set by
-    the caller), standardisation off."""
-    return LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=max_iter, standardization=False)
+def meta_logreg(n_rows: int, max_iter: int = 1000) -> LogisticRegression:
+    """Meta logistic regression over ``n_rows`` training rows: L2 with C = 1
+    (the mean loss is regularised by 1/n), standardisation off."""
+    return LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=max_iter, standardization=False,
+                              regParam=1.0 / max(n_rows, 1), tol=1e-10)
 
 
 def meta_gbt(subset: str = "all", seed: int = 42) -> GBTClassifier:

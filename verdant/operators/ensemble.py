@@ -44,21 +44,24 @@ def f1_weights(scores: DataFrame, split: str, models: Sequence[str] | None = Non
 
 # --------------------------------------------------------------------------- E8
 def vote_weights(scores: DataFrame, split: str = "val", models: Sequence[str] | None = None) -> DataFrame:
-    """Macro-F1 weights normalised to sum 1 (one row per model)."""
+    """Macro-F1 weights normalised to sum 1 (one row per model); NULL when every
+    F1 is 0."""
     w = f1_weights(scores, split, models)
     total = F.sum("f1").over(Window.partitionBy())  # one row per model
-    return w.select("model", "f1", (F.col("f1") / total).alias("weight"))
+    return w.select("model", "f1", F.try_divide("f1", total).alias("weight"))
 
 
 def weighted_vote(scores: DataFrame, weights: DataFrame, split: str = "test",
                   models: Sequence[str] | None = None, tie_positive: bool = True,
                   weight_col: str = "f1") -> DataFrame:
     """Per document: sum(w*p)/sum(w) over the members present; class by
-    ``>= 0.5`` (``tie_positive``) or ``> 0.5``."""
-    s = _members(scores, models, split).join(weights.select("model", F.col(weight_col).alias("_w")), "model")
+    ``>= 0.5`` (``tie_positive``) or ``> 0.5``.  All-zero weights count as equal
+    ones.  The weights (one row per model) are broadcast, so the scores keep
+    their layout by document."""
+    s = _members(scores, models, split).join(F.broadcast(weights.select("model", F.col(weight_col).alias("_w"))), "model")
     voted = s.groupBy(*KEY).agg(
         _first_member_truth(models).alias("y_true"),
-        (F.sum(F.col("_w") * F.col("prob")) / F.sum("_w")).alias("prob"))
+        F.coalesce(F.try_divide(F.sum(F.col("_w") * F.col("prob")), F.sum("_w")), F.avg("prob")).alias("prob"))
     return voted.withColumn("y_pred", class_from_prob(F.col("prob"), tie_positive))
 
 
@@ -158,11 +161,11 @@ def ensemble_votes(scores: DataFrame, member_sets: DataFrame, split: str = "test
     on ``weight_split`` or the evaluated split).
     """
     w = f1_weights(scores, weight_split or split)
-    s = (_members(scores, None, split).join(member_sets, "model").join(w, "model"))
+    s = (_members(scores, None, split).join(F.broadcast(member_sets), "model").join(F.broadcast(w), "model"))
     voted = s.groupBy("ensemble", *KEY).agg(
         F.min_by("y_true", "model").alias("y_true"),
         F.avg("y_pred").alias("majority"),
-        (F.sum(F.col("f1") * F.col("prob")) / F.sum("f1")).alias("weighted"))
+        F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("prob")), F.sum("f1")), F.avg("prob")).alias("weighted"))
     return (voted.unpivot(["ensemble", *KEY, "y_true"], ["majority", "weighted"], "method", "score")
                  .withColumn("y_pred", class_from_prob(F.col("score"), True)).drop("score"))
 

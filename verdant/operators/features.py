@@ -84,17 +84,14 @@ def fit_vocabulary(train_terms: DataFrame, max_features: int | None = 50000, n_d
     n = F.lit(float(n_docs))
     vocab = stats.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
     if max_features is not None:
-        vocab = rank_rows(vocab, [F.col("term").asc()], "term_index", 0, max_features) \
+        vocab = rank_rows(vocab, [F.col("term").asc()], "term_index", 0) \
             .withColumn("term_index", F.col("term_index").cast("int"))
     return vocab
 
 
-def rank_rows(df: DataFrame, order: list[Column], out_col: str, start: int, bound: int | None) -> DataFrame:
-    """Positions in ``order`` + ``start``.  When ``bound`` (a checked upper
-    limit of the row count) is at most ``MAX_BROADCAST_TERMS`` one window task
-    sorts them; otherwise the range-partitioned global rank is used."""
-    if bound is not None and bound <= MAX_BROADCAST_TERMS:
-        return df.withColumn(out_col, (F.row_number().over(Window.orderBy(*order)) - 1 + F.lit(start)).cast("long"))
+def rank_rows(df: DataFrame, order: list[Column], out_col: str, start: int) -> DataFrame:
+    """Positions in ``order`` + ``start`` by the range-partitioned global rank,
+    at every size."""
     return _global_rank(df, order, out_col, start)
 
 
@@ -115,7 +112,7 @@ def top_k_by_count(df: DataFrame, k: int, count_col: str, key_col: str) -> DataF
         F.max(F.when(reach, F.col(count_col))), F.min(F.when(reach, F.col("_cum"))), F.max("_cum")).first()
     candidates = df if threshold is None else df.where(F.col(count_col) >= F.lit(threshold))
     n_candidates = int((n_all if threshold is None else n_at) or 0)
-    ranked = rank_rows(candidates, [F.col(count_col).desc(), F.col(key_col).asc()], "_rank", 1, n_candidates)
+    ranked = rank_rows(candidates, [F.col(count_col).desc(), F.col(key_col).asc()], "_rank", 1)
     return ranked.where(F.col("_rank") <= k).drop("_rank")
 
 

@@ -28,8 +28,6 @@ from ..functions.text import clean_text as _clean_text_col
 # Number of hex digits of the md5 order key used as histogram bucket
 # (16**5 = 1,048,576 buckets per stratum).
 BUCKET_HEX_DIGITS = 5
-# Largest stratum ranked by a single window task; larger strata use buckets.
-DIRECT_MAX_ROWS = 1_000_000
 
 
 def require_columns(df: DataFrame, *cols: str) -> None:
@@ -53,8 +51,8 @@ def encode_labels(df: DataFrame, label_col: str = "label", out_col: str = "label
     label among the sorted distinct labels; a numeric one is kept as it is.
     ``string``: every label is cast to string first, so numbers sort as text
     ("10" before "2").
-    The distinct-label table is joined back; AQE broadcasts it at run time when
-    it is small (it has one row per class).
+    The distinct-label table (one row per class) is broadcast, so the rows
+    aren't shuffled by label.
     """
     require_columns(df, label_col)
     if mode not in ("mixed", "string"):
@@ -65,7 +63,7 @@ def encode_labels(df: DataFrame, label_col: str = "label", out_col: str = "label
     raw = F.col(label_col).cast("string")
     classes = label_classes(df.select(raw.alias("_label_raw")), "_label_raw")
     return (df.withColumn("_label_raw", raw)
-              .join(classes, on="_label_raw", how="left")
+              .join(F.broadcast(classes), on="_label_raw", how="left")
               .withColumnRenamed("_class_idx", out_col)
               .drop("_label_raw"))
 
@@ -90,7 +88,7 @@ def order_key(id_col: str, seed: int) -> Column:
 
 def assign_segments(df: DataFrame, id_col: str, strata_col: str | None, seed: int,
                     cuts: dict, sizes: dict, names: Sequence[str], out_col: str = "split",
-                    bucket_digits: int = BUCKET_HEX_DIGITS, direct_max_rows: int | None = None) -> DataFrame:
+                    bucket_digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
     """Cut each stratum's hash order into consecutive segments.
 
     ``cuts`` maps each stratum to its ascending cut positions (segment j holds
@@ -98,12 +96,9 @@ def assign_segments(df: DataFrame, id_col: str, strata_col: str | None, seed: in
     ``names`` has one more entry than each cut list.  Both dicts have one
     entry per stratum (class), read from a small aggregate.
 
-    When the largest stratum has at most ``direct_max_rows`` rows, each
-    stratum is ranked by one window (a task sorts at most that many rows);
-    above it, the histogram plan ranks only the rows of the buckets that
-    contain a cut.
+    One plan at every size: a histogram of the order keys finds the buckets that
+    contain a cut, and only the rows of these buckets are ranked.
     """
-    limit = DIRECT_MAX_ROWS if direct_max_rows is None else direct_max_rows
     strat = strata_col or "_stratum"
     spark = df.sparkSession
     base = df if strata_col else df.withColumn(strat, F.lit(0))
@@ -111,17 +106,9 @@ def assign_segments(df: DataFrame, id_col: str, strata_col: str | None, seed: in
     strat_type = base.schema[strat].dataType
     schema = T.StructType([T.StructField("_cs", strat_type), T.StructField("_pos", T.ArrayType(T.LongType()))])
     cut_lit = spark.createDataFrame([(k, [int(p) for p in v]) for k, v in cuts.items()], schema)
-    max_n = max([int(v) for v in sizes.values()] or [0])
     names_arr = F.array(*[F.lit(n) for n in names])
     drop_strat = [] if strata_col else [strat]
 
-    if max_n <= limit:
-        joined = keyed.join(F.broadcast(cut_lit), keyed[strat].eqNullSafe(F.col("_cs")), "left").drop("_cs")
-        rank = F.row_number().over(Window.partitionBy(strat).orderBy("_k", id_col)) - 1
-        seg = F.size(F.filter(F.coalesce("_pos", F.array().cast("array<bigint>")), lambda p: p <= F.col("_r")))
-        out = joined.withColumn("_r", rank.cast("long")).withColumn(out_col, F.element_at(names_arr, seg + 1))
-        return out.drop("_k", "_pos", "_r", *drop_strat)
-
     keyed = keyed.withColumn("_b", F.substring("_k", 1, bucket_digits))
     cuts = cut_lit.select("_cs", F.posexplode("_pos").alias("j", "p"))
 

@@ -22,19 +22,19 @@ NEURAL_NUM_WORDS = 20000
 
 @query("clf_logreg")
 def q_logreg(spark, sf):
-    return ml_scores(prepared(spark, sf), "logreg", max_iter=100)
+    return ml_scores(prepared(spark, sf), "logreg")
 
 
 @query("clf_svm")
 def q_svm(spark, sf):
-    return ml_scores(prepared(spark, sf), "svm", max_iter=100)
+    return ml_scores(prepared(spark, sf), "svm")
 
 
 def compare(spark, sf, names) -> DataFrame:
     p = prepared(spark, sf)
     parts = []
     for name in names:
-        parts.append(nb_scores(p, ("val", "test")) if name == "nb" else ml_scores(p, name, max_iter=100))
+        parts.append(nb_scores(p, ("val", "test")) if name == "nb" else ml_scores(p, name))
     allscores = parts[0]
     for x in parts[1:]:
         allscores = allscores.unionByName(x)
@@ -73,13 +73,14 @@ def _stack(spark, sf, est, with_conf):
     meta = E.meta_features(s, MODELS, with_confidence=with_conf)
     cols = E.meta_feature_names(MODELS, with_conf)
     data = C.deterministic_order(C.stack_features(meta, cols), "doc_id")
-    model = est.fit(data.where(F.col("split") == "val"))
+    val = data.where(F.col("split") == "val")
+    model = (est(val.count()) if callable(est) else est).fit(val)
     return model, model.transform(data.where(F.col("split") == "test")), cols
 
 
 @query("stack_logreg")
 def q_stack_lr(spark, sf):
-    _, out, _ = _stack(spark, sf, C.meta_logreg(), False)
+    _, out, _ = _stack(spark, sf, C.meta_logreg, False)
     return out.select("doc_id", "y_true", F.col("prediction").cast("int").alias("y_pred"))
 
 

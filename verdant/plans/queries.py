@@ -423,13 +423,13 @@ def q_encode_fixed(spark, sf):
                     F.array_join("attention_mask", " ").alias("attention_mask"))
 
 
-@query("encode_dynamic", W(_WORDS + ", " + _ids_sql(20000) + ", t AS (SELECT * FROM s WHERE split = 'test'), "
+@query("encode_dynamic", W(_WORDS + ", " + _ids_sql(20000) + ", t AS (SELECT * FROM s), "
                            "L AS (SELECT least(max(len(ids)), 256) AS l FROM t) "
                            f"SELECT doc_id, array_to_string({_pad_sql('l')}, ' ') AS input_ids, "
                            f"array_to_string({_mask_sql('l')}, ' ') AS attention_mask FROM t, L",
                            ["doc_id", "input_ids", "attention_mask"]))
 def q_encode_dynamic(spark, sf):
-    e = FT.encode_dynamic(_seq(spark, sf).where(F.col("split") == "test"))
+    e = FT.encode_dynamic(_seq(spark, sf))
     return e.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
                     F.array_join("attention_mask", " ").alias("attention_mask"))
 
@@ -553,11 +553,23 @@ def q_softmax(spark, sf):
     return SC.score_logits(lg).select("vec_id", "prob", "y_pred")
 
 
-@query("argmax_class", W("SELECT vec_id, label, (list_position(l, list_max(l)) - 1)::INT AS y_pred FROM "
-                         "(SELECT vec_id, label, embedding[1:10] AS l FROM embeddings)", ["vec_id", "label", "y_pred"]))
+def _class_weights(k: int, d: int = 64) -> list[float]:
+    """Fixed weights of logit k over all d components."""
+    return [float(x) for x in np.sin((np.arange(d, dtype=np.float64) + 1.0) * (k + 1)) / 8.0]
+
+
+@query("argmax_class", W("SELECT vec_id, label, (list_position(l, list_max(l)) - 1)::INT AS y_pred FROM (SELECT vec_id, label, ["
+                         + ", ".join(f"list_dot_product(embedding::DOUBLE[], {_class_weights(k)}::DOUBLE[])" for k in range(10))
+                         + "] AS l FROM embeddings)", ["vec_id", "label", "y_pred"]))
 def q_argmax(spark, sf):
-    emb = TB.table(spark, sf, "embeddings")
-    return emb.select("vec_id", "label", argmax(F.slice("embedding", 1, 10)).alias("y_pred"))
+    """Ten logits over all components of the vector, then the largest."""
+    emb = TB.table(spark, sf, "embeddings").withColumn("_x", F.col("embedding").cast("array<double>"))
+
+    def logit(k):
+        ws = F.array(*[F.lit(v) for v in _class_weights(k)])
+        return F.aggregate(F.zip_with("_x", ws, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+    return emb.select("vec_id", "label", argmax(F.array(*[logit(k) for k in range(10)])).alias("y_pred"))
 
 
 _CONV_SQL = (_TF + ", " + O.nb_ctes("sp", "'test'") + ", "
