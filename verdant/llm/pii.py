@@ -49,6 +49,9 @@ FEATURES = 256
 SAMPLE = 2000
 MENTIONS = 20_000
 ROUNDS = 20
+#: prior log odds that mentions with one key are one kind; base labels alone can't
+#: show it, since a twin that fails the patterns counts as O among them
+TWIN = 6.0
 DAMPING = 0.5
 
 
@@ -227,7 +230,7 @@ def learn(texts: list[str], most: int = MENTIONS) -> Field:
     share = moves / moves.sum()
     chain = np.log(share / (share.sum(axis=1, keepdims=True) * share.sum(axis=0, keepdims=True)))
     # the unary already holds each label's frequency; transitions of rare labels are damped by the +1 counts
-    return Field(w, np.clip(chain, -2, 2), float(np.log((same + 4) / other)) + 2.0)
+    return Field(w, np.clip(chain, -2, 2), float(np.log((same + 4) / other)) + TWIN)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:

@@ -226,7 +226,18 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             refused += no
             if inner is not None:
                 work.append(inner)
-    return base, sorted(found), refused
+    return base, widest(base, found), refused
+
+
+def widest(base: list[tuple[int, int, int]], found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Base spans, and of the others those that lie in no other span of their
+    kind (a secret may show in several layers of one stretch)."""
+    own, reach, out = set(base), [-1, -1, -1], []
+    for a, kind, b in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
+        if (a, kind, b) in own or b > reach[kind]:
+            out.append((a, kind, b))
+        reach[kind] = max(reach[kind], b)
+    return sorted(out)
 
 
 def spans_text(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
