@@ -143,3 +143,14 @@ def test_uncapped_naive_bayes_hot_split_equals_broadcast(spark):
     want = {r["doc_id"]: (r["y_pred"], round(r["prob"], 12)) for r in capped.collect()}
     assert {r["doc_id"]: (r["y_pred"], round(r["prob"], 12)) for r in split.collect()} == want
     assert {r["doc_id"]: (r["y_pred"], round(r["prob"], 12)) for r in plain.collect()} == want
+
+
+def test_accents_of_every_character(spark):
+    """Compatibility decomposition without combining marks, for every character."""
+    import sys
+    import unicodedata
+    every = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every[i:i + 256]) for i in range(0, len(every), 256)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", TX.strip_accents(F.col("t")).alias("s")).collect()
+    for r in got:
+        assert r["s"] == "".join(c for c in unicodedata.normalize("NFKD", r["t"]) if not unicodedata.combining(c))

@@ -7,6 +7,7 @@ Python.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -34,29 +35,71 @@ PREVIEW_CHARS = 120
 # ---------------------------------------------------------------------------
 
 
+# Hangul syllables decompose by arithmetic: first code point, last one, and the
+# leading, vowel and trailing letters.
+SYLLABLES = (0xAC00, 0xD7A3)
+LEADING = "".join(map(chr, range(0x1100, 0x1113)))
+VOWELS = "".join(map(chr, range(0x1161, 0x1176)))
+TRAILING = "".join(map(chr, range(0x11A8, 0x11C3)))
+
+
+def _without_marks(ch: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+
+
 @lru_cache(maxsize=1)
-def accent_translation() -> tuple[str, str]:
-    """(from, to) strings for ``translate``: Latin-1 Supplement to Latin
-    Extended-B characters whose compatibility decomposition, without combining
-    marks, is exactly one character.  Generated from ``unicodedata``."""
-    src, dst = [], []
-    for cp in range(0x80, 0x250):
+def accent_tables() -> tuple[str, str, dict[str, str]]:
+    """(from, to, longer).  ``translate`` strings for the characters whose
+    compatibility decomposition without combining marks is one other character,
+    followed by those of which nothing is left (deleted: they have no
+    counterpart); and the characters that become several ones, syllables apart.
+    Generated from ``unicodedata`` for all of Unicode."""
+    src, dst, gone, longer = [], [], [], {}
+    for cp in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= cp < 0xE000 or SYLLABLES[0] <= cp <= SYLLABLES[1]:
+            continue
         ch = chr(cp)
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch)
-                       if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch:
+        base = _without_marks(ch)
+        if not base:
+            gone.append(ch)
+        elif len(base) > 1:
+            longer[ch] = base
+        elif base != ch:
             src.append(ch)
             dst.append(base)
-    return "".join(src), "".join(dst)
+    return "".join(src + gone), "".join(dst), longer
 
 
 def lowercase(c: Column) -> Column:
     return F.lower(c)
 
 
+def _syllable(ch: Column) -> Column:
+    n = F.ascii(ch) - F.lit(SYLLABLES[0])
+    each = len(VOWELS) * (len(TRAILING) + 1)
+
+    def letter(letters: str, at: Column) -> Column:
+        return F.substr(F.lit(letters), (at + 1).cast("int"), F.lit(1))
+
+    trail = n % (len(TRAILING) + 1)
+    return F.concat(letter(LEADING, F.floor(n / each)), letter(VOWELS, F.floor(n % each / (len(TRAILING) + 1))),
+                    F.when(trail > 0, letter(TRAILING, trail - 1)).otherwise(F.lit("")))
+
+
 def strip_accents(c: Column) -> Column:
-    src, dst = accent_translation()
-    return F.translate(c, src, dst)
+    """Compatibility decomposition without combining marks.  Characters that
+    become several ones are rare: only texts that hold one are taken apart."""
+    src, dst, longer = accent_tables()
+    one = F.translate(c, src, dst)
+    keys, values = "".join(longer), F.split(F.lit("\t".join(longer.values())), "\t")
+
+    def expanded(ch: Column) -> Column:
+        known = F.try_element_at(values, F.nullif(F.instr(F.lit(keys), ch), F.lit(0)))
+        return (F.when(ch < F.lit("\x80"), ch)
+                .when(ch.between(*map(chr, SYLLABLES)), _syllable(ch)).otherwise(F.coalesce(known, ch)))
+
+    holds = one.rlike(f"[{keys}{chr(SYLLABLES[0])}-{chr(SYLLABLES[1])}]")
+    return F.when(holds, F.array_join(F.transform(F.split(one, ""), expanded), "")).otherwise(one)
 
 
 def normalise(c: Column) -> Column:

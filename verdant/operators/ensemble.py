@@ -30,11 +30,13 @@ def _members(scores: DataFrame, models: Sequence[str] | None, split: str | None)
 
 
 def _first_member_truth(models: Sequence[str] | None) -> Column:
-    """y_true of the first member in the given order (the alignment reference)."""
+    """y_true of the first member in the given order (the alignment reference).
+    A document without a score of every named member is an error."""
     if models is None:
         return F.min_by("y_true", "model")
     order = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model"))
-    return F.min_by("y_true", order)
+    lacking = F.raise_error(F.concat(F.lit("a member has no score for document "), F.col("doc_id").cast("string")))
+    return F.when(F.count(F.lit(1)) >= len(models), F.min_by("y_true", order)).otherwise(lacking)
 
 
 def f1_weights(scores: DataFrame, split: str, models: Sequence[str] | None = None) -> DataFrame:

@@ -17,26 +17,26 @@ def early_stopping(history: DataFrame, monitor: str = "val_accuracy", patience:
     improvement; training stops at the first epoch with ``wait >= patience``.
     The restored (best) epoch is the last improvement at or before the stop.
     Output: run, best_epoch, best_value, stopped_epoch (NULL when it never
-    stops), epochs_run.  Running maxima are segmented (skew-safe).
+    stops), epochs_run.  One segmented running maximum (skew-safe) and one
+    grouped aggregate by run.
     """
     h = history.select(run_col, epoch_col, F.col(monitor).alias("_v"))
     if max_epochs is not None:
         h = h.where(F.col(epoch_col) <= max_epochs)
-    prev = segmented_running_max(h, run_col, epoch_col, F.col("_v"), "_prev_best", include_current=False)
-    improved = prev.withColumn("_imp", F.when(F.col("_prev_best").isNull() | (F.col("_v") > F.col("_prev_best")),
-                                              F.col(epoch_col)))
-    last = segmented_running_max(improved, run_col, epoch_col, F.col("_imp"), "_last_imp", include_current=True)
-    waited = last.withColumn("_wait", F.col(epoch_col) - F.col("_last_imp"))
+    # the earliest epoch that holds the best value so far is the last improvement
+    best = segmented_running_max(h, run_col, epoch_col, F.struct("_v", (-F.col(epoch_col)).alias("_back")), "_best",
+                                 include_current=True)
+    waited = best.select(run_col, F.col(epoch_col).alias("_epoch"), F.col("_best._v").alias("_top"),
+                         F.when(F.col("_best._v").isNull(), F.col(epoch_col)).otherwise(-F.col("_best._back")).alias("_last_imp"))
+    stop = F.when(F.col("_epoch") - F.col("_last_imp") >= patience, F.col("_epoch"))
     per_run = waited.groupBy(run_col).agg(
-        F.min(F.when(F.col("_wait") >= patience, F.col(epoch_col))).alias("stopped_epoch"),
-        F.max(epoch_col).alias("_last_epoch"))
-    seen = waited.join(per_run, run_col).where(
-        F.col("stopped_epoch").isNull() | (F.col(epoch_col) <= F.col("stopped_epoch")))
-    best = seen.groupBy(run_col, "stopped_epoch", "_last_epoch").agg(
-        F.max("_imp").alias("best_epoch"), F.max("_v").alias("best_value"))
-    return best.select(run_col, F.col("best_epoch").cast("int").alias("best_epoch"), "best_value",
-                       F.col("stopped_epoch").cast("int").alias("stopped_epoch"),
-                       F.coalesce("stopped_epoch", "_last_epoch").cast("int").alias("epochs_run"))
+        F.min(stop).alias("stopped_epoch"), F.max("_epoch").alias("_last_epoch"),
+        F.min_by("_last_imp", stop).alias("_stop_imp"), F.min_by("_top", stop).alias("_stop_top"),
+        F.max("_last_imp").alias("_imp"), F.max("_top").alias("_all_top"))
+    return per_run.select(run_col, F.coalesce("_stop_imp", "_imp").cast("int").alias("best_epoch"),
+                          F.coalesce("_stop_top", "_all_top").alias("best_value"),
+                          F.col("stopped_epoch").cast("int").alias("stopped_epoch"),
+                          F.coalesce("stopped_epoch", "_last_epoch").cast("int").alias("epochs_run"))
 
 
 def best_checkpoint(history: DataFrame, monitor: str = "val_accuracy", run_col: str = "run",

@@ -43,6 +43,13 @@ def tradeoff_points(board: DataFrame, group_marker: str = "max") -> DataFrame:
                         F.when(F.lower("model").contains(group_marker), 1).otherwise(0).alias("is_max"))
 
 
+def ensemble_points(results: DataFrame, group_marker: str = "max") -> DataFrame:
+    """L5 for results by ensemble and method: label ``ensemble (method)``, the
+    group flag from the ensemble's name."""
+    return results.select(F.concat("ensemble", F.lit(" ("), "method", F.lit(")")).alias("label"), "emissions", "acc",
+                          F.when(F.lower("ensemble").contains(group_marker), 1).otherwise(0).alias("is_max"))
+
+
 def rounded(board: DataFrame, digits: int = 4, emission_digits: int = 6) -> DataFrame:
     """L6: report view, metrics to four decimals and emissions to six."""
     return board.select(*[F.round(c, emission_digits if c == "emissions" else digits).alias(c)

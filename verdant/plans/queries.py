@@ -679,6 +679,12 @@ def q_label_mapping(spark, sf):
     return P.label_classes(d, "label").select("label", F.col("_class_idx").alias("label_idx"))
 
 
+@query("label_mapping_json", "SELECT '{\"classes_\":[\"' || string_agg(lang, '\",\"' ORDER BY lang) || '\"]}' AS json FROM "
+                             "(SELECT DISTINCT lang FROM documents)")
+def q_label_mapping_json(spark, sf):
+    return K.label_mapping_json(q_label_mapping(spark, sf))
+
+
 _EPOCH_VALUES = "(VALUES (1), (2), (3)) AS e(epoch)"
 
 
@@ -868,6 +874,15 @@ def q_efficiency(spark, sf):
         "ensemble", "method", "acc", "emissions", "efficiency")
 
 
+@query("tradeoff_ensembles", W(_GRID_SQL + "SELECT g.ensemble || ' (' || g.method || ')' AS label, ee.emissions, g.acc, "
+                               "CASE WHEN contains(lower(g.ensemble), 'max') THEN 1 ELSE 0 END AS is_max FROM grid g JOIN ee ON g.ensemble = ee.ensemble",
+                               ["label", "emissions", "acc", "is_max"], {"emissions", "acc"}))
+def q_tradeoff_ensembles(spark, sf):
+    ms = member_sets(spark)
+    grid = E.ensemble_grid(scores(spark, sf), ms).join(L.ensemble_emissions(ms, emissions(spark, sf)), "ensemble")
+    return L.ensemble_points(grid)
+
+
 _BOARD_SQL = (_S + O.EMISSIONS + ", t AS (SELECT * FROM scores WHERE split = 'test'), " + O.cells_ctes("t", "model", "b") +
               ", base AS (SELECT a.model, a.accuracy AS acc, m.f1, coalesce(e.emissions, 0.0) AS emissions FROM b_acc a JOIN b_macro m "
               "ON a.model = m.model LEFT JOIN elookup e ON e.model = lower(a.model)), "
@@ -900,6 +915,13 @@ def q_leaderboard(spark, sf):
     return _board(spark, sf)
 
 
+@query("leaderboard_csv", SQL["leaderboard"])
+def q_leaderboard_csv(spark, sf):
+    path = scratch_path(spark, "leaderboard")
+    K.write_csv(_board(spark, sf), path)
+    return spark.read.schema("model string, acc double, f1 double, emissions double").csv(path, header=True, escape='"')
+
+
 @query("tradeoff_points", W(_BOARD_SQL + "SELECT model, emissions, acc, split_part(model, '-', 1) AS label, "
                             "CASE WHEN contains(lower(model), 'max') THEN 1 ELSE 0 END AS is_max FROM board",
                             ["model", "emissions", "acc", "label", "is_max"], {"emissions", "acc"}))

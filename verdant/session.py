@@ -43,7 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local tests) a scratch folder is created and registered.
+    and the master is local (tests) a scratch folder is created and registered;
+    on a cluster such a folder would be the driver's alone.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="verdant-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -12,11 +12,15 @@ from ..operators.prepare import require_columns, sample_exact
 
 
 def read_reviews(spark: SparkSession, path: str, text_col: str = "text", label_col: str = "label",
-                 schema: str | None = None, null_values: bool = False) -> DataFrame:
+                 schema: str | None = None, null_values: bool = False, multi_line: bool = True) -> DataFrame:
     """Labelled CSV: quoted commas, doubled quotes and line breaks inside
     quotes parse; missing text/label columns raise one error naming them.
-    ``null_values`` also reads the text ``NA`` as missing (pandas reading)."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    ``null_values`` also reads the text ``NA`` as missing (pandas reading).
+
+    Line breaks inside quotes make a file unsplittable (one task per file); for
+    large inputs without them pass ``multi_line=False`` and a ``schema`` (else
+    types are inferred in an extra pass), or keep the table as parquet."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if null_values:
         reader = reader.option("nullValue", "NA")
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)

@@ -53,6 +53,6 @@ def summary_json(summary: DataFrame) -> DataFrame:
 
 def label_mapping_json(label_map: DataFrame) -> DataFrame:
     """K5: ``{"classes_": [...]}`` in index order, as a one-row JSON string."""
-    classes = F.transform(F.array_sort(F.collect_list(F.struct("label_idx", F.col("label").cast("string")))),
+    classes = F.transform(F.array_sort(F.collect_list(F.struct("label_idx", F.col("label").cast("string").alias("label")))),
                           lambda s: s["label"])
     return label_map.agg(F.to_json(F.struct(classes.alias("classes_"))).alias("json"))

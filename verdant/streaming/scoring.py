@@ -1,8 +1,9 @@
-"""Stateless scoring of a stream (C12 on Structured Streaming).
+"""Scoring of a stream (C12 on Structured Streaming).
 
-A fitted scorer (any ``DataFrame -> DataFrame`` built from the same operators,
-for example the naive Bayes scorer or a ``PipelineModel.transform``) is applied
-to a streaming source; the reference has no stateful streaming operators.
+A row-local scorer (``PipelineModel.transform``) is applied to the streaming
+source itself (``score_stream``, ``run_available``).  A scorer that aggregates
+per document (naive Bayes) is applied to every micro-batch (``score_batches``);
+a document is one row, so no state is kept between batches.
 Checkpointing of the query goes to the session's shared checkpoint folder.
 """
 
@@ -33,3 +34,17 @@ def run_available(scored: DataFrame, sink_dir: str, fmt: str = "parquet", checkp
                .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt"))
                .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def score_batches(source: DataFrame, scorer: Callable[[DataFrame], DataFrame], sink_dir: str,
+                  checkpoint: str | None = None) -> None:
+    """Score everything available now, batch by batch, into ``sink_dir/batch=<id>``.
+    A batch repeated after a failure replaces its own folder, so every row is
+    written once."""
+    def one(batch: DataFrame, number: int) -> None:
+        scorer(batch).write.mode("overwrite").parquet(f"{sink_dir}/batch={number}")
+
+    q = (source.writeStream.foreachBatch(one)
+               .option("checkpointLocation", checkpoint or scratch_path(source.sparkSession, "stream-ckpt"))
+               .trigger(availableNow=True).start())
+    q.awaitTermination()
