@@ -51,7 +51,7 @@ MIN_HASHES = 4
 MOST_SMALL = 27
 #: a component of more classes than this is big
 BIG = 32
-#: in a list of more classes than this, a pair is taken once, at its first shared key
+#: in lists of more classes than this, a pair is taken once, at the least key of those that it shares
 LONG = 64
 
 
@@ -250,11 +250,12 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int) -> DataFrame:
         F.min(F.when(F.col("big"), F.col("root"))).alias("b0"), F.max(F.when(F.col("big"), F.col("root"))).alias("b1"))
     lists = written(lists.where("r0 != r1").select("key", "c", F.coalesce(F.col("b0") != F.col("b1"), F.lit(False)).alias("two")), "jac_lists")
     live = written(rows.join(lists, ["key", "c"]), "jac_live")
-    # classes in long lists carry the keys that they share with anyone
+    # classes in long lists carry the keys that they share with anyone, and those of their long lists
+    longs = live.where("long and c = 0").groupBy("digest").agg(F.collect_list("key").alias("longs"))
     own = (rows.where("c = 0").join(live.where("long and c = 0").select("digest").distinct(), "digest", "left_semi")
            .groupBy("digest").agg(F.sort_array(F.collect_list("key")).alias("keys")))
-    full = live.where("long and c = 0").join(written(own, "jac_own_keys"), "digest")
-    short = live.where("not long or c > 0").withColumn("keys", F.lit(None).cast("array<bigint>"))
+    full = live.where("long and c = 0").join(written(own.join(longs, "digest"), "jac_own_keys"), "digest")
+    short = live.where("not long or c > 0").withColumn("keys", F.lit(None).cast("array<bigint>")).withColumn("longs", F.col("keys"))
 
     pre = lambda n: F.col(n) - F.ceil(F.col(n) * PERCENT / 100.0).cast("int") + 1
     o = need_col("nu", "nv")
@@ -263,7 +264,7 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int) -> DataFrame:
     def meet(side: DataFrame, extra) -> DataFrame:
         """Pairs of one list; rows of big components only meet other components' rows."""
         a, b = (side.select("key", "c", F.col("digest").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x),
-                            F.col("big").alias("g" + x), F.col("keys").alias("k" + x), F.col("two").alias("two" + x)) for x in "uv")
+                            F.col("big").alias("g" + x), F.col("keys").alias("k" + x), F.col("longs").alias("l" + x), F.col("two").alias("two" + x)) for x in "uv")
         cond = (F.col("ru") != F.col("rv")) & (100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")) & extra
         light = a.where("not gu").join(b, ["key", "c"]).where(cond & (F.col("gv") | (F.col("u") < F.col("v"))))
         heavy = a.where("gu and twou").join(b.where("gv"), ["key", "c"]).where(cond & (F.col("u") < F.col("v")))
@@ -275,9 +276,9 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int) -> DataFrame:
         F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"))
     counted = (counted.groupBy("u", "v", "c", "nu", "nv").agg(F.count(F.lit(1)).alias("k"))
                .where((F.col("c") > 0) | (F.col("k") >= forced)).select("u", "v"))
-    # a pair that shares a long list is judged there by all keys, and a pair that shares none by its count above
+    # a pair that shares long lists is judged by all keys in the one of the least key, and a pair that shares none by its count above
     both = F.array_intersect("ku", "kv")
-    once = meet(full, (F.greatest("nu", "nv") > small) & (F.size(both) >= forced))
+    once = meet(full, (F.greatest("nu", "nv") > small) & (F.col("key") == F.array_min(F.array_intersect("lu", "lv"))) & (F.size(both) >= forced))
     return counted.unionByName(once.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
 
 
