@@ -54,8 +54,3 @@ def binary_cross_entropy(y: Column, prob: Column) -> Column:
 def safe_ratio(num: Column, den: Column) -> Column:
     """num / den, 0.0 where the denominator is not positive."""
     return F.when(den > 0, num / den).otherwise(F.lit(0.0)).cast("double")
-
-
-def r6(c: Column) -> Column:
-    """Round to six digits for reports and cross-engine comparison."""
-    return F.round(c.cast("double"), 6)

@@ -123,26 +123,6 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 1)
 
 
-def ngrams(tokens: Column, ngram_max: int = 2, ngram_min: int = 1) -> Column:
-    """All n-grams for n in [ngram_min, ngram_max], joined by one space,
-    unigrams first, each order left to right.
-
-    ``tokens`` should be a column reference: an expression passed here would
-    be evaluated again inside the lambda for every position.
-    """
-    parts = []
-    for n in range(ngram_min, ngram_max + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))),
-            lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "),
-        )
-        parts.append(F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
 def separator_class(filters: str = SEQUENCE_FILTERS) -> str:
     """Java regex character class matching every filter character and the
     space."""

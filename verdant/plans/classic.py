@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..operators import classifiers as C
 from ..operators import features as T
-from ..operators.metrics import classification_report
 from ..operators.prepare import split_80_10_10
 from ..session import bucketed_table, by_doc, cut_lineage
 
@@ -82,14 +81,6 @@ def nb_scores(p: Prepared, splits=("train", "val", "test")) -> DataFrame:
                        "y_pred", "prob")
 
 
-def nb_report(reviews: DataFrame, seed: int = 42, max_features: int | None = 50000, ngram_max: int = 2,
-              materialize: bool = True) -> DataFrame:
-    """Minimum slice: naive Bayes fitted on train, classification report on test."""
-    p = prepare(reviews, seed, max_features, ngram_max, materialize=materialize)
-    scores = nb_scores(p, splits=("test",))
-    return classification_report(scores, ("model",))
-
-
 def ml_scores(p: Prepared, name: str, max_iter: int | None = None, tol: float = 1e-6,
               splits=("val", "test")) -> DataFrame:
     """Fit a ``pyspark.ml`` classifier (logreg / svm) on train vectors, score

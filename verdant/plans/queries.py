@@ -182,6 +182,15 @@ def q_emissions_lookup(spark, sf):
     return emissions(spark, sf)
 
 
+@query("emissions_csv", SQL["emissions_lookup"])
+def q_emissions_csv(spark, sf):
+    """The log as CSV files in time order, read back: the last row in file order wins."""
+    path = scratch_path(spark, "emissions-csv")
+    log = TB.emission_log(spark, sf).orderBy("ts", "event_id").select("project_name", "emissions")
+    K.write_csv(log, path)
+    return EM.emissions_lookup(EM.read_emission_log(spark, path))
+
+
 _PATHS_SQL = ("paths AS (SELECT event_id, 'outputs/' || CASE event_type WHEN 'click' THEN 'roberta-base' "
               "WHEN 'view' THEN 'distilbert-base-uncased' WHEN 'error' THEN 'albert-base-v2' ELSE event_type END AS model_dir, "
               "'outputs/' || CASE event_type WHEN 'click' THEN 'roberta-base' WHEN 'view' THEN 'distilbert-base-uncased' "
@@ -467,6 +476,15 @@ def q_report(spark, sf):
     return M.classification_report(nb_scores(prepared(spark, sf), ("test",)), ("model",))
 
 
+@query("report_csv", SQL["classification_report"])
+def q_report_csv(spark, sf):
+    """K2: the report written as CSV and read back."""
+    path = scratch_path(spark, "report-csv")
+    report = q_report(spark, sf)
+    K.write_csv(report, path)
+    return spark.read.schema(report.schema).csv(path, header=True, escape='"')
+
+
 _TF_LANG = (f"WITH src AS (SELECT doc_id, text, lang AS label FROM documents), {O.split_ctes('src', 'sp', '80_10_10')}, "
             f"{O.tfidf_ctes('sp')} ")
 

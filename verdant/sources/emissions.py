@@ -14,23 +14,26 @@ PROJECT_SUFFIX = "_experiment"
 EMISSION_SCHEMA = T.StructType([
     T.StructField("project_name", T.StringType()),
     T.StructField("emissions", T.DoubleType()),
-    T.StructField("ord", T.LongType()),
+    T.StructField("ord", T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])),
 ])
 
 
 def read_emission_log(spark: SparkSession, path: str) -> DataFrame:
     """CSV emission log; an absent path gives an empty table (not an error).
-    The file order is kept in ``ord`` so that the last row per model wins."""
+    ``ord`` is (file path, row order within the file), or the file's own
+    ``ord`` column, so that the last row per model wins however the files are
+    dealt to tasks: a CSV with line breaks in quotes is read by one task."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
         return spark.createDataFrame([], EMISSION_SCHEMA)
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
     require_columns(df, "project_name", "emissions")
-    if "ord" not in df.columns:
-        df = df.withColumn("ord", F.monotonically_increasing_id())
-    return df.select("project_name", F.col("emissions").cast("double").alias("emissions"),
-                     F.col("ord").cast("long").alias("ord"))
+    if "ord" in df.columns:
+        order = F.struct(F.lit("").alias("file"), F.col("ord").cast("long").alias("row"))
+    else:
+        order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return df.select("project_name", F.col("emissions").cast("double").alias("emissions"), order.alias("ord"))
 
 
 def model_key(project_name) -> F.Column:
