@@ -1,14 +1,14 @@
 """Operator 9: size-aware heavy-light Jaccard join of shingle sets.
 
-Documents link when 100 * |A & B| >= 90 * |A | B|; the result is each document's
-component.  Equal sets are one class first (named by a digest), everything after
+Documents link when 100 * |A & B| >= percent * |A | B|; the result is each document's
+component.  Shingle length and percent are parameters; the query's are 3 and 90.  Equal sets are one class first (named by a digest), everything after
 that works on classes.
 
 * Small sets (up to a boundary size) are joined by subsets: sets of sizes a <= b
   link exactly if they share a subset of the size that the threshold asks for, so
   each enumerates its subsets of those fixed sizes and equal subsets meet.
 * Large sets are joined by inverted lists over prefixes: of n shingles in one
-  global order the first n - ceil(0.9 n) + 1 are posted, and a pair is a
+  global order the first n - ceil(n * percent / 100) + 1 are posted, and a pair is a
   candidate only if it shares as many posted shingles as its sizes force it to.
 * The boundary is the size at which enumerating costs more than scanning, from
   the sizes and list lengths of the data.
@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, join_groups, table, written
 from .components import components
-from .shingles import ROWS, digest, mixed, sets_of
+from .shingles import ROWS, SHINGLE, digest, mixed, sets_of
 
+#: the query's threshold; callers with another one (and shingle length) pass theirs
 PERCENT = 90
 #: a shingle counted in more documents than this is late in the order
 FREQUENT = 16
@@ -55,26 +56,27 @@ BIG = 32
 LONG = 64
 
 
-def need(a: int, b: int) -> int:
+def need(a: int, b: int, percent: int = PERCENT) -> int:
     """Least intersection of sets of sizes a, b that link."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def fits(a: int, b: int) -> bool:
-    return 100 * min(a, b) >= PERCENT * max(a, b)
+def fits(a: int, b: int, percent: int = PERCENT) -> bool:
+    return 100 * min(a, b) >= percent * max(a, b)
 
 
-def subset_sizes(n: int, most: int) -> list[int]:
+def subset_sizes(n: int, most: int, percent: int = PERCENT) -> list[int]:
     """Sizes of the subsets that a set of n has to show to partners up to ``most``."""
-    return sorted({need(n, b) for b in range(1, most + 1) if fits(n, b) and (b != n or need(n, n) < n)} - {0})
+    return sorted({need(n, b, percent) for b in range(1, most + 1)
+                   if fits(n, b, percent) and (b != n or need(n, n, percent) < n)} - {0})
 
 
-def prefix(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def prefix(n: int, percent: int = PERCENT) -> int:
+    return n - -(-percent * n // 100) + 1
 
 
-def need_col(a, b):
-    return F.ceil((F.lit(PERCENT) * (F.col(a) + F.col(b))) / F.lit(100 + PERCENT)).cast("int")
+def need_col(a, b, percent: int = PERCENT):
+    return F.ceil((F.lit(percent) * (F.col(a) + F.col(b))) / F.lit(100 + percent)).cast("int")
 
 
 def bit_table(rows: DataFrame, value) -> np.ndarray:
@@ -94,7 +96,7 @@ def has_bit(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, n, digest, lows (min-hashes).  Per batch one more
     row (digest null, n -1) with the shingles of several of its documents and
     their counts."""
@@ -105,7 +107,7 @@ def describe(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "n", "digest", "lows", "shingles", "counts"]
         for b in batches:
             rows, every = [], []
-            for doc_id, s in zip(b.column(0).to_pylist(), sets_of(b.column(1))):
+            for doc_id, s in zip(b.column(0).to_pylist(), sets_of(b.column(1), k)):
                 lows = None
                 if len(s):
                     with np.errstate(over="ignore"):
@@ -125,7 +127,7 @@ def describe(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, n int, digest binary, lows array<long>, shingles array<long>, counts array<int>")
 
 
-def set_rows(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+def set_rows(docs: DataFrame, wanted: DataFrame, name: str, k: int = SHINGLE) -> DataFrame:
     """(digest, s) of the wanted(doc_id, digest).  The text is read once more and
     not shuffled: a bit table passes the wanted ids, a join does the rest."""
     bits = bit_table(wanted, F.xxhash64("doc_id"))
@@ -135,7 +137,7 @@ def set_rows(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
             some = b.filter(pa.array(has_bit(bits, b.column(2).to_numpy())))
             for lo in range(0, some.num_rows, ROWS):
                 part = some.slice(lo, ROWS)
-                s = list(sets_of(part.column(1)))
+                s = list(sets_of(part.column(1), k))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest(x) for x in s], pa.binary()),
                                                   pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "digest", "s"])
 
@@ -144,16 +146,17 @@ def set_rows(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
                    .dropDuplicates(["digest"]).select("digest", "s"), name)
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) whose full sets link."""
     a = sets.select(F.col("digest").alias("u"), F.col("s").alias("su"))
     b = sets.select(F.col("digest").alias("v"), F.col("s").alias("sv"))
     both = pairs.select("u", "v").join(a, "u").join(b, "v")
-    k = F.size(F.array_intersect("su", "sv"))
-    return both.where(100 * k >= PERCENT * (F.size("su") + F.size("sv") - k)).select("u", "v")
+    n = F.size(F.array_intersect("su", "sv"))
+    return both.where(100 * n >= percent * (F.size("su") + F.size("sv") - n)).select("u", "v")
 
 
-def leader_links(classes: DataFrame, described: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def leader_links(classes: DataFrame, described: DataFrame, docs: DataFrame, k: int = SHINGLE,
+                 percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links, and the components they make, between classes with one min-hash and the leaders of these groups,
     for three choices of leader; a later choice skips what is one component."""
     lows = (described.where("digest is not null").select("digest", "n", F.posexplode("lows").alias("i", "low"))
@@ -165,15 +168,15 @@ def leader_links(classes: DataFrame, described: DataFrame, docs: DataFrame) -> t
     members = written(lows.withColumn("key", F.xxhash64("i", "low")).join(groups.drop("m"), ["i", "low", "key"])
                       .select("digest", "n", "a", "b", "c"), "jac_members")
     wanted = classes.join(members.select("digest").distinct(), "digest", "left_semi").select("doc_id", "digest")
-    sets = set_rows(docs, wanted, "jac_group_sets")
+    sets = set_rows(docs, wanted, "jac_group_sets", k)
     sizes = written(members.select(F.col("digest").alias("v"), F.col("n").alias("nv")).distinct(), "jac_sizes")
     links, roots = None, None
     for leader in "abc":
         pairs = (members.where(F.col("digest") != F.col(leader)).select(F.col("digest").alias("u"), F.col(leader).alias("v"), "n")
-                 .distinct().join(sizes, "v").where(100 * F.least("n", "nv") >= PERCENT * F.greatest("n", "nv")))
+                 .distinct().join(sizes, "v").where(100 * F.least("n", "nv") >= percent * F.greatest("n", "nv")))
         if roots is not None:
             pairs = apart(pairs, roots)
-        new = written(linked(written(pairs.select("u", "v"), "jac_leader_pairs"), sets), "jac_leader_links")
+        new = written(linked(written(pairs.select("u", "v"), "jac_leader_pairs"), sets, percent), "jac_leader_links")
         links = new if links is None else written(links.unionByName(new), "jac_links")
         roots = written(components(links), "jac_roots")
     return links, roots
@@ -187,30 +190,30 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             .where(F.coalesce("_ru", "u") != F.coalesce("_rv", "v")).drop("_ru", "_rv"))
 
 
-def boundary(sizes: dict[int, int], list_length: float) -> int:
+def boundary(sizes: dict[int, int], list_length: float, percent: int = PERCENT) -> int:
     """The size up to which enumerating subsets costs less than scanning lists:
     a set costs its number of subsets, or its posted shingles times one more
     than the mean length of their lists."""
-    enum = lambda n, x: sum(comb(n, c) for c in subset_sizes(n, x)) if n <= x else 0
-    scan = lambda n, x: prefix(n) * (1 + list_length) if 100 * n >= PERCENT * (x + 1) else 0
+    enum = lambda n, x: sum(comb(n, c) for c in subset_sizes(n, x, percent)) if n <= x else 0
+    scan = lambda n, x: prefix(n, percent) * (1 + list_length) if 100 * n >= percent * (x + 1) else 0
     total = lambda x: sum(m * (enum(n, x) + scan(n, x)) for n, m in sizes.items() if n <= 2 * MOST_SMALL)
     return min(range(MOST_SMALL + 1), key=lambda x: (total(x), x))
 
 
-def postings(docs: DataFrame, bits: np.ndarray, small: int) -> DataFrame:
+def postings(docs: DataFrame, bits: np.ndarray, small: int, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """digest, n, key, c.  c = 0: a posted shingle of a set that may meet a large
     one; c > 0: a subset of that size of a small set."""
 
     def posted_by(s: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         n = len(s)
-        if n and 100 * n >= PERCENT * (small + 1):
+        if n and 100 * n >= percent * (small + 1):
             late = has_bit(bits, s)
-            yield np.concatenate([s[~late], s[late]])[:prefix(n)], 0
+            yield np.concatenate([s[~late], s[late]])[:prefix(n, percent)], 0
         if n and n <= small:
             with np.errstate(over="ignore"):
                 each = mixed(s.view(np.uint64))
                 total = each.sum(dtype=np.uint64)
-                for c in subset_sizes(n, small):
+                for c in subset_sizes(n, small, percent):
                     left = np.array([each[list(out)].sum(dtype=np.uint64) for out in combinations(range(n), n - c)], np.uint64)
                     yield mixed(total - left).view(np.int64), c
 
@@ -218,7 +221,7 @@ def postings(docs: DataFrame, bits: np.ndarray, small: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 names, ns, keys, cs = [], [], [], []
-                for s in sets_of(b.column(0).slice(lo, ROWS)):
+                for s in sets_of(b.column(0).slice(lo, ROWS), k):
                     for key, c in posted_by(s):
                         names += [digest(s)] * len(key)
                         ns.append(np.full(len(key), len(s), np.int32))
@@ -233,7 +236,7 @@ def postings(docs: DataFrame, bits: np.ndarray, small: int) -> DataFrame:
     return rows.groupBy("key", "c", "digest").agg(F.min("n").alias("n"))
 
 
-def list_pairs(posted: DataFrame, roots: DataFrame, small: int) -> DataFrame:
+def list_pairs(posted: DataFrame, roots: DataFrame, small: int, percent: int = PERCENT) -> DataFrame:
     """Candidate pairs (u, v) of different components that share enough posted
     shingles, or a subset of the right size."""
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
@@ -257,15 +260,15 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int) -> DataFrame:
     full = live.where("long and c = 0").join(written(own.join(longs, "digest"), "jac_own_keys"), "digest")
     short = live.where("not long or c > 0").withColumn("keys", F.lit(None).cast("array<bigint>")).withColumn("longs", F.col("keys"))
 
-    pre = lambda n: F.col(n) - F.ceil(F.col(n) * PERCENT / 100.0).cast("int") + 1
-    o = need_col("nu", "nv")
+    pre = lambda n: F.col(n) - F.ceil(F.col(n) * percent / 100.0).cast("int") + 1
+    o = need_col("nu", "nv", percent)
     forced = F.greatest(F.lit(1), F.least(pre("nu") - F.col("nu") + o, pre("nv") - F.col("nv") + o))
 
     def meet(side: DataFrame, extra) -> DataFrame:
         """Pairs of one list; rows of big components only meet other components' rows."""
         a, b = (side.select("key", "c", F.col("digest").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x),
                             F.col("big").alias("g" + x), F.col("keys").alias("k" + x), F.col("longs").alias("l" + x), F.col("two").alias("two" + x)) for x in "uv")
-        cond = (F.col("ru") != F.col("rv")) & (100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")) & extra
+        cond = (F.col("ru") != F.col("rv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & extra
         light = a.where("not gu").join(b, ["key", "c"]).where(cond & (F.col("gv") | (F.col("u") < F.col("v"))))
         heavy = a.where("gu and twou").join(b.where("gv"), ["key", "c"]).where(cond & (F.col("u") < F.col("v")))
         return light.unionByName(heavy)
@@ -282,10 +285,10 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int) -> DataFrame:
     return counted.unionByName(once.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id per document, and its class's digest."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = written(describe(docs), "jac_described")
+    described = written(describe(docs, k), "jac_described")
     rows = described.where("n >= 0").select("doc_id", "n", "digest")
     counts = (described.where("n = -1").select(F.explode(F.arrays_zip("shingles", "counts")).alias("x"))
               .groupBy(F.col("x.shingles").alias("shingle")).agg(F.sum("x.counts").alias("m")))
@@ -293,15 +296,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = written(rows.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("m"), F.min("n").alias("n")), "jac_classes")
 
-    links, roots = leader_links(classes, described, docs)
+    links, roots = leader_links(classes, described, docs, k, percent)
     hist = {r.n: r["count"] for r in classes.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").count().collect()}
     shared = counts.agg(F.sum("m"), F.count(F.lit(1))).first()
-    small = boundary(hist, shared[0] / shared[1] if shared[1] else 1.0)
-    posted = written(postings(docs, bits, small), "jac_postings")
-    pairs = written(list_pairs(posted, roots, small), "jac_pairs")
+    small = boundary(hist, shared[0] / shared[1] if shared[1] else 1.0, percent)
+    posted = written(postings(docs, bits, small, k, percent), "jac_postings")
+    pairs = written(list_pairs(posted, roots, small, percent), "jac_pairs")
     ends = pairs.select(F.col("u").alias("digest")).union(pairs.select("v")).distinct()
-    sets = set_rows(docs, classes.join(ends, "digest", "left_semi").select("doc_id", "digest"), "jac_pair_sets")
-    links = written(links.unionByName(linked(pairs, sets)), "jac_all_links")
+    sets = set_rows(docs, classes.join(ends, "digest", "left_semi").select("doc_id", "digest"), "jac_pair_sets", k)
+    links = written(links.unionByName(linked(pairs, sets, percent)), "jac_all_links")
     roots = written(components(links), "jac_all_roots")
 
     # every class that has copies or links: its component's smallest doc_id
@@ -315,11 +318,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                       F.coalesce("component_id", "doc_id").alias("component_id"), "digest")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; all
     columns as they are.  A doc_id of several rows goes only if none of them
     stays; rows with a null doc_id stay."""
-    found = jaccard_components(docs)
+    found = jaccard_components(docs, k, percent)
     gone = (found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
             .where("not stays").select(F.col("doc_id").alias("_id")))
     gone = written(gone, "jac_gone")
