@@ -311,6 +311,17 @@ def test_jaccard(spark, odd, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == want
 
 
+def test_jaccard_null_id_bridges(spark):
+    """Two documents linked only through a text without an id are one component; texts known only without ids are one too."""
+    words = [f"w{i}" for i in range(100)]
+    a, bridge, c = words[:90], words[4:94], words[8:98]  # 84 of 92 shingles shared by neighbours, 80 of 96 by the ends
+    alone = [f"x{i}" for i in range(60)]
+    docs = [(7, a), (None, bridge), (None, bridge), (9, c), (None, alone), (None, alone + ["y"]), (3, alone[:20])]
+    got = jaccard.jaccard_components(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")).collect()
+    want = [(7, 88, 7), (9, 88, 7), (None, 88, 7), (None, 88, 7), (3, 18, 3), (None, 58, None), (None, 59, None)]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
+
+
 # -------------------------------------------------------------------- 10 warc
 def test_warc(spark):
     rows = [(5, "http://a/ b", "<p>x</p>"), (3, None, "<p>x</p>"), (9, "u", None), (2, "u", ""), (4, "u", "ünï\r\n\r\nWARC/1.0\r\n" * 50), (3, "v", "<p>x</p>")]

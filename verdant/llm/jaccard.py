@@ -129,21 +129,27 @@ def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 def set_rows(docs: DataFrame, wanted: DataFrame, name: str, k: int = SHINGLE) -> DataFrame:
     """(digest, s) of the wanted(doc_id, digest).  The text is read once more and
-    not shuffled: a bit table passes the wanted ids, a join does the rest."""
+    not shuffled: bit tables pass the wanted ids (null is one of them) and of
+    their sets the wanted digests, a join by digest does the rest."""
     bits = bit_table(wanted, F.xxhash64("doc_id"))
+    digests = bit_table(wanted, F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            some = b.filter(pa.array(has_bit(bits, b.column(2).to_numpy())))
+            some = b.filter(pa.array(has_bit(bits, b.column(1).to_numpy())))
+            seen: set[bytes] = set()  # copies within the batch: many texts may share the null id
             for lo in range(0, some.num_rows, ROWS):
-                part = some.slice(lo, ROWS)
-                s = list(sets_of(part.column(1), k))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest(x) for x in s], pa.binary()),
-                                                  pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "digest", "s"])
-
-    found = arrow_map(docs.withColumn("_h", F.xxhash64("doc_id")), run, "doc_id long, digest binary, s array<long>")
-    return written(found.join(wanted.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
-                   .dropDuplicates(["digest"]).select("digest", "s"), name)
+                names, sets = [], []
+                for x in sets_of(some.column(0).slice(lo, ROWS), k):
+                    name = digest(x)
+                    if name is not None and name not in seen and has_bit(digests, np.array([int.from_bytes(name[:4], "big")]))[0]:
+                        seen.add(name)
+                        names.append(name)
+                        sets.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "s"])
+
+    found = arrow_map(docs.select("text", F.xxhash64("doc_id").alias("_h")), run, "digest binary, s array<long>")
+    return written(found.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), name)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
