@@ -86,6 +86,13 @@ def test_exact_dedup(odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 5, 5, 6, 7]
 
 
+def test_null_ids_with_a_kept_copy_go(spark):
+    docs = spark.createDataFrame([(1, "A b"), (None, "a B"), (None, "a B"), (None, "only"), (None, "only"), (1, "other")], "doc_id long, text string")
+    ids = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    assert ids(exact_dedup.keep_rows(docs)) == sorted([(1, "A b"), (None, "only"), (None, "only"), (1, "other")], key=repr)
+    assert ids(exact_dedup.keep_one(docs)) == sorted([(1, "A b"), (None, "only"), (1, "other")], key=repr)
+
+
 def test_index_takes_batches(spark):
     index = exact_dedup.DigestIndex(spark, 4)
     make = lambda ids, n: spark.createDataFrame([(i, bytes([i % n]) * 32) for i in ids], "doc_id long, digest binary")

@@ -113,6 +113,23 @@ def test_empty_documents(spark):
     assert docs.count() == 0
 
 
+def test_dedup_stages_keep_one_row_without_an_id_or_repeated(spark):
+    rng = random.Random(6)
+    long = [" ".join(rng.choice(["red", "green", "blue", "nine", "four"]) + str(rng.randrange(900)) for _ in range(80)) for _ in range(4)]
+    rows = [(1, long[0]), (1, long[0]), (None, long[0]), (None, long[0] + " more"), (2, long[0] + " end"),
+            (None, long[1]), (None, long[1]), (None, long[1] + " more"), (5, long[2]), (5, long[2] + " end"), (5, long[3]), (None, long[3] + "  end")]
+    docs = spark.createDataFrame([(d, t, "en", "web", len(t)) for d, t in rows], DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    exact = corpus_pipeline.written(stages["exact_dedup"](spark, docs, ""), "test_once_exact")
+    assert exact.columns == docs.columns
+    count = collections.Counter((r.doc_id, r.text) for r in exact.collect())
+    assert count == {x: 1 for x in set(rows) - {(None, long[0])}}
+    near = stages["near_dedup"](spark, exact, "")
+    assert near.columns == docs.columns
+    got = sorted((next(i for i, t in enumerate(long) if r.text.startswith(t)), r.doc_id or 0) for r in near.collect())
+    assert got == [(0, 1), (1, 0), (2, 5), (3, 5)]
+
+
 def test_near_stage_has_five_words_and_80_percent(spark):
     """Four words changed in 200: 0.886 on three-word shingles, 0.815 on five-word ones."""
     rng = random.Random(5)

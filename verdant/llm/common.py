@@ -54,3 +54,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     light = tagged.where(F.col("_heavy").isNull()).drop("_heavy")
     rest = groups.where(F.col(size) <= limit)
     return light.join(rest.hint("merge"), key, "left").unionByName(hot)
+
+
+def one_per(keyed: DataFrame, columns: list[str], rank) -> DataFrame:
+    """Of the rows of each ``_key`` the one with the largest rank (null: the
+    least), then by a hash of its columns; ``_key`` and the columns.  An aggregate
+    with a map-side part, so no key's rows meet in one task."""
+    order = F.struct(rank.alias("rank"), F.xxhash64(*columns).alias("row"))
+    best = keyed.groupBy("_key").agg(F.max_by(F.struct(*columns), order).alias("_best"))
+    return best.select("_key", "_best.*")

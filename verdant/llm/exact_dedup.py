@@ -11,7 +11,8 @@ ever appended to, never rewritten.
 Cases: a null text counts as empty; empty texts are equal to one another;
 rows repeated with the same doc_id count in group_size and are all kept when
 that doc_id is the one that stays; a null doc_id stays only when its group has
-no other; other columns of the input are not read (except by ``keep_rows``).
+no other; other columns of the input are not read (except by ``keep_rows`` and
+``keep_one``, which also leaves one of repeated rows).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import join_groups, table, written
+from .common import join_groups, one_per, table, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -100,16 +101,25 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns as they are.  Rows with a null
-    doc_id stay; one shuffle of the rows by (doc_id, digest)."""
+    """The rows of docs that ``exact_dedup`` marks kept, all columns as they are:
+    a null doc_id goes when its group has another, rows repeated with the doc_id
+    that stays are all kept.  One shuffle of the rows by (doc_id, digest)."""
     gone = (exact_dedup(docs).where(~F.col("kept"))
             .select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct())
     gone = written(gone, "dedup_gone")
     marked = docs.withColumn("_own", digest_of(F.col("text")))
-    cond = (marked["doc_id"].cast("long") == gone["_id"]) & (marked["_own"] == gone["_digest"])
+    cond = marked["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (marked["_own"] == gone["_digest"])
     return marked.join(gone, cond, "left_anti").drop("_own")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each text, all columns as they are: that of the largest doc_id
+    (a null one only if the text has no other), also of repeated rows.  The
+    rows are reduced before and after one shuffle by digest, so a text of many
+    rows reaches its task as one row a map task."""
+    return one_per(docs.withColumn("_key", digest_of(F.col("text"))), docs.columns, F.col("doc_id").cast("long")).drop("_key")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -37,8 +37,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import arrow_map, join_groups, table, written
+from .common import arrow_map, join_groups, one_per, table, written
 from .components import components
 from .shingles import ROWS, SHINGLE, digest, mixed, sets_of
 
@@ -291,8 +292,8 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int, percent: int = P
     return counted.unionByName(once.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id per document, and its class's digest."""
+def class_roots(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, digest per document, and doc_id (the smallest), m, n, digest, root per class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = written(describe(docs, k), "jac_described")
     rows = described.where("n >= 0").select("doc_id", "n", "digest")
@@ -313,9 +314,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     links = written(links.unionByName(linked(pairs, sets, percent)), "jac_all_links")
     roots = written(components(links), "jac_all_roots")
 
-    # every class that has copies or links: its component's smallest doc_id
     tied = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    tied = written(tied, "jac_tied")
+    return rows, written(tied, "jac_tied")
+
+
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id per document, and its class's digest."""
+    rows, tied = class_roots(docs, k, percent)
+    # every class that has copies or links: its component's smallest doc_id
     least = written(tied.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("parts")), "jac_least")
     groups = written(tied.join(least, "root").where("m > 1 or parts > 1").select("digest", "component_id", "m"), "jac_groups_out")
     total = rows.count()
@@ -325,14 +331,27 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; all
-    columns as they are.  A doc_id of several rows goes only if none of them
-    stays; rows with a null doc_id stay."""
-    found = jaccard_components(docs, k, percent)
-    gone = (found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
-            .where("not stays").select(F.col("doc_id").alias("_id")))
-    gone = written(gone, "jac_gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+    """One row of each component, all columns as they are: that of the smallest
+    doc_id (a null one only if the component has no other), also of repeated
+    rows and of texts under one doc_id.  Texts without words stay, each once a
+    (doc_id, text)."""
+    tied = class_roots(docs, k, percent)[1]
+    # the class that stays is its component's first by doc_id, nulls last
+    first = tied.groupBy("root").agg(F.min_by("digest", F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"))
+    gone = written(tied.join(first, "root").where("digest != first").select(F.col("digest").alias("_key")), "jac_gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [digest(x) for x in sets_of(b.column(b.num_columns - 1), k)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.binary())], names=[*b.schema.names[:-1], "_set"])
+
+    schema = StructType([*docs.schema.fields, StructField("_set", BinaryType())])
+    marked = arrow_map(docs.withColumn("_text", F.col("text").cast("string")), run, schema)
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.hex("text"), F.lit("-")))
+    keyed = marked.withColumn("_key", F.coalesce("_set", F.unhex(F.sha2(own.cast("binary"), 256))))
+    # one row a class first, then the classes that go: many rows of a class never meet in one task
+    best = one_per(keyed, docs.columns, -F.col("doc_id").cast("decimal(20,0)"))
+    return best.join(gone, "_key", "left_anti").drop("_key")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
