@@ -8,10 +8,16 @@ cycles (compressed data that inflates to itself among them).  Each layer keeps
 a map from its characters to the document's code points, so that a match in any
 layer is reported at the span of the document that it came from.
 
+A base64 run may go on over line ends and may begin anywhere in a stretch of its
+letters (after a path, say), so it is decoded at each of the four offsets.
+Decoded bytes needn't be text as a whole: their readable stretches are scanned,
+and compressed data is looked for at any place of them, all members of it.
+
 The worklist ends without a bound on depth: URL, Unicode and base64 layers are
-shorter than what they came from, and inflated layers may hold at most
-``MAX_INFLATED`` bytes each (a documented safety bound against decompression
-bombs; layers beyond it are counted in ``n_refused``, not silently dropped).
+shorter than what they came from.  Inflated data is taken in windows of at most
+``MAX_INFLATED`` bytes that overlap by ``OVERLAP``, one in memory at a time;
+compressed data inside a window that ends before it does is read up to there
+and counted in ``n_refused``.
 
 Cases: a null text counts as empty; an empty text has no spans and the digest
 of the empty string; repeated rows are scanned each; other columns aren't read.
@@ -19,7 +25,6 @@ of the empty string; repeated rows are scanned each; other columns aren't read.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -44,8 +49,13 @@ MENTION = re.compile(r"[:=]")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
 MAX_INFLATED = 1 << 24
+OVERLAP = 1 << 16
+FED = 1 << 14  # compressed bytes inflated at once
+#: no secret, plain or encoded, is in a shorter stretch
+READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -82,62 +92,111 @@ class Layer:
 
 
 def as_text(data: bytes) -> str | None:
-    """Decoded bytes as text if they look like text."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
+    """Decoded bytes as text if a stretch of them can be read; bytes that aren't
+    UTF-8 as a whole stand for one character each."""
+    if not READABLE.search(data):
         return None
-    return text if text and not any(c < " " and c not in "\t\n\r" for c in text) else None
-
-
-def inflated(data: bytes) -> tuple[bytes | None, bool]:
-    """The content of gzip or zlib data, and whether it was refused as too large."""
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 6 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None, False
-    z = zlib.decompressobj(47)
     try:
-        out = z.decompress(data, MAX_INFLATED)
-        return (None, True) if z.unconsumed_tail else (out + z.flush(), False)
-    except zlib.error:
-        return None, False
-
-
-def from_bytes(data: bytes, span: tuple[int, int], starts=None, ends=None) -> tuple[Layer | None, int]:
-    """A layer of decoded bytes: inflated while compressed, then as text.
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def is_packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or len(data) > 6 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0
+
+
+class Inflater:
+    """The content of the gzip or zlib data at a place of some bytes, all members;
+    ``end``: where reading stopped, ``whole``: at the end of a member."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.end, self.whole = data, at, False
+
+    def pieces(self) -> Iterator[bytes]:
+        view = memoryview(self.data)
+        while is_packed(self.data[self.end:self.end + 8]):
+            z, self.whole = zlib.decompressobj(47), False
+            while not z.eof and self.end < len(view):
+                fed = bytes(view[self.end:self.end + FED])
+                before = z.copy()
+                try:
+                    out = z.decompress(fed, MAX_INFLATED)
+                    while True:
+                        if out:
+                            yield out
+                        if not z.unconsumed_tail:
+                            break
+                        out = z.decompress(z.unconsumed_tail, MAX_INFLATED)
+                except zlib.error:  # what comes before the fault counts
+                    try:
+                        for i in range(len(fed)):
+                            yield before.decompress(fed[i:i + 1])
+                    except zlib.error:
+                        return
+                self.end += len(fed) - len(z.unused_data)
+            if not z.eof:
+                return
+            self.whole = True
+
+    def windows(self) -> Iterator[tuple[bytes, bool]]:
+        """Content in windows, and whether more follows."""
+        held = bytearray()
+        for piece in self.pieces():
+            held += piece
+            while len(held) > MAX_INFLATED:
+                yield bytes(held[:MAX_INFLATED]), True
+                del held[:MAX_INFLATED - OVERLAP]
+        if held:
+            yield bytes(held), False
+
+
+def constant(value: int, n: int) -> np.ndarray:
+    return np.broadcast_to(np.int64(value), n)
+
+
+def from_bytes(data: bytes, span: tuple[int, int], starts=None, ends=None, outer: frozenset = frozenset(), cut: bool = False) -> Iterator:
+    """The layer of decoded bytes; an iterator like this one for each window of
+    compressed data in them; 1 for compressed data that the window's end cuts.
     starts, ends: the document's position of each byte, when known."""
-    seen: set[bytes] = set()
-    packed = False
-    while True:
-        mark = hashlib.sha256(data).digest()
-        if mark in seen:
-            return None, 0
-        seen.add(mark)
-        out, refused = inflated(data)
-        if refused:
-            return None, 1
-        if out is None:
-            break
-        data, packed = out, True
+    mark = hashlib.sha256(data).digest()
+    if mark in outer:
+        return
+    outer |= {mark}
     text = as_text(data)
-    if text is None:
-        return None, 0
-    if packed or starts is None:
-        return Layer(text, np.full(len(text), span[0]), np.full(len(text), span[1])), 0
-    if len(text) != len(data):  # characters of several bytes
-        at = np.cumsum([0] + [len(c.encode()) for c in text])
-        return Layer(text, starts[at[:-1]], ends[at[1:] - 1]), 0
-    return Layer(text, starts, ends), 0
+    if text is not None:
+        if starts is None:
+            yield Layer(text, constant(span[0], len(text)), constant(span[1], len(text)))
+        elif len(text) != len(data):  # characters of several bytes
+            at = np.cumsum([0] + [len(c.encode()) for c in text])
+            yield Layer(text, starts[at[:-1]], ends[at[1:] - 1])
+        else:
+            yield Layer(text, starts, ends)
+    done = 0
+    for at in [0] * is_packed(data) + [m.start() for m in PACKED.finditer(data)]:
+        if at < done:
+            continue
+        inner = Inflater(data, at)
+        own = span if starts is None else (int(starts[at:].min()), span[1])
+        some = False
+        for window, more in inner.windows():
+            some = True
+            yield from_bytes(window, own, outer=outer, cut=more)
+        if inner.whole:
+            done = inner.end
+        elif cut and some and inner.end >= len(data):
+            yield 1
 
 
 def replaced(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None, list[tuple[bytes, int, int]]]:
     """The layer with every match decoded; a decoded character stands for the
-    whole match.  Also the matches whose bytes aren't text: (bytes, from, to)."""
+    whole match.  Also the matches whose bytes aren't UTF-8: (bytes, from, to)."""
     text, parts, starts, ends, at, raw = layer.text, [], [], [], 0, []
     for m in pattern.finditer(text):
         new = decode(m[0])
         if isinstance(new, bytes):
             raw.append((new, *m.span()))
-            continue
+            new = new.decode("latin-1")  # its readable stretches, where they stand
         if new is None or new == m[0]:
             continue
         a, b = m.span()
@@ -161,8 +220,10 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None, l
 
 def percent(run: str):
     data = bytes.fromhex(run.replace("%", ""))
-    text = as_text(data)
-    return data if text is None and len(data) >= 8 else text
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data
 
 
 def escapes(run: str) -> str | None:
@@ -175,22 +236,25 @@ def escapes(run: str) -> str | None:
         return None
 
 
-def base64_layers(layer: Layer) -> Iterator[tuple[Layer | None, int]]:
+def base64_layers(layer: Layer) -> Iterator:
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if run.isalpha() and (run.islower() or run[1:].islower()):
-            continue  # a plain word: decodes to bytes that aren't text
-        run = run.translate({45: 43, 95: 47})
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        s, e = layer.spans(m.start(), m.start() + len(run))
-        at = np.arange(len(data))
-        first, last = at * 4 // 3, np.minimum(at * 4 // 3 + 1, len(run) - 1)
-        yield from_bytes(data, layer.span(*m.span()), s[first], e[last])
+        run = np.frombuffer(m[0].rstrip("=").translate({45: 43, 95: 47}).encode(), np.uint8)
+        at = np.flatnonzero(run > 32)  # without line ends
+        run = run[at].tobytes()
+        s = e = None
+        for skip in range(4):
+            part = run[skip:]
+            if len(part) % 4 == 1:
+                part = part[:-1]
+            data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+            if not (READABLE.search(data) or PACKED.search(data) or is_packed(data)):
+                continue
+            if s is None:
+                s, e = layer.spans(*m.span())
+                s, e = s[at], e[at]
+            first = np.arange(len(data)) * 4 // 3 + skip
+            last = np.minimum(first + 1, skip + len(part) - 1)
+            yield from_bytes(data, (int(s[first].min()), int(e[last].max())), s[first], e[last])
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
@@ -198,37 +262,43 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = sorted(scan(text))
     if not ("%" in text or "\\" in text or "&#" in text or BASE64.search(text)):
         return base, base, 0
-    found, refused = set(base), 0
-    work, seen = [Layer(text)], set()
+    found, refused, seen = set(base), 0, set()
+    work = [iter([Layer(text)])]  # the next layers of each open layer, the last one first
     while work:
-        layer = work.pop()
-        where = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(),
-                 layer.span(0, len(layer.text)) if layer.text else None)
-        if where in seen:
-            continue
-        seen.add(where)
-        if layer.start is not None:
-            for a, kind, b in scan(layer.text):
-                lo, hi = layer.span(a, b)
-                found.add((lo, kind, hi))
-        for pattern, decode, mark in ((PERCENT, percent, "%"), (ESCAPE, escapes, None)):
-            if mark is None and not ("\\" in layer.text or "&#" in layer.text) or mark and mark not in layer.text:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif isinstance(layer, int):
+            refused += layer
+        elif not isinstance(layer, Layer):
+            work.append(layer)
+        else:
+            where = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(),
+                     layer.span(0, len(layer.text)) if layer.text else None)
+            if where in seen:
                 continue
-            new, raw = replaced(layer, pattern, decode)
-            if new is not None:
-                work.append(new)
-            for data, a, b in raw:
-                inner, no = from_bytes(data, layer.span(a, b))
-                refused += no
-                if inner is not None:
-                    work.append(inner)
-        for inner, no in base64_layers(layer):
-            refused += no
-            if inner is not None:
-                work.append(inner)
+            seen.add(where)
+            if layer.start is not None:
+                for a, kind, b in scan(layer.text):
+                    lo, hi = layer.span(a, b)
+                    found.add((lo, kind, hi))
+            work.append(unwrapped(layer))
     return base, widest(base, found), refused
 
 
+def unwrapped(layer: Layer) -> Iterator:
+    """The layers under one, and iterators of them."""
+    for pattern, decode, mark in ((PERCENT, percent, "%"), (ESCAPE, escapes, None)):
+        if mark is None and not ("\\" in layer.text or "&#" in layer.text) or mark and mark not in layer.text:
+            continue
+        new, raw = replaced(layer, pattern, decode)
+        if new is not None:
+            yield new
+        for data, a, b in raw:
+            yield from_bytes(data, layer.span(a, b))
+    yield from base64_layers(layer)
+
+
 def widest(base: list[tuple[int, int, int]], found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans, and of the others those that lie in no other span of their
     kind (a secret may show in several layers of one stretch)."""
