@@ -35,6 +35,35 @@ def test_logreg_and_svm(prep):
         assert {r[0] for r in s.select("y_pred").distinct().collect()} <= {0, 1}
 
 
+def test_comparison_has_every_model(spark, prep, monkeypatch):
+    """All four models are compared on the test split; the neural one has the reference's sizes."""
+    from verdant.plans import models
+
+    def fake(name):
+        return prep.split.where(F.col("split").isin("val", "test")).select(
+            F.lit(name).alias("model"), "split", "doc_id", F.col("label").alias("y_true"), F.col("label").alias("y_pred"), F.lit(0.5).alias("prob"))
+
+    sizes = []
+
+    class Stop(Exception):
+        pass
+
+    def pipeline(vector_size=32, hidden=(16,), *a, **k):
+        sizes.append((vector_size, tuple(hidden)))
+        raise Stop
+
+    monkeypatch.setattr(C, "neural_pipeline", pipeline)
+    with pytest.raises(Stop):
+        models.neural_scores(spark, prep.split)
+    assert sizes == [(128, (128,))]
+    monkeypatch.setattr(models, "prepared", lambda *a: prep)
+    monkeypatch.setattr(models, "ml_scores", lambda p, name: fake(name))
+    monkeypatch.setattr(models, "nb_scores", lambda p, splits: fake("nb"))
+    monkeypatch.setattr(models, "neural_scores", lambda s, split: fake("neural"))
+    rows = QUERIES["compare_models"](spark, SF).collect()
+    assert sorted((r["model"], r["split"]) for r in rows) == [(m, "test") for m in ("logreg", "nb", "neural", "svm")]
+
+
 def test_importances_sum_to_one(spark):
     df = QUERIES["feature_importances"](spark, SF)
     rows = df.collect()

@@ -175,14 +175,15 @@ def resolve_models(name: str) -> list[str]:
 
 # --------------------------------------------------------------------------- C6
 def neural_pipeline(vector_size: int = 32, hidden: Sequence[int] = (16,), n_classes: int = 2,
-                    max_iter: int = 50, seed: int = 42, partitions: int = 1) -> Pipeline:
+                    max_iter: int = 50, seed: int = 42, partitions: int = 1, passes: int = 1) -> Pipeline:
     """Re-aimed neural baseline: averaged Word2Vec word vectors -> multilayer
     perceptron.  Word order inside a text is not modelled (this is not an
     LSTM).  Word2Vec trains on ``partitions`` tasks (pass the input's
     partition count; 1 trains the whole corpus in one task); its vocabulary
-    is collected to the driver, so the caller bounds it (``with_words``)."""
+    is collected to the driver, so the caller bounds it (``with_words``).
+    ``passes``: how often Word2Vec goes over the corpus."""
     w2v = Word2Vec(vectorSize=vector_size, minCount=1, seed=seed, inputCol="_words", outputCol="features",
-                   maxIter=1, numPartitions=max(1, int(partitions)))
+                   maxIter=passes, numPartitions=max(1, int(partitions)))
     mlp = MultilayerPerceptronClassifier(layers=[vector_size, *hidden, n_classes], maxIter=max_iter, seed=seed,
                                          featuresCol="features", labelCol="label_d", blockSize=128)
     return Pipeline(stages=[w2v, mlp])

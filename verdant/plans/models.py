@@ -18,6 +18,11 @@ from .queries import MODELS, prepared, prepared_split, query, scores
 
 # vocabulary size of the sequence model (the reference's LSTM: 20,000 words)
 NEURAL_NUM_WORDS = 20000
+# its embedding and hidden sizes
+NEURAL_VECTOR = 128
+NEURAL_HIDDEN = 128
+# Word2Vec's passes over the corpus; the perceptron fits on its finished vectors
+NEURAL_PASSES = 1
 
 
 @query("clf_logreg")
@@ -34,7 +39,10 @@ def compare(spark, sf, names) -> DataFrame:
     p = prepared(spark, sf)
     parts = []
     for name in names:
-        parts.append(nb_scores(p, ("val", "test")) if name == "nb" else ml_scores(p, name))
+        if name == "neural":
+            parts.append(neural_scores(spark, p.split))
+        else:
+            parts.append(nb_scores(p, ("val", "test")) if name == "nb" else ml_scores(p, name))
     allscores = parts[0]
     for x in parts[1:]:
         allscores = allscores.unionByName(x)
@@ -48,12 +56,15 @@ def q_all(spark, sf):
 
 @query("compare_models")
 def q_compare(spark, sf):
-    return compare(spark, sf, ["nb", "logreg"]).where(F.col("split") == "test")
+    return compare(spark, sf, [*C.resolve_models("all"), "neural"]).where(F.col("split") == "test")
 
 
 @query("clf_neural")
 def q_neural(spark, sf):
-    split = prepared_split(spark, sf)
+    return neural_scores(spark, prepared_split(spark, sf))
+
+
+def neural_scores(spark, split) -> DataFrame:
     train = split.where(F.col("split") == "train")
     n_classes = train.select("label").distinct().count()  # one row per class
     # the sequence model's vocabulary: 20,000 most frequent training words,
@@ -62,7 +73,7 @@ def q_neural(spark, sf):
     data = C.with_words(split, index, NEURAL_NUM_WORDS).withColumn("label_d", F.col("label").cast("double"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = C.deterministic_order(data, "doc_id", parts)
-    model = C.neural_pipeline(n_classes=n_classes, partitions=parts).fit(data.where(F.col("split") == "train"))
+    model = C.neural_pipeline(NEURAL_VECTOR, (NEURAL_HIDDEN,), n_classes, partitions=parts, passes=NEURAL_PASSES).fit(data.where(F.col("split") == "train"))
     out = C.positive_prob(model.transform(data.where(F.col("split").isin("val", "test"))))
     return out.select(F.lit("neural").alias("model"), "split", "doc_id", F.col("label").alias("y_true"),
                       F.col("prediction").cast("int").alias("y_pred"), "prob")
