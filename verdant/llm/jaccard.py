@@ -14,8 +14,8 @@ that works on classes.
   the sizes and list lengths of the data.
 
 Skew.  The global order puts frequent shingles last (a fixed-size bit table of
-them, 4 MB at any scale, from counts over all documents; it may only cost time,
-never results).  Groups of near copies are first tied to leaders: classes with
+them, 4 MB at any scale, from counts of the shingles that an Arrow batch holds
+twice or more; it may only cost time, never results).  Groups of near copies are first tied to leaders: classes with
 one min-hash are checked against the group's leader, and what links is one
 component; inverted lists then only pair classes of different components, and
 members of big components only meet classes outside them.  Every candidate is
