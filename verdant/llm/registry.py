@@ -10,6 +10,7 @@ from .neighbours import op5_neighbours
 from .packing import op8_packing
 from .pii import op4_pii
 from .secret_scan import op1_secrets
+from .simhash import op13_simhash
 from .toxicity import op6_toxicity
 from .warc import op10_warc
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard": op9_jaccard,
     "op10_warc": op10_warc,
+    "op13_simhash": op13_simhash,
 }
 SQL = {"op2_exact_dedup": OP2_SQL}
