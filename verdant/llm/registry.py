@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .conversation import op11_repair
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .jaccard import op9_jaccard
 from .language import op7_language
 from .neighbours import op5_neighbours
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard": op9_jaccard,
     "op10_warc": op10_warc,
+    "op11_repair": op11_repair,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_simhash": op13_simhash,
 }
-SQL = {"op2_exact_dedup": OP2_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op12_hard_negatives": OP12_SQL}
