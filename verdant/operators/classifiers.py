@@ -5,28 +5,22 @@
   checkable in SQL: per (class, term) weight sums, a broadcast of the bounded
   (classes x vocabulary) log-probability table, and one grouped sum per
   (document, class).
-* Logistic regression, linear SVM, boosted trees and the neural classifier are
-  stock ``pyspark.ml`` estimators over sparse vectors built from the same
-  vocabulary (``CountVectorizerModel.from_vocabulary`` + idf scaling + L2
-  ``Normalizer``): vector assembly is per row, without a shuffle.
+* Logistic regression and the linear SVM are fitted together by ``linear`` over
+  one table of sparse TF-IDF vectors; boosted trees are in ``boosting``.
+* The meta logistic regression is a stock ``pyspark.ml`` estimator.
+* The neural text classifier is in ``neural``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest)
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler,
-                                Word2Vec)
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sequence_words
-from .features import MAX_BROADCAST_TERMS, with_ngrams
+from .features import MAX_BROADCAST_TERMS
 
 
 # --------------------------------------------------------------------------- C2
@@ -120,48 +114,7 @@ def predict_naive_bayes(weights: DataFrame, docs: DataFrame, log_prob: DataFrame
     return scored.select(*keep, yc.alias("y_pred"), F.exp(target - lse).alias("prob"))
 
 
-# ------------------------------------------------------------- vector features
-def vector_features(vocab: DataFrame, text_col: str = "text", ngram_max: int = 2,
-                    features_col: str = "features") -> tuple[DataFrame, Pipeline]:
-    """Per-row TF-IDF vectors: n-gram array -> counts -> idf scaling -> L2.
-
-    The vocabulary (bounded by max_features) is read to the driver once, as
-    ``CountVectorizerModel`` needs it; it is ordered by ``term_index``.
-    """
-    if vocab.limit(MAX_BROADCAST_TERMS + 1).count() > MAX_BROADCAST_TERMS:
-        raise ValueError("vocabulary too large for vector features; set max_features")
-    rows = vocab.select("term", "idf", "term_index").orderBy("term_index").collect()
-    terms = [r["term"] for r in rows]
-    idf = Vectors.dense([r["idf"] for r in rows])
-    cv = CountVectorizerModel.from_vocabulary(terms, inputCol="_terms", outputCol="_tf")
-    scale = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_tfidf")
-    norm = Normalizer(p=2.0, inputCol="_tfidf", outputCol=features_col)
-    return terms, Pipeline(stages=[cv, scale, norm])
-
-
-def with_terms(df: DataFrame, text_col: str = "text", ngram_max: int = 2) -> DataFrame:
-    return with_ngrams(df, text_col, ngram_max, "_terms")
-
-
 # ------------------------------------------------------------------ C1/C3/C5
-def make_classifier(name: str, n_train: int | None = None, sum_weights: float | None = None,
-                    n_classes: int = 2, max_iter: int | None = None, tol: float = 1e-6, seed: int = 42):
-    """Estimator by name: ``logreg`` (L2, C = 1, balanced weights via weightCol),
-    ``svm`` (hinge, C = 1, one-vs-rest beyond two classes), ``nb`` handled in
-    long form; unknown names raise."""
-    if name == "logreg":
-        reg = 1.0 / sum_weights if sum_weights else 0.0
-        return LogisticRegression(featuresCol="features", labelCol="label_d", weightCol="weight",
-                                  regParam=reg, elasticNetParam=0.0, standardization=False,
-                                  maxIter=max_iter or 1000, tol=tol, family="auto")
-    if name == "svm":
-        reg = 1.0 / n_train if n_train else 0.0
-        svc = LinearSVC(featuresCol="features", labelCol="label_d", regParam=reg, standardization=False,
-                        maxIter=max_iter or 1000, tol=tol)
-        return svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="features", labelCol="label_d")
-    raise ValueError(f"unknown model {name!r}; choose logreg, svm or nb")
-
-
 MODEL_NAMES = ("logreg", "svm", "nb")
 
 
@@ -173,47 +126,10 @@ def resolve_models(name: str) -> list[str]:
     return [name]
 
 
-# --------------------------------------------------------------------------- C6
-def neural_pipeline(vector_size: int = 32, hidden: Sequence[int] = (16,), n_classes: int = 2,
-                    max_iter: int = 50, seed: int = 42, partitions: int = 1, passes: int = 1) -> Pipeline:
-    """Re-aimed neural baseline: averaged Word2Vec word vectors -> multilayer
-    perceptron.  Word order inside a text is not modelled (this is not an
-    LSTM).  Word2Vec trains on ``partitions`` tasks (pass the input's
-    partition count; 1 trains the whole corpus in one task); its vocabulary
-    is collected to the driver, so the caller bounds it (``with_words``).
-    ``passes``: how often Word2Vec goes over the corpus."""
-    w2v = Word2Vec(vectorSize=vector_size, minCount=1, seed=seed, inputCol="_words", outputCol="features",
-                   maxIter=passes, numPartitions=max(1, int(partitions)))
-    mlp = MultilayerPerceptronClassifier(layers=[vector_size, *hidden, n_classes], maxIter=max_iter, seed=seed,
-                                         featuresCol="features", labelCol="label_d", blockSize=128)
-    return Pipeline(stages=[w2v, mlp])
-
-
-def with_words(df: DataFrame, index: DataFrame | None = None, bound: int | None = None,
-               text_col: str = "text", oov_token: str = "<OOV>") -> DataFrame:
-    """``_words``: the sequence tokenizer's words; with a word index
-    ``(word, id)`` words outside it become ``oov_token``.  The index is
-    broadcast when ``bound`` (its parameter-bounded size) allows, else joined
-    with a shuffle; words are re-assembled per document in text order."""
-    if index is None:
-        return df.withColumn("_words", sequence_words(F.col(text_col)))
-    pieces = (df.select("doc_id", F.posexplode_outer(sequence_words(F.col(text_col))).alias("pos", "word"))
-                .where(F.col("word").isNotNull()))
-    known = index.select("word", F.lit(True).alias("_known"))
-    known = F.broadcast(known) if bound is not None and bound <= MAX_BROADCAST_TERMS else known
-    mapped = pieces.join(known, "word", "left").select(
-        "doc_id", "pos", F.when(F.col("_known"), F.col("word")).otherwise(F.lit(oov_token)).alias("w"))
-    words = mapped.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"]).alias("_words"))
-    return (df.join(words, "doc_id", "left")
-              .withColumn("_words", F.coalesce(F.col("_words"), F.array().cast("array<string>"))))
-
-
 def deterministic_order(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """Fixed hash partitioning by ``key`` and a sort inside each partition.
 
-    Estimators whose result depends on row order (boosted trees with row
-    sampling, Word2Vec, the perceptron's blocks) then see the same rows in the
+    An estimator whose result depends on row order then sees the same rows in the
     same order on every run, without a global sort into one task.  The count
     defaults to ``spark.sql.shuffle.partitions``; AQE does not change an
     explicit repartition count."""
@@ -221,7 +137,7 @@ def deterministic_order(df: DataFrame, key: str, partitions: int | None = None)
     return df.repartition(n, key).sortWithinPartitions(key)
 
 
-# ------------------------------------------------------------------ C14-C17
+# ---------------------------------------------------------------------- C14
 def stack_features(meta: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(feature_cols), outputCol="features").transform(
         meta.withColumn("label_d", F.col("y_true").cast("double")))
@@ -232,23 +148,3 @@ def meta_logreg(n_rows: int, max_iter: int = 1000) -> LogisticRegression:
     (the mean loss is regularised by 1/n), standardisation off."""
     return LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=max_iter, standardization=False,
                               regParam=1.0 / max(n_rows, 1), tol=1e-10)
-
-
-def meta_gbt(subset: str = "all", seed: int = 42) -> GBTClassifier:
-    """Boosted trees: depth 3, step 0.1, 100 rounds, row fraction 0.8;
-    ``subset='0.8'`` samples 80% of the features (per node in Spark)."""
-    return GBTClassifier(featuresCol="features", labelCol="label_d", maxDepth=3, stepSize=0.1, maxIter=100,
-                         subsamplingRate=0.8, featureSubsetStrategy=subset, seed=seed)
-
-
-def positive_prob(pred: DataFrame, prob_col: str = "probability") -> DataFrame:
-    return pred.withColumn("prob", vector_to_array(F.col(prob_col))[1])
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    """K6: persist a fitted pipeline (overwrite)."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

@@ -34,9 +34,17 @@ def _first_member_truth(models: Sequence[str] | None) -> Column:
     A document without a score of every named member is an error."""
     if models is None:
         return F.min_by("y_true", "model")
+    models = list(dict.fromkeys(models))
     order = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model"))
-    lacking = F.raise_error(F.concat(F.lit("a member has no score for document "), F.col("doc_id").cast("string")))
-    return F.when(F.count(F.lit(1)) >= len(models), F.min_by("y_true", order)).otherwise(lacking)
+    if len(models) < 64:  # one bit a member: two rows of one member don't stand for another
+        present = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (order - 1).cast("int"))) == (1 << len(models)) - 1
+    else:
+        present = F.size(F.collect_set("model")) == len(models)
+    return F.when(present, F.min_by("y_true", order)).otherwise(_lacking())
+
+
+def _lacking() -> Column:
+    return F.raise_error(F.concat(F.lit("a member has no score for document "), F.col("doc_id").cast("string")))
 
 
 def f1_weights(scores: DataFrame, split: str, models: Sequence[str] | None = None) -> DataFrame:
@@ -160,12 +168,18 @@ def ensemble_votes(scores: DataFrame, member_sets: DataFrame, split: str = "test
 
     ``member_sets(ensemble, model)``; methods: ``majority`` (mean of member
     classes >= 0.5) and ``weighted`` (F1-weighted mean probability >= 0.5, F1
-    on ``weight_split`` or the evaluated split).
+    on ``weight_split`` or the evaluated split).  A document that lacks the
+    score of a member of an ensemble that votes on it is an error.
     """
     w = f1_weights(scores, weight_split or split)
-    s = (_members(scores, None, split).join(F.broadcast(member_sets), "model").join(F.broadcast(w), "model"))
+    # one row per member: its bit, and the bits of its whole ensemble
+    of = Window.partitionBy("ensemble")
+    sets = member_sets.select("ensemble", "model").distinct().withColumn("_i", F.row_number().over(of.orderBy("model")) - 1)
+    sets = sets.withColumn("_bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_i"))).select(
+        "ensemble", "model", "_bit", F.sum("_bit").over(of).alias("_all"))
+    s = (_members(scores, None, split).join(F.broadcast(sets), "model").join(F.broadcast(w), "model"))
     voted = s.groupBy("ensemble", *KEY).agg(
-        F.min_by("y_true", "model").alias("y_true"),
+        F.when(F.bit_or("_bit") == F.max("_all"), F.min_by("y_true", "model")).otherwise(_lacking()).alias("y_true"),
         F.avg("y_pred").alias("majority"),
         F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("prob")), F.sum("f1")), F.avg("prob")).alias("weighted"))
     return (voted.unpivot(["ensemble", *KEY, "y_true"], ["majority", "weighted"], "method", "score")

@@ -131,6 +131,20 @@ def tfidf(doc_terms_df: DataFrame, vocab: DataFrame, max_features: int | None,
     return raw.select(*keep, "term", (F.col("_w") / norm).alias("weight"))
 
 
+def document_vectors(weights: DataFrame, docs: DataFrame, vocab: DataFrame, max_features: int | None,
+                     keep=("doc_id", "label", "split")) -> DataFrame:
+    """(keep..., index, value): one sparse row per document of ``docs``, indexes
+    ascending; a document without a term of the vocabulary has none.  Grouped by
+    document like its inputs: tables bucketed by ``doc_id`` don't move."""
+    if "term_index" not in vocab.columns:
+        vocab = rank_rows(vocab, [F.col("term").asc()], "term_index", 0)
+    entries = weights.join(_bounded(vocab.select("term", F.col("term_index").cast("int").alias("term_index")), max_features), "term")
+    rows = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("_x"))
+    return docs.select(*keep).join(rows, "doc_id", "left").select(
+        *keep, F.coalesce(F.col("_x.term_index"), F.array().cast("array<int>")).alias("index"),
+        F.coalesce(F.col("_x.weight"), F.array().cast("array<double>")).alias("value"))
+
+
 # --------------------------------------------------------------------- T9
 def fit_word_index(train: DataFrame, text_col: str = "text", with_oov: bool = True) -> DataFrame:
     """(word, id, count): words ranked by frequency (ties by word).  With

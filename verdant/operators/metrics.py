@@ -44,9 +44,9 @@ def class_counts(cells: DataFrame, group: Group) -> DataFrame:
                    .agg(F.sum("tp").alias("tp"), F.sum("pred").alias("pred"), F.sum("support").alias("support")))
 
 
-def _prf(counts: DataFrame, group: Group) -> DataFrame:
+def _prf(counts: DataFrame, group: Group, *more: str) -> DataFrame:
     return counts.select(
-        *group, "class",
+        *group, "class", *more,
         safe_ratio(F.col("tp").cast("double"), F.col("pred").cast("double")).alias("precision"),
         safe_ratio(F.col("tp").cast("double"), F.col("support").cast("double")).alias("recall"),
         safe_ratio(2.0 * F.col("tp").cast("double"), (F.col("pred") + F.col("support")).cast("double")).alias("f1"),
@@ -72,17 +72,20 @@ def summary_metrics(scores: DataFrame, group: Group = ("model", "split"), y_true
                     y_pred: str = "y_pred") -> DataFrame:
     """accuracy and macro precision / recall / F1 per group, from one
     confusion aggregate."""
-    cells = confusion_cells(scores, group, y_true, y_pred)
-    per_class = _prf(class_counts(cells, group), group)
-    macro = per_class.groupBy(*group).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                                          F.avg("f1").alias("f1"))
-    acc = cells.groupBy(*group).agg(
-        (F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).cast("double")
-         / F.sum("n").cast("double")).alias("accuracy"),
-        F.sum("n").cast("long").alias("n"))
+    return metrics_of_cells(confusion_cells(scores, group, y_true, y_pred), group)
+
+
+def metrics_of_cells(cells: DataFrame, group: Group) -> DataFrame:
+    """accuracy, n and macro precision / recall / F1 per group, from confusion
+    cells (group, y_true, y_pred, n).  The classes' right answers and supports add
+    up to the group's, so one aggregate over classes gives all of them."""
     if not group:
         raise ValueError("summary_metrics needs at least one grouping column")
-    return acc.join(macro, list(group))
+    counts = class_counts(cells, group)
+    per_class = _prf(counts, group, "tp")
+    return per_class.groupBy(*group).agg(
+        (F.sum("tp").cast("double") / F.sum("support").cast("double")).alias("accuracy"), F.sum("support").cast("long").alias("n"),
+        *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
 # --------------------------------------------------------------------------- M4

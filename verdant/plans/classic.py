@@ -8,6 +8,7 @@ long lineage).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classifiers as C
 from ..operators import features as T
+from ..operators import linear as LIN
 from ..operators.prepare import split_80_10_10
 from ..session import bucketed_table, by_doc, cut_lineage
 
@@ -30,6 +32,7 @@ class Prepared:
     classes: list
     max_features: int | None
     ngram_max: int
+    vectors: tuple[DataFrame, int] | None = None  # filled by vector_rows
 
 
 def prepare_split(reviews: DataFrame, seed: int = 42, test_size: float = 0.1, val_size: float = 0.1,
@@ -81,31 +84,35 @@ def nb_scores(p: Prepared, splits=("train", "val", "test")) -> DataFrame:
                        "y_pred", "prob")
 
 
-def ml_scores(p: Prepared, name: str, max_iter: int | None = None, tol: float = 1e-6,
-              splits=("val", "test")) -> DataFrame:
-    """Fit a ``pyspark.ml`` classifier (logreg / svm) on train vectors, score
-    the requested splits."""
-    _, feat = C.vector_features(p.vocab)
-    data = C.with_terms(p.split, ngram_max=p.ngram_max)
-    fmodel = feat.fit(data)
-    vec = fmodel.transform(data).select("doc_id", "label", "split", "features")
-    vec = vec.withColumn("label_d", F.col("label").cast("double"))
-    train = vec.where(F.col("split") == "train")
-    # class sizes from the split (no text work): one row per class, read once;
-    # the balanced weights go into the rows as a literal map
-    cw = C.class_weights(p.split.where(F.col("split") == "train").select("label")).collect()
-    n_train = sum(int(r["n_c"]) for r in cw)
-    weight_of = F.create_map(*[x for r in cw for x in (F.lit(r["label"]), F.lit(float(r["weight"])))])
-    train = train.withColumn("weight", weight_of[F.col("label")])
-    sum_w = float(n_train)  # balanced weights sum to n
-    est = C.make_classifier(name, n_train=n_train, sum_weights=sum_w, n_classes=len(p.classes),
-                            max_iter=max_iter, tol=tol)
-    model = est.fit(train)
-    out = model.transform(vec.where(F.col("split").isin(list(splits))))
-    if "probability" in out.columns:
-        prob = C.vector_to_array("probability")[F.lit(1) if len(p.classes) == 2 else F.col("prediction").cast("int")]
-    else:
-        raw = C.vector_to_array("rawPrediction")
-        prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-(raw[1] - raw[0]))) if len(p.classes) == 2 else F.lit(None).cast("double")
-    return out.select(F.lit(name).alias("model"), "split", "doc_id", F.col("label").cast("int").alias("y_true"),
-                      F.col("prediction").cast("int").alias("y_pred"), prob.alias("prob"))
+def vector_rows(p: Prepared) -> tuple[DataFrame, int]:
+    """(doc_id, label, split, y, index, value) of every document, y its class
+    number, and the number of features.  Built from the TF-IDF table and written
+    once per flow, bucketed by document like it: no text is read again and no
+    row moves."""
+    if p.vectors is None:
+        vectors = T.document_vectors(p.weights, p.split, p.vocab, p.max_features)
+        y = F.array_position(F.array(*[F.lit(c) for c in p.classes]), F.col("label")) - 1
+        p.vectors = bucketed_table(vectors.withColumn("y", y.cast("int")), "doc_id", "vectors"), p.vocab.count()
+    return p.vectors
+
+
+def linear_scores(p: Prepared, names: Sequence[str], splits=("val", "test"), tol: float = 1e-4, max_iter: int = 100,
+                  passes: list | None = None) -> DataFrame:
+    """The scores of linear classifiers (logreg, svm) fitted together on the
+    train vectors; one pass over them serves all."""
+    models = fit_linear(p, names, tol, max_iter, passes)
+    return score_linear(p, models, splits)
+
+
+def fit_linear(p: Prepared, names: Sequence[str], tol: float = 1e-4, max_iter: int = 100, passes: list | None = None) -> list[LIN.LinearModel]:
+    rows, features = vector_rows(p)
+    train = rows.where(F.col("split") == "train").select("y", "index", "value")
+    per = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}  # one row per class
+    return LIN.fit_models(train, names, p.classes, features, [per.get(k, 0) for k in range(len(p.classes))], tol, max_iter, passes)
+
+
+def score_linear(p: Prepared, models: Sequence[LIN.LinearModel], splits=("val", "test")) -> DataFrame:
+    rows, _ = vector_rows(p)
+    scored = LIN.score(rows.where(F.col("split").isin(list(splits))), models, ["split", "doc_id", "label"])
+    y = F.element_at(F.array(*[F.lit(c) for c in p.classes]), F.col("choice") + 1)
+    return scored.select("model", "split", "doc_id", F.col("label").cast("int").alias("y_true"), y.cast("int").alias("y_pred"), "prob")

@@ -1,52 +1,56 @@
-"""Model-fitting queries (rows-only check): logistic regression, linear SVM,
-all classic models, the neural baseline, model comparison, stacked
-ensembles and feature importances.  Their invariants are tested in
-``tests/test_models.py``."""
+"""Model-fitting queries: logistic regression, linear SVM, all classic models,
+the neural classifier, model comparison, stacked ensembles, feature
+importances, stored models.  What SQL can't check is tested in
+``tests/test_linear.py``, ``test_boosting.py``, ``test_neural.py`` and
+``test_models.py``."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import classifiers as C
 from ..operators import ensemble as E
-from ..operators import features as FT
+from ..operators import history as H
 from ..operators import metrics as M
-from ..sources import tables as TB
-from .classic import ml_scores, nb_scores
-from .queries import MODELS, prepared, prepared_split, query, scores
+from ..operators import neural as N
+from ..operators import stored as ST
+from ..session import scratch_path
+from ..sources.model_store import ModelStore
+from . import oracle as O
+from .classic import linear_scores, nb_scores
+from .queries import _TF, MODELS, QUERIES, prepared, prepared_split, query, scores
 
-# vocabulary size of the sequence model (the reference's LSTM: 20,000 words)
-NEURAL_NUM_WORDS = 20000
-# its embedding and hidden sizes
-NEURAL_VECTOR = 128
-NEURAL_HIDDEN = 128
-# Word2Vec's passes over the corpus; the perceptron fits on its finished vectors
-NEURAL_PASSES = 1
+# the sequence model's embedding and layer sizes and epochs are the reference's
+NEURAL = N.Settings(size=128, filters=128, epochs=6, patience=2)
+_FITTED: dict = {}
 
 
 @query("clf_logreg")
 def q_logreg(spark, sf):
-    return ml_scores(prepared(spark, sf), "logreg")
+    return linear_scores(prepared(spark, sf), ["logreg"])
 
 
 @query("clf_svm")
 def q_svm(spark, sf):
-    return ml_scores(prepared(spark, sf), "svm")
+    return linear_scores(prepared(spark, sf), ["svm"])
 
 
 def compare(spark, sf, names) -> DataFrame:
+    """Metrics by model and split; the linear models are fitted together."""
     p = prepared(spark, sf)
     parts = []
-    for name in names:
-        if name == "neural":
-            parts.append(neural_scores(spark, p.split))
-        else:
-            parts.append(nb_scores(p, ("val", "test")) if name == "nb" else ml_scores(p, name))
-    allscores = parts[0]
-    for x in parts[1:]:
-        allscores = allscores.unionByName(x)
-    return M.summary_metrics(allscores, ("model", "split"))
+    linear = [n for n in names if n in ("logreg", "svm")]
+    if linear:
+        parts.append(linear_scores(p, linear))
+    if "nb" in names:
+        parts.append(nb_scores(p, ("val", "test")))
+    if "neural" in names:
+        parts.append(neural_scores(spark, sf))
+    return M.summary_metrics(reduce(DataFrame.unionByName, parts), ("model", "split"))
 
 
 @query("clf_all")
@@ -59,24 +63,38 @@ def q_compare(spark, sf):
     return compare(spark, sf, [*C.resolve_models("all"), "neural"]).where(F.col("split") == "test")
 
 
+def trained(spark, sf) -> N.Trained:
+    """The neural classifier of the split, trained once per session and data;
+    its epochs are versions in a model store under the shared folder."""
+    key = (spark.sparkContext.applicationId, sf, "neural")
+    if key not in _FITTED:
+        split = prepared_split(spark, sf)
+        classes = sorted(r["label"] for r in split.where(F.col("split") == "train").select("label").distinct().collect())  # one row per class
+        store = ModelStore(spark, scratch_path(spark, "models"))
+        _FITTED[key] = N.train(split, classes, store, "neural", NEURAL)
+    return _FITTED[key]
+
+
+def neural_scores(spark, sf) -> DataFrame:
+    model = trained(spark, sf).model
+    docs = prepared_split(spark, sf).where(F.col("split").isin("val", "test"))
+    y = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("choice") + 1)
+    return model.score(docs, ["split", "doc_id", "label"]).select(
+        F.lit("neural").alias("model"), "split", "doc_id", F.col("label").alias("y_true"), y.cast("int").alias("y_pred"), "prob")
+
+
 @query("clf_neural")
 def q_neural(spark, sf):
-    return neural_scores(spark, prepared_split(spark, sf))
+    return neural_scores(spark, sf)
 
 
-def neural_scores(spark, split) -> DataFrame:
-    train = split.where(F.col("split") == "train")
-    n_classes = train.select("label").distinct().count()  # one row per class
-    # the sequence model's vocabulary: 20,000 most frequent training words,
-    # the rest is the OOV token (bounds what Word2Vec collects to the driver)
-    index = FT.fit_word_index(train).where(F.col("id") < NEURAL_NUM_WORDS)
-    data = C.with_words(split, index, NEURAL_NUM_WORDS).withColumn("label_d", F.col("label").cast("double"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    data = C.deterministic_order(data, "doc_id", parts)
-    model = C.neural_pipeline(NEURAL_VECTOR, (NEURAL_HIDDEN,), n_classes, partitions=parts, passes=NEURAL_PASSES).fit(data.where(F.col("split") == "train"))
-    out = C.positive_prob(model.transform(data.where(F.col("split").isin("val", "test"))))
-    return out.select(F.lit("neural").alias("model"), "split", "doc_id", F.col("label").alias("y_true"),
-                      F.col("prediction").cast("int").alias("y_pred"), "prob")
+@query("neural_history")
+def q_neural_history(spark, sf):
+    """Learning curves of the trained run, its early stopping and the metrics of each epoch."""
+    run = trained(spark, sf)
+    per_epoch = M.metrics_of_cells(run.cells, ("run", "epoch"))
+    return (run.history.join(per_epoch.select("run", "epoch", "f1", "precision", "recall"), ["run", "epoch"])
+            .join(H.early_stopping(run.history, patience=NEURAL.patience).select("run", "best_epoch", "stopped_epoch"), "run"))
 
 
 def _stack(spark, sf, est, with_conf):
@@ -95,21 +113,87 @@ def q_stack_lr(spark, sf):
     return out.select("doc_id", "y_true", F.col("prediction").cast("int").alias("y_pred"))
 
 
+# the reference's two meta models: trees that split by mean gradient, and
+# second-order trees that see 80% of the columns each
+GRADIENT_TREES = B.Settings(gain="variance", row_fraction=0.8)
+SECOND_ORDER_TREES = B.Settings(gain="newton", row_fraction=0.8, column_fraction=0.8)
+
+
+def boosted(spark, sf, settings: B.Settings) -> tuple[B.BoostedTrees, DataFrame]:
+    """The meta model fitted on the validation scores, and all meta features.
+    Fitted once per session, data and settings."""
+    key = (spark.sparkContext.applicationId, sf, settings)
+    if key not in _FITTED:
+        meta = E.meta_features(scores(spark, sf), MODELS)
+        model = B.fit(meta.where(F.col("split") == "val"), E.meta_feature_names(MODELS), settings=settings)
+        _FITTED[key] = (model, meta)
+    return _FITTED[key]
+
+
+def boosted_predictions(spark, sf, settings: B.Settings) -> DataFrame:
+    model, meta = boosted(spark, sf, settings)
+    return model.score(meta.where(F.col("split") == "test")).select("doc_id", "y_true", "y_pred")
+
+
 @query("stack_gbt")
 def q_stack_gbt(spark, sf):
-    _, out, _ = _stack(spark, sf, C.meta_gbt(), True)
-    return out.select("doc_id", "y_true", F.col("prediction").cast("int").alias("y_pred"))
+    return boosted_predictions(spark, sf, GRADIENT_TREES)
 
 
 @query("stack_gbt_colsample")
 def q_stack_gbt_cs(spark, sf):
-    _, out, _ = _stack(spark, sf, C.meta_gbt("0.8"), True)
-    return out.select("doc_id", "y_true", F.col("prediction").cast("int").alias("y_pred"))
+    return boosted_predictions(spark, sf, SECOND_ORDER_TREES)
 
 
 @query("feature_importances")
 def q_importances(spark, sf):
-    model, _, cols = _stack(spark, sf, C.meta_gbt("0.8"), True)
-    imp = model.featureImportances.toArray().tolist()
-    rows = [(i, c, float(v)) for i, (c, v) in enumerate(zip(cols, imp))][:10]
+    model, _ = boosted(spark, sf, SECOND_ORDER_TREES)
+    rows = [(i, c, float(v)) for i, (c, v) in enumerate(zip(model.features, model.importances()))][:10]
     return spark.createDataFrame(rows, "position int, feature string, importance double")
+
+
+# one level's sums of a tree in the making, for SQL: twenty equal bins, one
+# finished tree (a cut of p_m0), and a second one cut at conf_m1 so far
+LEVEL_CUTS = [round(0.05 * i, 2) for i in range(1, 20)]
+_LEVEL_SQL = (f"WITH {O.model_scores_ctes()}, t AS (SELECT doc_id, any_value(y_true) AS y, "
+              + ", ".join(f"max(CASE WHEN model = '{m}' THEN prob END) AS p_{m}" for m in MODELS)
+              + " FROM scores WHERE split = 'train' GROUP BY doc_id), f AS (SELECT doc_id, y, "
+              + ", ".join([f"p_{m}" for m in MODELS] + [f"abs(p_{m} - 0.5) AS conf_{m}" for m in MODELS]
+                          + [f"-(p_{m} * ln(p_{m} + 1e-9) + (1 - p_{m}) * ln(1 - p_{m} + 1e-9)) AS ent_{m}" for m in MODELS])
+              + f""" FROM t),
+g AS (SELECT *, 1 / (1 + exp(-(CASE WHEN p_m0 >= 0.5 THEN 0.2 ELSE -0.1 END))) AS p, (conf_m1 >= 0.25)::INTEGER AS node FROM f),
+x AS (SELECT node, y, p, unnest(range(9))::INTEGER AS feature, unnest([{', '.join(E.meta_feature_names(MODELS))}]) AS v FROM g)
+SELECT node, feature, len(list_filter({LEVEL_CUTS}, lambda c: c <= v))::INTEGER AS bin, count(*) AS n,
+  sum(round((p - y) * 1073741824)::BIGINT)::BIGINT AS g, sum(round(p * (1 - p) * 1073741824)::BIGINT)::BIGINT AS h
+FROM x GROUP BY ALL""")
+
+
+@query("boosting_level", _LEVEL_SQL)
+def q_boosting_level(spark, sf):
+    meta = E.meta_features(scores(spark, sf), MODELS).where(F.col("split") == "train")
+    names = E.meta_feature_names(MODELS)
+    done, growing = B.Tree.empty(3), B.Tree.empty(3)
+    done.feature[0], done.cut[0], done.value[1], done.value[2] = names.index("p_m0"), LEVEL_CUTS.index(0.5), -0.1, 0.2
+    growing.feature[0], growing.cut[0] = names.index("conf_m1"), LEVEL_CUTS.index(0.25)
+    model = B.BoostedTrees(names, [LEVEL_CUTS] * len(names), B.Settings(), 0.0, [done])
+    rows = B.binned_rows(meta, model, "y_true", "doc_id")
+    return B.level_sums(rows, model, growing, 1, range(len(names)), 1, 0, 2.0 ** 30)
+
+
+@query("stored_model", O.wrap(_TF + ", " + O.nb_ctes("sp", "'test'") + " SELECT doc_id, y_true, y_pred, prob FROM nbpred",
+                              ["doc_id", "y_true", "y_pred", "prob"], {"prob"}))
+def q_stored_model(spark, sf):
+    """Naive Bayes saved as two versions, a third one left unfinished; the scores
+    are those of the newest complete version, read from the store."""
+    p = prepared(spark, sf)
+    train = p.split.where(F.col("split") == "train")
+    log_prob, prior = C.fit_naive_bayes(p.weights.where(F.col("split") == "train"), train.select("doc_id", "label"), p.vocab, p.classes)
+    root = scratch_path(spark, "models")
+    store = ModelStore(spark, root)
+    flat_prior = prior.withColumn("prior", F.lit(0.0))
+    ST.save_naive_bayes(store, "nb", log_prob, flat_prior, p.vocab, p.classes, p.max_features, p.ngram_max)
+    ST.save_naive_bayes(store, "nb", log_prob, prior, p.vocab, p.classes, p.max_features, p.ngram_max)
+    prior.write.parquet(f"{root}/nb/10/prior")  # a writer that died
+    docs = p.split.where(F.col("split") == "test")
+    scored = ST.newest_scorer(store, "nb")(docs.select("doc_id", "text"))
+    return docs.select("doc_id", F.col("label").cast("int").alias("y_true")).join(scored, "doc_id").select("doc_id", "y_true", "y_pred", "prob")

@@ -82,7 +82,7 @@ def model_scores_ctes(models=("m0", "m1", "m2")) -> str:
 
 
 EMISSIONS = """elog AS (SELECT 'M' || (user_id % 5)::VARCHAR || '_experiment' AS project_name, value / 1e6 AS emissions,
-  ts, event_id FROM events WHERE user_id % 5 <> 2),
+  ts, event_id FROM events),
 elookup AS (SELECT model, emissions FROM (SELECT lower(replace(project_name, '_experiment', '')) AS model, emissions,
   row_number() OVER (PARTITION BY lower(replace(project_name, '_experiment', '')) ORDER BY ts DESC, event_id DESC) AS rn
   FROM elog) WHERE rn = 1)"""

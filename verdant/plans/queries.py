@@ -869,11 +869,11 @@ def q_ensemble_grid(spark, sf):
     return L.efficiency(grid.join(ee, "ensemble"))
 
 
-@query("model_emissions", W(f"WITH {O.EMISSIONS}, m AS (SELECT * FROM (VALUES ('m0'), ('m1'), ('m2'), ('M3')) AS t(model)) "
+@query("model_emissions", W(f"WITH {O.EMISSIONS}, m AS (SELECT * FROM (VALUES ('m0'), ('m1'), ('m2'), ('M3'), ('m9')) AS t(model)) "
                             "SELECT m.model, coalesce(e.emissions, 0.0) AS emissions FROM m LEFT JOIN elookup e ON e.model = lower(m.model)",
                             ["model", "emissions"], {"emissions"}))
 def q_model_emissions(spark, sf):
-    models = spark.createDataFrame([("m0",), ("m1",), ("m2",), ("M3",)], "model string")
+    models = spark.createDataFrame([("m0",), ("m1",), ("m2",), ("M3",), ("m9",)], "model string")
     return EM.model_emissions(models, emissions(spark, sf))
 
 
