@@ -47,14 +47,17 @@ def test_split_independent_of_partitioning(spark):
 
 @settings(max_examples=8, deadline=None)
 @given(n=st.integers(min_value=1, max_value=300), k=st.integers(min_value=1, max_value=4),
-       frac=st.sampled_from([0.1, 0.25, 0.5]), digits=st.sampled_from([1, 2, 5]))
-def test_split_is_partition_with_quotas(spark, n, k, frac, digits):
+       frac=st.sampled_from([0.1, 0.25, 0.5]), few=st.sampled_from([1, 9, 1000]), literal=st.sampled_from([0, 64]))
+def test_split_is_partition_with_quotas(spark, n, k, frac, few, literal):
     df = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % k).cast("int").alias("label"))
     sizes = P.class_sizes(df, "label")
     q = P.holdout_allocation(sizes, frac)
-    out = P.assign_segments(df, "doc_id", "label", 7, {k: [h] for k, (_, h) in q.items()}, sizes,
-                            ["test", "train"], bucket_digits=digits)
-    rows = out.collect()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(P, "FEW", few)
+        patch.setattr(P, "HISTOGRAM_ROWS", 64)
+        patch.setattr(P, "LITERAL_STRATA", literal)
+        out = P.assign_segments(df, "doc_id", "label", 7, {k: [h] for k, (_, h) in q.items()}, sizes, ["test", "train"])
+        rows = out.collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(n))
     import math
     assert sum(h for _, h in q.values()) == math.ceil(round(frac * n, 9))
@@ -71,12 +74,30 @@ def test_sample_exact_size(spark):
         P.sample_exact(df, 0.0)
 
 
-def test_histogram_plan_equals_one_window(spark):
-    """The bucketed plan gives exactly the ranks of one window per class."""
+@pytest.mark.parametrize("few, literal", [(1 << 16, 64), (40, 64), (3, 0)])
+def test_cuts_equal_one_window(spark, monkeypatch, few, literal):
+    """Narrowing by prefixes gives exactly the ranks of one window per class."""
+    monkeypatch.setattr(P, "FEW", few)
+    monkeypatch.setattr(P, "HISTOGRAM_ROWS", 64)
+    monkeypatch.setattr(P, "LITERAL_STRATA", literal)
     r = reviews(spark, "/root/testdata/sf0.1").select("doc_id", "label")
     sizes = P.class_sizes(r, "label")
-    cuts = {k: [v // 10, v // 3] for k, v in sizes.items()}
-    out = P.assign_segments(r, "doc_id", "label", 42, cuts, sizes, ["a", "b", "c"], "seg")
+    cuts = {k: [0, v // 10, v // 3, v] for k, v in sizes.items()}
+    out = P.assign_segments(r, "doc_id", "label", 42, cuts, sizes, ["z", "a", "b", "c", "d"], "seg")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(P.order_key("doc_id", 42), "doc_id")) - 1
     plain = {x["doc_id"]: sum(x["r"] >= c for c in cuts[x["label"]]) for x in r.withColumn("r", rank).collect()}
-    assert {x["doc_id"]: "abc".index(x["seg"]) for x in out.collect()} == plain
+    assert {x["doc_id"]: "zabcd".index(x["seg"]) for x in out.collect()} == plain
+
+
+def test_no_text_moves(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.col("lang").alias("label"))
+    plan = P.split_80_10_10(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_rows_without_or_with_one_id(spark):
+    df = spark.createDataFrame([(i if i < 30 else 7 if i < 34 else None, "x" if i % 2 else None) for i in range(40)], "doc_id long, label string")
+    out = P.split_80_10_10(df)
+    assert out.count() == 40 and out.where("split is null").count() == 0
+    assert out.where("doc_id = 7").groupBy("label").agg(F.count_distinct("split").alias("k")).where("k > 1").count() == 0
+    assert P.split_80_10_10(df.where("false")).count() == 0

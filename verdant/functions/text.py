@@ -38,6 +38,8 @@ PREVIEW_CHARS = 120
 # Hangul syllables decompose by arithmetic: first code point, last one, and the
 # leading, vowel and trailing letters.
 SYLLABLES = (0xAC00, 0xD7A3)
+# Characters below this one take the short accent map.
+NEAR = 0x250
 LEADING = "".join(map(chr, range(0x1100, 0x1113)))
 VOWELS = "".join(map(chr, range(0x1161, 0x1176)))
 TRAILING = "".join(map(chr, range(0x11A8, 0x11C3)))
@@ -86,9 +88,30 @@ def _syllable(ch: Column) -> Column:
                     F.when(trail > 0, letter(TRAILING, trail - 1)).otherwise(F.lit("")))
 
 
+@lru_cache(maxsize=1)
+def near_tables() -> tuple[str, str, str]:
+    """(from, to, other): the part of ``accent_tables`` below ``NEAR`` (Latin with all
+    its European letters), and the characters there that become several ones."""
+    src, dst, longer = accent_tables()
+    pairs = [(a, b) for a, b in zip(src, dst) if ord(a) < NEAR]
+    gone = [a for a in src[len(dst):] if ord(a) < NEAR]
+    return "".join(a for a, _ in pairs) + "".join(gone), "".join(b for _, b in pairs), "".join(a for a in longer if ord(a) < NEAR)
+
+
 def strip_accents(c: Column) -> Column:
-    """Compatibility decomposition without combining marks.  Characters that
-    become several ones are rare: only texts that hold one are taken apart."""
+    """Compatibility decomposition without combining marks.
+
+    A text of characters below ``NEAR`` takes one ``translate`` with a short map; one
+    pass over a range class tells.  Only the others meet the tables of all of
+    Unicode, whose character class a matcher goes through for each character."""
+    src, dst, other = near_tables()
+    far = c.rlike(f"[^\\x00-\\x{{{NEAR - 1:x}}}]|[{other}]")
+    return F.when(~far, F.translate(c, src, dst)).otherwise(_strip_any(c))
+
+
+def _strip_any(c: Column) -> Column:
+    """Characters that become several ones are rare: only texts that hold one
+    are taken apart."""
     src, dst, longer = accent_tables()
     one = F.translate(c, src, dst)
     keys, values = "".join(longer), F.split(F.lit("\t".join(longer.values())), "\t")

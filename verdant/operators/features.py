@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (INDEX_FROM, OOV_ID_ENCODED, START_ID, UNKNOWN_WORD, attention_mask,
                               normalise, pad_ids, sequence_words, word_tokens)
+from ..session import cut_lineage
 
 MAX_BROADCAST_TERMS = 2_000_000
 HOT_WORDS = 100_000
@@ -78,14 +79,19 @@ def fit_vocabulary(train_terms: DataFrame, max_features: int | None = 50000, n_d
     if max_features is not None:
         if max_features <= 0:
             raise ValueError("max_features must be positive or None")
-        stats = top_k_by_count(stats, max_features, "count", "term")
+        # read by the threshold, the choice and the index: counted once
+        stats = top_k_by_count(cut_lineage(stats), max_features, "count", "term")
     if n_docs is None:
         n_docs = train_terms.select("doc_id").distinct().count()
     n = F.lit(float(n_docs))
     vocab = stats.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
     if max_features is not None:
-        vocab = rank_rows(vocab, [F.col("term").asc()], "term_index", 0) \
-            .withColumn("term_index", F.col("term_index").cast("int"))
+        order = F.col("term").asc()
+        if max_features <= MAX_BROADCAST_TERMS:  # so many rows at most
+            vocab = vocab.withColumn("term_index", F.row_number().over(Window.orderBy(order)) - 1)
+        else:
+            vocab = rank_rows(vocab, [order], "term_index", 0)
+        vocab = vocab.withColumn("term_index", F.col("term_index").cast("int"))
     return vocab
 
 
@@ -101,19 +107,20 @@ def top_k_by_count(df: DataFrame, k: int, count_col: str, key_col: str) -> DataF
     into one task (what ``orderBy().limit(k)`` does).
 
     A histogram of the count values (one row per distinct count, a table far
-    smaller than the input) gives the count of the k-th row; only rows at or
-    above it are ranked, by the range-partitioned global rank."""
+    smaller than the input) gives the count of the k-th row; rows above it are
+    in, and of the rows that have it the first by key are found by the
+    range-partitioned global rank."""
     hist = df.groupBy(count_col).agg(F.count(F.lit(1)).alias("_rows"))
     at_least = F.sum("_rows").over(Window.orderBy(F.col(count_col).desc())
                                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     reach = F.col("_cum") >= k
-    # threshold = count of the k-th row; rows at or above it; all rows
-    threshold, n_at, n_all = hist.withColumn("_cum", at_least).agg(
-        F.max(F.when(reach, F.col(count_col))), F.min(F.when(reach, F.col("_cum"))), F.max("_cum")).first()
-    candidates = df if threshold is None else df.where(F.col(count_col) >= F.lit(threshold))
-    n_candidates = int((n_all if threshold is None else n_at) or 0)
-    ranked = rank_rows(candidates, [F.col(count_col).desc(), F.col(key_col).asc()], "_rank", 1)
-    return ranked.where(F.col("_rank") <= k).drop("_rank")
+    # threshold = count of the k-th row; rows above it
+    threshold, above = hist.withColumn("_cum", at_least).agg(
+        F.max(F.when(reach, F.col(count_col))), F.min(F.when(reach, F.col("_cum") - F.col("_rows")))).first()
+    if threshold is None:
+        return df
+    tied = rank_rows(df.where(F.col(count_col) == F.lit(threshold)), [F.col(key_col).asc()], "_rank", 1)
+    return df.where(F.col(count_col) > F.lit(threshold)).unionByName(tied.where(F.col("_rank") <= k - above).drop("_rank"))
 
 
 # --------------------------------------------------------------------- T6-T8

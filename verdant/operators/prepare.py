@@ -7,11 +7,12 @@ into segments (for example test, validation, train).  The order never depends
 on partitioning, so the same seed gives the same split on any cluster.
 
 Scale: a plain ``row_number() over (partition by label ...)`` would sort a
-whole class in one task (a class may hold most rows).  Instead rows are put in
-buckets by an md5 prefix; a small histogram per (label, bucket) locates the
-bucket that contains each cut, and only the rows of those few boundary buckets
-are ranked.  Every other row gets its segment from a broadcast of the cut table
-(one row per label), without a shuffle.
+whole class in one task (a class may hold most rows).  Instead the few rows at
+the cuts are looked up: histograms of ever longer md5 prefixes narrow each cut
+down to a bucket of at most ``FEW`` rows, only these are ranked, and the row at
+each cut (one key and id per class and cut) is read.  These passes see ids and
+labels alone.  In the output every row compares its own key with its class's
+cuts, in the scan: no row moves, and no text.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean_text as _clean_text_col
 
-# Number of hex digits of the md5 order key used as histogram bucket
-# (16**5 = 1,048,576 buckets per stratum).
-BUCKET_HEX_DIGITS = 5
+# Rows of a bucket that are ranked; rows of a histogram that the driver reads.
+FEW = 1 << 16
+HISTOGRAM_ROWS = 1 << 20
+# Classes whose cuts are written into the expression; more are broadcast (one row per class).
+LITERAL_STRATA = 64
 
 
 def require_columns(df: DataFrame, *cols: str) -> None:
@@ -86,62 +89,94 @@ def order_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(id_col).cast("string")))
 
 
+def cut_rows(keyed: DataFrame, id_col: str, strat: str, cuts: dict, sizes: dict) -> dict:
+    """{stratum: [(key, id) of the row at each cut]} in hash order; None for a
+    cut at or before the first row, the empty tuple for one past the last.
+
+    keyed(id, stratum, _k).  Each round reads one histogram of the prefixes of the
+    buckets that are still large, at most ``HISTOGRAM_ROWS`` rows; the last pass
+    ranks buckets of at most ``FEW`` rows (of equal keys at least)."""
+    spark, strat_type = keyed.sparkSession, keyed.schema[strat].dataType
+    open_cuts = {(k, j): {"prefix": "", "below": 0, "rows": sizes[k], "p": p}
+                 for k, ps in cuts.items() for j, p in enumerate(ps) if 0 < p < sizes[k]}
+    length = 0
+    while True:
+        wide = {key: c for key, c in open_cuts.items() if c["rows"] > FEW and length < 32}
+        if not wide:
+            break
+        buckets = sorted({(k, c["prefix"]) for (k, _), c in wide.items()}, key=str)
+        digits = max(1, int(math.log(max(HISTOGRAM_ROWS // len(buckets), 1), 16)))
+        rows = keyed
+        if length:
+            schema = T.StructType([T.StructField("_cs", strat_type), T.StructField("_p", T.StringType())])
+            these = spark.createDataFrame(buckets, schema)
+            rows = keyed.join(F.broadcast(these), keyed[strat].eqNullSafe(these["_cs"]) & (F.substring("_k", 1, length) == F.col("_p")), "left_semi")
+        length += digits
+        hist: dict = {}
+        for r in rows.groupBy(strat, F.substring("_k", 1, length).alias("_b")).agg(F.count(F.lit(1)).alias("_n")).collect():
+            hist.setdefault((r[0], (r["_b"] or "")[:length - digits]), []).append((r["_b"] or "", r["_n"]))
+        for (k, _), c in wide.items():
+            for b, n in sorted(hist[k, c["prefix"]]):
+                if c["below"] + n > c["p"]:
+                    c["prefix"], c["rows"] = b, n
+                    break
+                c["below"] += n
+    found = {}
+    if open_cuts:
+        wanted: dict = {}
+        for (k, _), c in open_cuts.items():
+            wanted.setdefault((k, c["prefix"]), []).append(c["p"] - c["below"])
+        schema = T.StructType([T.StructField("_cs", strat_type), T.StructField("_p", T.StringType()), T.StructField("_at", T.ArrayType(T.LongType()))])
+        these = spark.createDataFrame([(k, p, at) for (k, p), at in wanted.items()], schema)
+        near = keyed.join(F.broadcast(these), keyed[strat].eqNullSafe(these["_cs"]) & F.coalesce(F.col("_k").startswith(F.col("_p")), F.col("_p") == ""))
+        rank = F.row_number().over(Window.partitionBy("_cs", "_p").orderBy("_k", id_col)) - 1
+        for r in near.withColumn("_r", rank).where(F.array_contains("_at", F.col("_r").cast("long"))).select("_cs", "_p", "_r", "_k", id_col).collect():
+            found[r["_cs"], r["_p"], r["_r"]] = (r["_k"], r[id_col])
+    out: dict = {}
+    for k, ps in cuts.items():
+        own = []
+        for j, p in enumerate(ps):
+            c = open_cuts.get((k, j))
+            own.append(found[k, c["prefix"], p - c["below"]] if c else None if p <= 0 else ())
+        out[k] = own
+    return out
+
+
 def assign_segments(df: DataFrame, id_col: str, strata_col: str | None, seed: int,
-                    cuts: dict, sizes: dict, names: Sequence[str], out_col: str = "split",
-                    bucket_digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
+                    cuts: dict, sizes: dict, names: Sequence[str], out_col: str = "split") -> DataFrame:
     """Cut each stratum's hash order into consecutive segments.
 
     ``cuts`` maps each stratum to its ascending cut positions (segment j holds
     order ranks in [p_j, p_(j+1))); ``sizes`` maps strata to row counts;
     ``names`` has one more entry than each cut list.  Both dicts have one
-    entry per stratum (class), read from a small aggregate.
-
-    One plan at every size: a histogram of the order keys finds the buckets that
-    contain a cut, and only the rows of these buckets are ranked.
+    entry per stratum (class), read from a small aggregate.  Rows that share an
+    id share a segment; rows without an id come first.
     """
     strat = strata_col or "_stratum"
-    spark = df.sparkSession
     base = df if strata_col else df.withColumn(strat, F.lit(0))
     keyed = base.withColumn("_k", order_key(id_col, seed))
-    strat_type = base.schema[strat].dataType
-    schema = T.StructType([T.StructField("_cs", strat_type), T.StructField("_pos", T.ArrayType(T.LongType()))])
-    cut_lit = spark.createDataFrame([(k, [int(p) for p in v]) for k, v in cuts.items()], schema)
-    names_arr = F.array(*[F.lit(n) for n in names])
-    drop_strat = [] if strata_col else [strat]
-
-    keyed = keyed.withColumn("_b", F.substring("_k", 1, bucket_digits))
-    cuts = cut_lit.select("_cs", F.posexplode("_pos").alias("j", "p"))
-
-    # Histogram of the order buckets; cumulative count before each bucket.
-    hist = keyed.groupBy(strat, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy(strat).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_cum", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
-
-    # The bucket containing rank p (0-based) of each cut.
-    located = (hist.join(F.broadcast(cuts), hist[strat].eqNullSafe(cuts["_cs"]))
-                   .where((F.col("_cum") <= F.col("p")) & (F.col("p") < F.col("_cum") + F.col("_n")))
-                   .select(F.col("_cs"), "j", "p", "_b", "_cum"))
-    cut_arrays = located.groupBy("_cs").agg(F.collect_list(F.struct("_b", "p", "_cum")).alias("_cuts"))
-    joined = (keyed.join(F.broadcast(cut_arrays), keyed[strat].eqNullSafe(cut_arrays["_cs"]), "left")
-                   .drop("_cs"))
-    cuts_col = F.coalesce(F.col("_cuts"), F.array().cast("array<struct<_b:string,p:bigint,_cum:bigint>>"))
-    joined = joined.withColumn("_cuts", cuts_col)
-    is_boundary = F.exists("_cuts", lambda c: c["_b"] == F.col("_b"))
-
-    inner = joined.where(~is_boundary).withColumn(
-        "_seg", F.size(F.filter("_cuts", lambda c: c["_b"] < F.col("_b"))))
-    wr = Window.partitionBy(strat, "_b").orderBy("_k", id_col)
-    # rank of an edge row within its stratum = bucket offset + rank in bucket
-    edge = (joined.where(is_boundary)
-                  .withColumn("_r", (F.row_number().over(wr) - 1).cast("long"))
-                  .withColumn("_off", F.filter("_cuts", lambda c: c["_b"] == F.col("_b"))[0]["_cum"])
-                  .withColumn("_rank", F.col("_off") + F.col("_r"))
-                  .withColumn("_seg", F.size(F.filter(
-                      "_cuts", lambda c: (c["_b"] < F.col("_b")) |
-                      ((c["_b"] == F.col("_b")) & (c["p"] <= F.col("_rank"))))))
-                  .drop("_r", "_off", "_rank"))
-    out = inner.unionByName(edge).withColumn(out_col, F.element_at(names_arr, F.col("_seg") + 1))
-    return out.drop("_k", "_b", "_cuts", "_seg", *drop_strat)
+    at = cut_rows(keyed.select(id_col, strat, "_k"), id_col, strat, cuts, sizes)
+    always = {k: sum(c is None for c in own) for k, own in at.items()}
+    rows = {k: [c for c in own if c] for k, own in at.items()}
+
+    def reached(key: Column, row_id: Column) -> Column:
+        return F.coalesce((F.col("_k") > key) | ((F.col("_k") == key) & (F.col(id_col) >= row_id)), F.lit(False))
+
+    if len(at) <= LITERAL_STRATA:
+        segment = F.lit(None).cast("int")
+        for k in at:
+            passed = sum([reached(F.lit(key), F.lit(i)).cast("int") for key, i in rows[k]], F.lit(always[k]))
+            segment = F.when(F.col(strat).eqNullSafe(F.lit(k)), passed).otherwise(segment)
+        keyed = keyed.withColumn("_seg", segment)
+    else:
+        schema = T.StructType([
+            T.StructField("_cs", df.schema[strat].dataType), T.StructField("_always", T.IntegerType()),
+            T.StructField("_cuts", T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("i", df.schema[id_col].dataType)])))])
+        table = df.sparkSession.createDataFrame([(k, always[k], rows[k]) for k in at], schema)
+        keyed = keyed.join(F.broadcast(table), keyed[strat].eqNullSafe(table["_cs"])).withColumn(
+            "_seg", F.col("_always") + F.size(F.filter("_cuts", lambda c: reached(c["k"], c["i"])))).drop(*table.columns)
+    out = keyed.withColumn(out_col, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_seg") + 1))
+    return out.drop("_k", "_seg", *([] if strata_col else [strat]))
 
 
 # ------------------------------------------------------------------ quotas
