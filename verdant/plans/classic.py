@@ -72,10 +72,10 @@ def prepare(reviews: DataFrame, seed: int = 42, max_features: int | None = 50000
     return Prepared(split, vocab, weights, classes, max_features, ngram_max)
 
 
-def nb_scores(p: Prepared, splits=("train", "val", "test")) -> DataFrame:
+def nb_scores(p: Prepared, splits=("train", "val", "test"), alpha: float = 1.0) -> DataFrame:
     train_w = p.weights.where(F.col("split") == "train")
     train_docs = p.split.where(F.col("split") == "train").select("doc_id", "label")
-    log_prob, prior = C.fit_naive_bayes(train_w, train_docs, p.vocab, p.classes)
+    log_prob, prior = C.fit_naive_bayes(train_w, train_docs, p.vocab, p.classes, alpha=alpha)
     docs = p.split.where(F.col("split").isin(list(splits))).select("doc_id", "label", "split")
     w = p.weights.where(F.col("split").isin(list(splits)))
     pred = C.predict_naive_bayes(w, docs, log_prob, prior, p.classes, p.max_features,

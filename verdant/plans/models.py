@@ -18,11 +18,13 @@ from ..operators import history as H
 from ..operators import metrics as M
 from ..operators import neural as N
 from ..operators import stored as ST
+from ..operators import summary as L
+from ..operators.score_registry import ScoreRegistry
 from ..session import scratch_path
 from ..sources.model_store import ModelStore
 from . import oracle as O
 from .classic import linear_scores, nb_scores
-from .queries import _TF, MODELS, QUERIES, prepared, prepared_split, query, scores
+from .queries import _TF, MODELS, QUERIES, W, board_ctes, emissions, prepared, prepared_split, query, scores
 
 # the sequence model's embedding and layer sizes and epochs are the reference's
 NEURAL = N.Settings(size=128, filters=128, epochs=6, patience=2)
@@ -97,20 +99,18 @@ def q_neural_history(spark, sf):
             .join(H.early_stopping(run.history, patience=NEURAL.patience).select("run", "best_epoch", "stopped_epoch"), "run"))
 
 
-def _stack(spark, sf, est, with_conf):
-    s = scores(spark, sf)
-    meta = E.meta_features(s, MODELS, with_confidence=with_conf)
-    cols = E.meta_feature_names(MODELS, with_conf)
-    data = C.deterministic_order(C.stack_features(meta, cols), "doc_id")
+def stacked_logreg(s: DataFrame) -> DataFrame:
+    """Test predictions of the meta logistic regression over the members' probabilities."""
+    cols = E.meta_feature_names(MODELS, False)
+    data = C.deterministic_order(C.stack_features(E.prob_matrix(s, MODELS), cols), "doc_id")
     val = data.where(F.col("split") == "val")
-    model = (est(val.count()) if callable(est) else est).fit(val)
-    return model, model.transform(data.where(F.col("split") == "test")), cols
+    out = C.meta_logreg(val.count()).fit(val).transform(data.where(F.col("split") == "test"))
+    return out.select("doc_id", "y_true", F.col("prediction").cast("int").alias("y_pred"))
 
 
 @query("stack_logreg")
 def q_stack_lr(spark, sf):
-    _, out, _ = _stack(spark, sf, C.meta_logreg, False)
-    return out.select("doc_id", "y_true", F.col("prediction").cast("int").alias("y_pred"))
+    return stacked_logreg(scores(spark, sf))
 
 
 # the reference's two meta models: trees that split by mean gradient, and
@@ -124,25 +124,27 @@ def boosted(spark, sf, settings: B.Settings) -> tuple[B.BoostedTrees, DataFrame]
     Fitted once per session, data and settings."""
     key = (spark.sparkContext.applicationId, sf, settings)
     if key not in _FITTED:
-        meta = E.meta_features(scores(spark, sf), MODELS)
-        model = B.fit(meta.where(F.col("split") == "val"), E.meta_feature_names(MODELS), settings=settings)
-        _FITTED[key] = (model, meta)
+        _FITTED[key] = stacked_trees(scores(spark, sf), settings)
     return _FITTED[key]
 
 
-def boosted_predictions(spark, sf, settings: B.Settings) -> DataFrame:
-    model, meta = boosted(spark, sf, settings)
+def stacked_trees(s: DataFrame, settings: B.Settings) -> tuple[B.BoostedTrees, DataFrame]:
+    meta = E.meta_features(s, MODELS)
+    return B.fit(meta.where(F.col("split") == "val"), E.meta_feature_names(MODELS), settings=settings), meta
+
+
+def boosted_predictions(model: B.BoostedTrees, meta: DataFrame) -> DataFrame:
     return model.score(meta.where(F.col("split") == "test")).select("doc_id", "y_true", "y_pred")
 
 
 @query("stack_gbt")
 def q_stack_gbt(spark, sf):
-    return boosted_predictions(spark, sf, GRADIENT_TREES)
+    return boosted_predictions(*boosted(spark, sf, GRADIENT_TREES))
 
 
 @query("stack_gbt_colsample")
 def q_stack_gbt_cs(spark, sf):
-    return boosted_predictions(spark, sf, SECOND_ORDER_TREES)
+    return boosted_predictions(*boosted(spark, sf, SECOND_ORDER_TREES))
 
 
 @query("feature_importances")
@@ -180,8 +182,8 @@ def q_boosting_level(spark, sf):
     return B.level_sums(rows, model, growing, 1, range(len(names)), 1, 0, 2.0 ** 30)
 
 
-@query("stored_model", O.wrap(_TF + ", " + O.nb_ctes("sp", "'test'") + " SELECT doc_id, y_true, y_pred, prob FROM nbpred",
-                              ["doc_id", "y_true", "y_pred", "prob"], {"prob"}))
+@query("stored_model", W(_TF + ", " + O.nb_ctes("sp", "'test'") + " SELECT doc_id, y_true, y_pred, prob FROM nbpred",
+                         ["doc_id", "y_true", "y_pred", "prob"], {"prob"}))
 def q_stored_model(spark, sf):
     """Naive Bayes saved as two versions, a third one left unfinished; the scores
     are those of the newest complete version, read from the store."""
@@ -197,3 +199,63 @@ def q_stored_model(spark, sf):
     docs = p.split.where(F.col("split") == "test")
     scored = ST.newest_scorer(store, "nb")(docs.select("doc_id", "text"))
     return docs.select("doc_id", F.col("label").cast("int").alias("y_true")).join(scored, "doc_id").select("doc_id", "y_true", "y_pred", "prob")
+
+
+# ------------------------------------------------- ensembles of fitted models
+# members: naive Bayes with different smoothing, under the names of the emission log
+SMOOTHING = dict(zip(MODELS, (1.0, 0.1, 0.01)))
+
+
+def fitted_members(spark, sf) -> ScoreRegistry:
+    """The members' validation and test scores in a registry, appended one by one."""
+    key = (spark.sparkContext.applicationId, sf, "members")
+    if key not in _FITTED:
+        registry = ScoreRegistry(spark, scratch_path(spark, "scores"))
+        for name, alpha in SMOOTHING.items():
+            registry.append(name, nb_scores(prepared(spark, sf), ("val", "test"), alpha))
+        _FITTED[key] = registry
+    return _FITTED[key]
+
+
+def board_of(spark, sf, more: dict[str, DataFrame]) -> DataFrame:
+    """The leaderboard of the fitted members: their rows from the registry's
+    cells, the votes, and further ensembles' test predictions by name."""
+    registry = fitted_members(spark, sf)
+    s = registry.scores(MODELS)
+    base = registry.metrics(MODELS).where(F.col("split") == "test").select("model", F.col("accuracy").alias("acc"), "f1")
+    votes = {**more, "majority_voting": E.majority_mode(s, "test", MODELS), "weighted_voting": E.weighted_vote_val(s, MODELS)}
+    named = [v.select(F.lit(n).alias("name"), "y_true", "y_pred") for n, v in votes.items()]
+    rows = M.summary_metrics(reduce(DataFrame.unionByName, named), ("name",)).select("name", F.col("accuracy").alias("acc"), "f1")
+    return L.leaderboard(base, rows, emissions(spark, sf))
+
+
+_MEMBERS_SQL = (_TF + ", " + O.nb_ctes("sp", "'val', 'test'") + ", "
+                + "alphas AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE)" for m, a in SMOOTHING.items()) + ") AS t(model, alpha)), "
+                + """mflp AS (SELECT model, class, term, ln((fc + alpha) / (sum(fc) OVER p + alpha * count(*) OVER p)) AS flp
+  FROM dense, alphas WINDOW p AS (PARTITION BY model, class)),
+msums AS (SELECT model, doc_id, class, sum(weight * flp) AS s FROM w JOIN mflp USING (term) WHERE split IN ('val', 'test') GROUP BY ALL),
+mscored AS (SELECT a.model, g.doc_id, g.split, g.label, g.class, p.prior + coalesce(x.s, 0.0) AS score FROM grid g CROSS JOIN alphas a
+  JOIN prior p ON p.class = g.class LEFT JOIN msums x ON x.doc_id = g.doc_id AND x.class = g.class AND x.model = a.model),
+scores AS (SELECT model, doc_id, split, label::INT AS y_true, (CASE WHEN s1 > s0 THEN 1 ELSE 0 END)::INT AS y_pred, 1 / (1 + exp(s0 - s1)) AS prob
+  FROM (SELECT model, doc_id, split, label, max(CASE WHEN class = 0 THEN score END) AS s0, max(CASE WHEN class = 1 THEN score END) AS s1
+        FROM mscored GROUP BY ALL)), """)
+
+
+@query("fitted_board", W(_MEMBERS_SQL + board_ctes() + "SELECT model, acc, f1, emissions FROM board", ["model", "acc", "f1", "emissions"],
+                         {"acc", "f1", "emissions"}))
+def q_fitted_board(spark, sf):
+    return board_of(spark, sf, {})
+
+
+@query("full_board")
+def q_full_board(spark, sf):
+    """With the two stacked models."""
+    s = fitted_members(spark, sf).scores(MODELS)
+    return board_of(spark, sf, {"meta_ensemble_gb": boosted_predictions(*stacked_trees(s, GRADIENT_TREES)), "stacked_ensemble_lr": stacked_logreg(s)})
+
+
+@query("registry_metrics", W(_MEMBERS_SQL + O.cells_ctes("scores", "model, split", "m") + " SELECT a.model, a.split, a.accuracy, a.n, b.f1, b.precision, b.recall "
+                             "FROM m_acc a JOIN m_macro b ON a.model = b.model AND a.split = b.split",
+                             ["model", "split", "accuracy", "n", "f1", "precision", "recall"], {"accuracy", "f1", "precision", "recall"}))
+def q_registry_metrics(spark, sf):
+    return fitted_members(spark, sf).metrics()

@@ -901,19 +901,24 @@ def q_tradeoff_ensembles(spark, sf):
     return L.ensemble_points(grid)
 
 
-_BOARD_SQL = (_S + O.EMISSIONS + ", t AS (SELECT * FROM scores WHERE split = 'test'), " + O.cells_ctes("t", "model", "b") +
-              ", base AS (SELECT a.model, a.accuracy AS acc, m.f1, coalesce(e.emissions, 0.0) AS emissions FROM b_acc a JOIN b_macro m "
-              "ON a.model = m.model LEFT JOIN elookup e ON e.model = lower(a.model)), "
-              + _f1_sql("val", MODELS) +
-              ", mv AS (SELECT doc_id, arg_min(y_true, model) AS y_true, CASE WHEN avg(y_pred) >= 0.5 THEN 1 ELSE 0 END AS maj FROM t GROUP BY doc_id), "
-              "mc AS (SELECT doc_id, y_pred, count(*) AS k FROM t GROUP BY ALL), "
-              "mm AS (SELECT doc_id, y_pred FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, y_pred) AS rk FROM mc) WHERE rk = 1), "
-              "wv AS (SELECT t.doc_id, CASE WHEN sum(w.f1 * t.prob) / sum(w.f1) > 0.5 THEN 1 ELSE 0 END AS wpred FROM t JOIN wts w ON t.model = w.model GROUP BY t.doc_id), "
-              "ens AS (SELECT 'majority_voting' AS model, mv.y_true, mm.y_pred FROM mv JOIN mm ON mv.doc_id = mm.doc_id "
-              "UNION ALL SELECT 'weighted_voting', mv.y_true, wv.wpred FROM mv JOIN wv ON mv.doc_id = wv.doc_id), "
-              + O.cells_ctes("ens", "model", "en") +
-              ", board AS (SELECT model, acc, f1, emissions FROM base UNION ALL SELECT a.model, a.accuracy, m.f1, "
-              "(SELECT sum(emissions) FROM base) FROM en_acc a JOIN en_macro m ON a.model = m.model) ")
+def board_ctes() -> str:
+    """CTE board(model, acc, f1, emissions) after a CTE scores: members and votes."""
+    return (O.EMISSIONS + ", t AS (SELECT * FROM scores WHERE split = 'test'), " + O.cells_ctes("t", "model", "b") +
+            ", base AS (SELECT a.model, a.accuracy AS acc, m.f1, coalesce(e.emissions, 0.0) AS emissions FROM b_acc a JOIN b_macro m "
+            "ON a.model = m.model LEFT JOIN elookup e ON e.model = lower(a.model)), "
+            + _f1_sql("val", MODELS) +
+            ", mv AS (SELECT doc_id, arg_min(y_true, model) AS y_true, CASE WHEN avg(y_pred) >= 0.5 THEN 1 ELSE 0 END AS maj FROM t GROUP BY doc_id), "
+            "mc AS (SELECT doc_id, y_pred, count(*) AS k FROM t GROUP BY ALL), "
+            "mm AS (SELECT doc_id, y_pred FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, y_pred) AS rk FROM mc) WHERE rk = 1), "
+            "wv AS (SELECT t.doc_id, CASE WHEN sum(w.f1 * t.prob) / sum(w.f1) > 0.5 THEN 1 ELSE 0 END AS wpred FROM t JOIN wts w ON t.model = w.model GROUP BY t.doc_id), "
+            "ens AS (SELECT 'majority_voting' AS model, mv.y_true, mm.y_pred FROM mv JOIN mm ON mv.doc_id = mm.doc_id "
+            "UNION ALL SELECT 'weighted_voting', mv.y_true, wv.wpred FROM mv JOIN wv ON mv.doc_id = wv.doc_id), "
+            + O.cells_ctes("ens", "model", "en") +
+            ", board AS (SELECT model, acc, f1, emissions FROM base UNION ALL SELECT a.model, a.accuracy, m.f1, "
+            "(SELECT sum(emissions) FROM base) FROM en_acc a JOIN en_macro m ON a.model = m.model) ")
+
+
+_BOARD_SQL = _S + board_ctes()
 
 
 def _board(spark, sf):

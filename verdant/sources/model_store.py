@@ -57,22 +57,41 @@ class ModelStore:
                 found[int(own)] = found.get(int(own), False) or fs.exists(marker)
         return found
 
-    def save(self, name: str, tables: Mapping[str, DataFrame], meta: dict, version: int | None = None) -> int:
-        """Writes a new version (one past the largest, or the given number) and returns it."""
+    def names(self) -> list[str]:
+        fs, p = self._fs(self.root)
+        if not fs.exists(p):
+            return []
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and NAME.fullmatch(s.getPath().getName()))
+
+    def save(self, name: str, tables: Mapping[str, DataFrame], meta: dict, version: int | None = None, complete: bool = True) -> int:
+        """Writes a new version (one past the largest, or the given number) and
+        returns it; without ``complete`` more tables may follow before it counts."""
         have = self.versions(name)
         number = max(have, default=0) + 1 if version is None else version
         if number in have:
             raise ValueError(f"{name} has a version {number} already")
-        folder = self._folder(name, number)
+        self.add(name, number, tables)
+        text = json.dumps(meta, sort_keys=True)
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{self._folder(name, number)}/meta")
+        if complete:
+            self.complete(name, number)
+        return number
+
+    def add(self, name: str, version: int, tables: Mapping[str, DataFrame]) -> None:
+        """Writes tables of a version that isn't complete yet."""
+        if self.versions(name).get(version):
+            raise ValueError(f"version {version} of {name} is complete")
         for t, df in tables.items():
             if not NAME.fullmatch(t) or t in ("meta", MARKER):
                 raise ValueError(f"bad table name {t!r}")
-            df.write.parquet(f"{folder}/{t}")
-        text = json.dumps({"meta": meta, "tables": sorted(tables)}, sort_keys=True)
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/meta")
-        fs, p = self._fs(f"{folder}/{MARKER}")
+            df.write.parquet(f"{self._folder(name, version)}/{t}")
+
+    def complete(self, name: str, version: int) -> None:
+        fs, p = self._fs(f"{self._folder(name, version)}/{MARKER}")
         fs.create(p, False).close()
-        return number
+
+    def table(self, name: str, version: int, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self._folder(name, version)}/{table}")
 
     def latest(self, name: str) -> int:
         """The newest complete version; an error if there is none."""
@@ -87,5 +106,7 @@ class ModelStore:
         if not self.versions(name).get(number):
             raise FileNotFoundError(f"no complete version {number} of {name} under {self.root}")
         folder = self._folder(name, number)
-        d = json.loads(self.spark.read.text(f"{folder}/meta").first()[0])
-        return Stored(name, number, d["meta"], {t: self.spark.read.parquet(f"{folder}/{t}") for t in d["tables"]})
+        fs, p = self._fs(folder)
+        tables = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName() != "meta")
+        meta = json.loads(self.spark.read.text(f"{folder}/meta").first()[0])
+        return Stored(name, number, meta, {t: self.table(name, number, t) for t in tables})
