@@ -101,3 +101,30 @@ def test_rows_without_or_with_one_id(spark):
     assert out.count() == 40 and out.where("split is null").count() == 0
     assert out.where("doc_id = 7").groupBy("label").agg(F.count_distinct("split").alias("k")).where("k > 1").count() == 0
     assert P.split_80_10_10(df.where("false")).count() == 0
+
+
+def test_content_ids_give_one_split_whatever_the_files(spark, tmp_path):
+    """The same rows as one file or seven parts: the same ids and splits, also of repeated rows."""
+    from verdant.sources import reviews as RV
+    rows = [(f"text {i % 150}", i % 3) for i in range(400)] + [("the same", 1)] * 200 + [(None, 0), (None, 0), ("", 0)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    got = []
+    for parts in (1, 7):
+        path = str(tmp_path / f"p{parts}")
+        df.repartition(parts).write.option("header", True).option("escape", '"').csv(path)
+        read = RV.load_source("csv", spark, path, schema="text string, label int")  # by name
+        out = P.split_80_10_10(read).collect()
+        assert len(out) == len({r["doc_id"] for r in out}) == len(rows)
+        got.append({(r["doc_id"], r["label"], r["split"]) for r in out})
+    assert got[0] == got[1]
+    df.write.parquet(str(tmp_path / "polarity"))
+    half = RV.load_source("polarity", spark, str(tmp_path / "polarity"), fraction=0.5)
+    assert half.count() == round(0.5 * len(rows)) and half.columns == ["doc_id", "text", "label"]
+    assert {r["doc_id"] for r in half.collect()} == {r["doc_id"] for r in RV.load_source("polarity", spark, str(tmp_path / "polarity"), fraction=0.5).collect()}
+
+
+def test_many_classes_give_the_same_encoding(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 17 == 0 else f"c{i % 40}") for i in range(300)], "doc_id long, label string")
+    want = {(r["doc_id"], r["label_idx"]) for r in P.encode_labels(df).collect()}
+    monkeypatch.setattr(P, "MAX_CLASSES", 5)
+    assert {(r["doc_id"], r["label_idx"]) for r in P.encode_labels(df).collect()} == want

@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text as _clean_text_col
+from ..session import cut_lineage
 
 # Rows of a bucket that are ranked; rows of a histogram that the driver reads.
 FEW = 1 << 16
 HISTOGRAM_ROWS = 1 << 20
+# Classes that are broadcast and ranked in one window at most.
+MAX_CLASSES = 100_000
 # Classes whose cuts are written into the expression; more are broadcast (one row per class).
 LITERAL_STRATA = 64
 
@@ -54,8 +57,9 @@ def encode_labels(df: DataFrame, label_col: str = "label", out_col: str = "label
     label among the sorted distinct labels; a numeric one is kept as it is.
     ``string``: every label is cast to string first, so numbers sort as text
     ("10" before "2").
-    The distinct-label table (one row per class) is broadcast, so the rows
-    aren't shuffled by label.
+    The distinct-label table (one row per class) is broadcast while there are at
+    most ``MAX_CLASSES`` of them, so the rows aren't shuffled by label; with more the
+    classes are ranked in ranges and joined with a shuffle.
     """
     require_columns(df, label_col)
     if mode not in ("mixed", "string"):
@@ -64,18 +68,28 @@ def encode_labels(df: DataFrame, label_col: str = "label", out_col: str = "label
     if mode == "mixed" and not is_string:
         return df.withColumn(out_col, F.col(label_col))
     raw = F.col(label_col).cast("string")
-    classes = label_classes(df.select(raw.alias("_label_raw")), "_label_raw")
+    distinct = cut_lineage(df.select(raw.alias("_label_raw")).where(raw.isNotNull()).distinct())
+    few = distinct.count() <= MAX_CLASSES
+    classes = ranked_classes(distinct, "_label_raw", few)
     return (df.withColumn("_label_raw", raw)
-              .join(F.broadcast(classes), on="_label_raw", how="left")
+              .join(F.broadcast(classes) if few else classes, on="_label_raw", how="left")
               .withColumnRenamed("_class_idx", out_col)
               .drop("_label_raw"))
 
 
 def label_classes(df: DataFrame, label_col: str) -> DataFrame:
     """Sorted distinct non-null labels with their 0-based index."""
-    distinct = df.select(F.col(label_col)).where(F.col(label_col).isNotNull()).distinct()
-    w = Window.orderBy(F.col(label_col))  # one row per class: a tiny table
-    return distinct.withColumn("_class_idx", (F.row_number().over(w) - 1).cast("int"))
+    distinct = cut_lineage(df.select(F.col(label_col)).where(F.col(label_col).isNotNull()).distinct())
+    return ranked_classes(distinct, label_col, distinct.count() <= MAX_CLASSES)
+
+
+def ranked_classes(distinct: DataFrame, label_col: str, few: bool) -> DataFrame:
+    """0-based index of distinct labels in order: by one window of at most
+    ``MAX_CLASSES`` rows, else by the range-partitioned rank."""
+    if few:
+        return distinct.withColumn("_class_idx", (F.row_number().over(Window.orderBy(F.col(label_col))) - 1).cast("int"))
+    from .features import rank_rows
+    return rank_rows(distinct, [F.col(label_col).asc()], "_class_idx", 0).withColumn("_class_idx", F.col("_class_idx").cast("int"))
 
 
 # --------------------------------------------------------------------------- P4

@@ -258,4 +258,4 @@ def q_full_board(spark, sf):
                              "FROM m_acc a JOIN m_macro b ON a.model = b.model AND a.split = b.split",
                              ["model", "split", "accuracy", "n", "f1", "precision", "recall"], {"accuracy", "f1", "precision", "recall"}))
 def q_registry_metrics(spark, sf):
-    return fitted_members(spark, sf).metrics()
+    return fitted_members(spark, sf).metrics().select("model", "split", "accuracy", "n", "f1", "precision", "recall")

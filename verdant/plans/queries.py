@@ -690,6 +690,24 @@ def q_run_summary(spark, sf):
                     F.col("params.ngram_max").alias("ngram_max"))
 
 
+_FIELDS = ("accuracy", "f1", "precision", "recall")
+
+
+@query("run_summary_document", _S + O.cells_ctes("scores", "model, split", "m") + ", ms AS (SELECT a.model, a.split, a.n, "
+       "round(a.accuracy, 6) AS accuracy, round(b.f1, 6) AS f1, round(b.precision, 6) AS precision, round(b.recall, 6) AS recall "
+       "FROM m_acc a JOIN m_macro b ON a.model = b.model AND a.split = b.split), "
+       "s AS (SELECT model, " + ", ".join(f"max(CASE WHEN split = '{x}' THEN {c} END) AS {x}_{c}" for x in ("val", "test") for c in _FIELDS)
+       + ", " + ", ".join(f"max(CASE WHEN split = '{x}' THEN n END) AS n_{x}" for x in ("train", "val", "test")) + " FROM ms GROUP BY model) "
+       "SELECT model, json_object('model', model, " + ", ".join(f"'{x}', json_object(" + ", ".join(f"'{c}', {x}_{c}" for c in _FIELDS) + ")" for x in ("val", "test"))
+       + ", 'n_train', n_train, 'n_val', n_val, 'n_test', n_test, 'label_map', json_object('neg', 0, 'pos', 1), "
+       "'params', json_object('max_features', 50000, 'ngram_max', 2))::VARCHAR AS json FROM s")
+def q_run_summary_document(spark, sf):
+    """K3: one JSON document per model."""
+    ms = M.summary_metrics(scores(spark, sf), ("model", "split"))
+    rounded = ms.select("model", "split", "n", *[F.round(c, 6).alias(c) for c in _FIELDS])
+    return K.summary_json(K.run_summary(rounded, {"neg": 0, "pos": 1}, {"max_features": 50000, "ngram_max": 2}))
+
+
 @query("label_mapping", W("SELECT lang AS label, (dense_rank() OVER (ORDER BY lang) - 1)::INT AS label_idx FROM "
                           "(SELECT DISTINCT lang FROM documents)", ["label", "label_idx"]))
 def q_label_mapping(spark, sf):

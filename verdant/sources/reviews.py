@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prepare import require_columns, sample_exact
+from ..operators.windows import segmented_row_number
+from ..session import cut_lineage
+
+# digests of repeated rows that are broadcast at most
+MAX_BROADCAST = 1_000_000
 
 
 def read_reviews(spark: SparkSession, path: str, text_col: str = "text", label_col: str = "label",
@@ -30,9 +35,24 @@ def read_reviews(spark: SparkSession, path: str, text_col: str = "text", label_c
 
 
 def add_row_id(df: DataFrame) -> DataFrame:
-    """A stable 64-bit row id when the source has none (partition-local ids,
-    no shuffle)."""
-    return df if "doc_id" in df.columns else df.withColumn("doc_id", F.monotonically_increasing_id())
+    """An id from the row's content when the source has none: the digest of all
+    columns and, for equal rows, which of them it is (``<md5>-<number>``).  The ids, and
+    every split or sample drawn by them, don't depend on files, parts or tasks.
+
+    One pass over the digests finds those that repeat; only rows that have one of
+    these are numbered, by (digest, task) first and then over the tasks' counts, so
+    a row that fills a third of the table is numbered in as many tasks as hold it."""
+    if "doc_id" in df.columns:
+        return df
+    keyed = df.withColumn("_digest", F.md5(F.to_json(F.struct(*df.columns))))
+    repeated = cut_lineage(keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_digest"))
+    if repeated.count() <= MAX_BROADCAST:
+        repeated = F.broadcast(repeated)
+    once = keyed.join(repeated, "_digest", "left_anti").withColumn("_number", F.lit(1).cast("long"))
+    again = keyed.join(repeated, "_digest", "left_semi").withColumn("_order", F.monotonically_increasing_id())
+    again = segmented_row_number(again, "_digest", ["_order"], F.spark_partition_id(), "_number").drop("_order")
+    return (once.unionByName(again).withColumn("doc_id", F.concat("_digest", F.lit("-"), F.col("_number").cast("string")))
+            .drop("_digest", "_number"))
 
 
 def read_polarity(spark: SparkSession, path: str, fmt: str = "parquet", text_col: str = "text",
