@@ -1,23 +1,25 @@
 """Operator 2: exact duplicates through a persistent digest index.
 
 The index is a parquet table bucketed and sorted by digest: one row per
-distinct normalised text (digest, largest doc_id, number of rows).  New data is
-reduced to its distinct digests, merge-anti-joined with the index (the index
-side needs no shuffle and no sort: its buckets are read as they lie) and the
-digests that are new are appended.  Digests that the index already holds are
-appended to a second bucketed table of repeats, so the index itself is only
-ever appended to, never rewritten.
+distinct normalised text (digest, largest doc_id, number of rows).  It lies in a
+folder and is opened again from there, by a later batch or another program.  A
+batch of new data is reduced to its distinct digests and merge-anti-joined with the
+index, whose buckets need no shuffle (each is sorted again for the merge: after an
+append it has several files); the digests that are new are appended.  Digests that
+the index already holds are appended to a second bucketed table of repeats, so the
+index itself is only ever appended to, never rewritten.  ``exact_dedup`` feeds the
+documents to the index in ``BATCHES`` batches.
 
 Cases: a null text counts as empty; empty texts are equal to one another;
 rows repeated with the same doc_id count in group_size and are all kept when
 that doc_id is the one that stays; a null doc_id stays only when its group has
-no other; other columns of the input are not read (except by ``keep_rows`` and
-``keep_one``, which also leaves one of repeated rows).
+no other; other columns of the input are not read (except by ``keep_one``, which also
+leaves one of repeated rows).
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import join_groups, one_per, table, written
 
+#: batches that a query feeds to the index
+BATCHES = 3
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,20 +41,31 @@ def digest_of(text):
 
 
 class DigestIndex:
-    """``keys`` (first sight of a digest) and ``repeats`` (later batches)."""
-
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = "verdant_digests_" + uuid.uuid4().hex[:16]
-        self.paths = {k: scratch_path(spark, f"digests_{k}") for k in ("keys", "repeats")}
-        for k, path in self.paths.items():
-            empty = spark.createDataFrame([], "digest binary, max_id long, n long")
-            self._append(k, empty, path)
-
-    def _append(self, kind: str, df: DataFrame, path: str | None = None) -> None:
-        w = df.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append")
-        (w.option("path", path) if path else w).saveAsTable(f"{self.name}_{kind}")
+    """``keys`` (first sight of a digest) and ``repeats`` (later batches) in a
+    folder; opened again if it is there."""
+
+    KINDS = ("keys", "repeats")
+    SCHEMA = "digest binary, max_id long, n long"
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self.fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [s.getPath().getName() for s in self.fs.listStatus(path)] if self.fs.exists(path) else []
+        have = [int(x.removeprefix("keys-")) for x in found if x.startswith("keys-")]
+        # the number of buckets is part of the folder's name; an index that is there keeps its own
+        self.buckets = have[0] if have else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = "verdant_digests_" + hashlib.md5(self.folder.encode()).hexdigest()[:16]
+        for kind in self.KINDS:
+            self.fs.mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(kind)))
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{kind} ({self.SCHEMA}) USING parquet "
+                      f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self._path(kind)}'")
+
+    def _path(self, kind: str) -> str:
+        return f"{self.folder}/{kind}-{self.buckets}"
+
+    def _append(self, kind: str, df: DataFrame) -> None:
+        df.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(f"{self.name}_{kind}")
 
     def rows(self, kind: str) -> DataFrame:
         self.spark.catalog.refreshTable(f"{self.name}_{kind}")
@@ -75,20 +90,31 @@ class DigestIndex:
                 .select("digest", F.greatest("max_id", "id2").alias("keep_id"),
                         (F.col("n") + F.coalesce("n2", F.lit(0))).alias("group_size")))
 
-    def drop(self) -> None:
-        for k in self.paths:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
+    def close(self) -> None:
+        """Takes the tables out of the session's catalog; the files stay."""
+        for kind in self.KINDS:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
+
+    def delete(self) -> None:
+        self.close()
+        self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder), True)
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     # the texts are read and hashed once; everything later moves 40-byte rows
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest")),
                    "doc_digests")
-    index = DigestIndex(spark)
-    index.add(rows)
-    groups = index.groups()
+    folder = scratch_path(spark, "digest_index")
+    number = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(batches))
+    for b in range(batches):
+        index = DigestIndex(spark, folder)  # each batch opens what the ones before it left
+        index.add(rows.where(number == b))
+        index.close()
+    index = DigestIndex(spark, folder)
+    groups = written(index.groups(), "digest_groups")
+    index.delete()
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     # a group of one needs no look-up
     joined = join_groups(rows, groups.where("group_size > 1"), "digest", "group_size", total)
@@ -100,18 +126,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that ``exact_dedup`` marks kept, all columns as they are:
-    a null doc_id goes when its group has another, rows repeated with the doc_id
-    that stays are all kept.  One shuffle of the rows by (doc_id, digest)."""
-    gone = (exact_dedup(docs).where(~F.col("kept"))
-            .select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct())
-    gone = written(gone, "dedup_gone")
-    marked = docs.withColumn("_own", digest_of(F.col("text")))
-    cond = marked["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (marked["_own"] == gone["_digest"])
-    return marked.join(gone, cond, "left_anti").drop("_own")
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each text, all columns as they are: that of the largest doc_id
     (a null one only if the text has no other), also of repeated rows.  The
