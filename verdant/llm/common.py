@@ -24,7 +24,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made; nothing that is still to be computed may read them."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
@@ -34,6 +44,15 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of a few rows, so that a worker holds few texts as
+    Python strings; what Arrow frees goes back to the system after each batch."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def crc_bucket(col: str = "doc_id"):
     """crc32(doc_id as text) mod 5: 0 marks held-out rows (null ids: crc32 of
     the empty text, 0)."""

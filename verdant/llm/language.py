@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_bucket, table
+from .common import arrow_map, crc_bucket, slices, table
 
 PROFILE = 300
 UNKNOWN = "und"
@@ -89,7 +89,7 @@ def profiles(docs: DataFrame, k: int = PROFILE) -> dict[str, np.ndarray]:
         for lang in list(held):
             yield flush(lang)
 
-    src = docs.select(F.col("lang").cast("string"), F.col("text")).where("lang is not null and lang != ''")
+    src = docs.select(F.col("lang").cast("string"), F.col("text")).where("lang is not null")
     sums = arrow_map(src, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     out: dict[str, list] = {}
@@ -145,7 +145,7 @@ def keep_known(docs: DataFrame, k: int = PROFILE) -> DataFrame:
     known = Profiles(profiles(docs.where(crc_bucket() != 0), k), k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             keep = [known.language(t or "")[0] != UNKNOWN if known.langs else bool(LETTERS.search(t or "")) for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -11,8 +11,8 @@ the document.  Text without a mention has no free node and needs no inference.
 
 The potentials are learned here: a multinomial logistic unary over shape and
 context features and the chain's transitions, from the mentions of a bounded
-sample of documents (``SAMPLE``, the first by a hash of doc_id), with the base
-patterns as labels; the shared potential is the log odds that two linked base
+sample of documents (``SAMPLE``, the first by a hash of doc_id; the unary from the
+first ``MENTIONS`` mentions of theirs), with the base patterns as labels; the shared potential is the log odds that two linked base
 mentions have one kind.
 
 Cases: a null text counts as empty; an empty text has no spans and the digest of
@@ -32,23 +32,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: a match never begins inside a run of digits: the one from the run's start would come first
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
-LOOSE_MAIL = re.compile(r"""[^\s@<>()\[\],;:"']+@[^\s@<>()\[\],;:"']+""")
+LOOSE = re.compile(r"""[^\s@<>()\[\],;:"']+""")
 LOOSE_NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9])+")
 LABELS = 1 + len(KINDS)  # 0 is O
 FEATURES = 256
 SAMPLE = 2000
-MENTIONS = 20_000
 ROUNDS = 20
+#: mentions whose features the unary potentials are fitted on, of the sample's: a bound of the fit
+MENTIONS = 20_000
 #: prior log odds that mentions with one key are one kind; base labels alone can't
 #: show it, since a twin that fails the patterns counts as O among them
 TWIN = 6.0
@@ -79,6 +81,23 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def loose_mails(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of LOOSE characters on both sides of an @ in text[at:end], leftmost and
+    non-overlapping, found from the @ signs outwards: each character is looked at twice at most."""
+    sign = text.find("@", at, end)
+    while sign >= 0:
+        lo = sign
+        while lo > at and LOOSE.match(text, lo - 1, lo):
+            lo -= 1
+        m = LOOSE.match(text, sign + 1, end)
+        if m and lo < sign:
+            yield lo, m.end()
+            at = m.end()
+        else:
+            at = sign + 1
+        sign = text.find("@", at, end)
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """Base spans (start, kind number, end)."""
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
@@ -102,7 +121,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     for a, kind, b in [*base, (len(text), -1, len(text))]:
         if a > at:
             if has_mail:
-                out += [(m.start(), m.end(), 0) for m in LOOSE_MAIL.finditer(text, at, a)]
+                out += [(x, y, 0) for x, y in loose_mails(text, at, a)]
             if has_digit:
                 for m in LOOSE_NUMBER.finditer(text, at, a):
                     n = len(NOT_DIGIT.sub("", m[0]))
@@ -234,11 +253,12 @@ def learn(texts: list[str], most: int = MENTIONS) -> Field:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Learn from the first ``sample`` documents by a hash of doc_id."""
+    """Learn from the first ``sample`` documents by a hash of doc_id; of rows that
+    repeat an id the least text."""
     ids = (docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-            .join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").collect())
+            .join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect())
     return learn([r.text for r in rows])
 
 
@@ -292,7 +312,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index("text")
             new = [None if t is None else redacted(t, find(t, field)[1]) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))

@@ -336,8 +336,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
     for value in (0, 1):
         some = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = some if ids is None else ids.unionByName(some)
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-            .join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").collect())
+    # one text (the least) of an id, however often the id is repeated
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
