@@ -75,10 +75,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return light.join(rest.hint("merge"), key, "left").unionByName(hot)
 
 
-def one_per(keyed: DataFrame, columns: list[str], rank) -> DataFrame:
-    """Of the rows of each ``_key`` the one with the largest rank (null: the
-    least), then by a hash of its columns; ``_key`` and the columns.  An aggregate
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_per(keyed: DataFrame, key: str, columns: list[str], rank) -> DataFrame:
+    """Of the rows of each ``key`` the one with the largest rank (null: the
+    least), then by a hash of its columns; the key and the columns.  An aggregate
     with a map-side part, so no key's rows meet in one task."""
     order = F.struct(rank.alias("rank"), F.xxhash64(*columns).alias("row"))
-    best = keyed.groupBy("_key").agg(F.max_by(F.struct(*columns), order).alias("_best"))
-    return best.select("_key", "_best.*")
+    best = free_name(keyed, "_best")
+    return keyed.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias(best)).select(key, f"{best}.*")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import join_groups, one_per, table, written
+from .common import free_name, join_groups, one_per, table, written
 
 #: batches that a query feeds to the index
 BATCHES = 3
@@ -131,7 +131,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     (a null one only if the text has no other), also of repeated rows.  The
     rows are reduced before and after one shuffle by digest, so a text of many
     rows reaches its task as one row a map task."""
-    return one_per(docs.withColumn("_key", digest_of(F.col("text"))), docs.columns, F.col("doc_id").cast("long")).drop("_key")
+    key = free_name(docs, "_key")
+    return one_per(docs.withColumn(key, digest_of(F.col("text"))), key, docs.columns, F.col("doc_id").cast("long")).drop(key)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,11 @@ twice or more; it may only cost time, never results).  Groups of near copies are
 one min-hash are checked against the group's leader, and what links is one
 component; inverted lists then only pair classes of different components, and
 members of big components only meet classes outside them.  Every candidate is
-checked on the full sets, so a link is never lost or invented.
+checked on the full sets, so a link is never lost or invented.  In long lists a
+pair must pass a sketch first, the parity of a set's shingles in each of 512 cells:
+sets differ in at least as many shingles as their sketches in cells, so a pair whose
+sketches differ too much is no link.  That keeps a family of many near copies, which share nearly all keys but
+mostly don't link, from making candidates of all its pairs.
 
 Cases: texts without words (or null) have the empty set, link with nothing and
 are their own component; repeated rows are equal sets; a null doc_id takes part
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import arrow_map, join_groups, one_per, table, written
+from .common import arrow_map, discard, free_name, join_groups, one_per, table, written
 from .components import components
 from .shingles import ROWS, SHINGLE, digest, mixed, sets_of
 
@@ -53,6 +57,8 @@ MIN_HASHES = 4
 MOST_SMALL = 27
 #: a component of more classes than this is big
 BIG = 32
+#: longs of a set's sketch: the parity of its shingles' number in each of 64 * SKETCH cells
+SKETCH = 8
 #: in lists of more classes than this, a pair is taken once, at the least key of those that it shares
 LONG = 64
 
@@ -97,35 +103,42 @@ def has_bit(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """Two sets differ in at least as many shingles as their sketches in bits."""
+    cells = np.bincount((mixed(s.view(np.uint64)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64).tolist()
+
+
 def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Per document: doc_id, n, digest, lows (min-hashes).  Per batch one more
+    """Per document: doc_id, n, digest, lows (min-hashes), sketch.  Per batch one more
     row (digest null, n -1) with the shingles of several of its documents and
     their counts."""
     salts = mixed(np.arange(1, MIN_HASHES + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        names = ["doc_id", "n", "digest", "lows", "shingles", "counts"]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        names = ["doc_id", "n", "digest", "lows", "sketch", "shingles", "counts"]
         for b in batches:
             rows, every = [], []
             for doc_id, s in zip(b.column(0).to_pylist(), sets_of(b.column(1), k)):
-                lows = None
+                lows, bits = None, None
                 if len(s):
+                    bits = sketch(s)
                     with np.errstate(over="ignore"):
                         lows = [int(mixed(s.view(np.uint64) + x).min().view(np.int64)) for x in salts]
                     every.append(s)
-                rows.append((doc_id, len(s), digest(s), lows, None, None))
+                rows.append((doc_id, len(s), digest(s), lows, bits, None, None))
             if every:
                 every = np.concatenate(every)
                 every.sort()
                 first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
                 count = np.diff(np.append(first, len(every)))
                 often = count > 1
-                rows.append((None, -1, None, None, every[first[often]], count[often].astype(np.int32)))
+                rows.append((None, -1, None, None, None, every[first[often]], count[often].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names) if rows else \
                 pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=names)
 
-    return arrow_map(docs, run, "doc_id long, n int, digest binary, lows array<long>, shingles array<long>, counts array<int>")
+    return arrow_map(docs, run, "doc_id long, n int, digest binary, lows array<long>, sketch array<long>, shingles array<long>, counts array<int>")
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame, name: str, k: int = SHINGLE) -> DataFrame:
@@ -186,6 +199,7 @@ def leader_links(classes: DataFrame, described: DataFrame, docs: DataFrame, k: i
         new = written(linked(written(pairs.select("u", "v"), "jac_leader_pairs"), sets, percent), "jac_leader_links")
         links = new if links is None else written(links.unionByName(new), "jac_links")
         roots = written(components(links), "jac_roots")
+    discard(lows, groups, members, sets, sizes)
     return links, roots
 
 
@@ -243,18 +257,21 @@ def postings(docs: DataFrame, bits: np.ndarray, small: int, k: int = SHINGLE, pe
     return rows.groupBy("key", "c", "digest").agg(F.min("n").alias("n"))
 
 
-def list_pairs(posted: DataFrame, roots: DataFrame, small: int, percent: int = PERCENT) -> DataFrame:
+def list_pairs(posted: DataFrame, roots: DataFrame, sketches: DataFrame, small: int, percent: int = PERCENT) -> DataFrame:
     """Candidate pairs (u, v) of different components that share enough posted
-    shingles, or a subset of the right size."""
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    big = written(roots.join(written(sizes, "jac_root_sizes"), "root").select(
+    shingles, or a subset of the right size; written.  ``posted``, a written
+    table, is discarded with what was made of it."""
+    sizes = written(roots.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "jac_root_sizes")
+    big = written(roots.join(sizes, "root").select(
         F.col("node").alias("digest"), "root", (F.col("m") > BIG).alias("big")), "jac_node_roots")
     # a list of one class has no pair
     shared = written(posted.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
                      .select("key", "c", (F.col("m") > LONG).alias("long")), "jac_shared")
-    rows = written(posted.join(shared, ["key", "c"]), "jac_shared_rows")
-    rows = written(rows.join(big, "digest", "left").select(
+    shared_rows = written(posted.join(shared, ["key", "c"]), "jac_shared_rows")
+    discard(posted, shared)
+    rows = written(shared_rows.join(big, "digest", "left").select(
         "key", "c", "digest", "n", "long", F.coalesce("root", "digest").alias("root"), F.coalesce("big", F.lit(False)).alias("big")), "jac_rooted")
+    discard(shared_rows, sizes, big)
     lists = rows.groupBy("key", "c").agg(
         F.min("root").alias("r0"), F.max("root").alias("r1"),
         F.min(F.when(F.col("big"), F.col("root"))).alias("b0"), F.max(F.when(F.col("big"), F.col("root"))).alias("b1"))
@@ -262,10 +279,15 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int, percent: int = P
     live = written(rows.join(lists, ["key", "c"]), "jac_live")
     # classes in long lists carry the keys that they share with anyone, and those of their long lists
     longs = live.where("long and c = 0").groupBy("digest").agg(F.collect_list("key").alias("longs"))
-    own = (rows.where("c = 0").join(live.where("long and c = 0").select("digest").distinct(), "digest", "left_semi")
-           .groupBy("digest").agg(F.sort_array(F.collect_list("key")).alias("keys")))
-    full = live.where("long and c = 0").join(written(own.join(longs, "digest"), "jac_own_keys"), "digest")
-    short = live.where("not long or c > 0").withColumn("keys", F.lit(None).cast("array<bigint>")).withColumn("longs", F.col("keys"))
+    who = written(live.where("long and c = 0").select("digest").distinct(), "jac_long_classes")
+    own = rows.where("c = 0").join(who, "digest", "left_semi").groupBy("digest").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    cells = [F.col("sketch")[i].alias(f"b{i}") for i in range(SKETCH)]
+    bits = sketches.join(who, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", *cells)
+    keys = written(own.join(longs, "digest").join(bits, "digest"), "jac_own_keys")
+    full = live.where("long and c = 0").join(keys, "digest")
+    short = live.where("not long or c > 0")
+    for name, kind in (("keys", "array<bigint>"), ("longs", "array<bigint>"), *((f"b{i}", "bigint") for i in range(SKETCH))):
+        short = short.withColumn(name, F.lit(None).cast(kind))
 
     pre = lambda n: F.col(n) - F.ceil(F.col(n) * percent / 100.0).cast("int") + 1
     o = need_col("nu", "nv", percent)
@@ -274,7 +296,8 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int, percent: int = P
     def meet(side: DataFrame, extra) -> DataFrame:
         """Pairs of one list; rows of big components only meet other components' rows."""
         a, b = (side.select("key", "c", F.col("digest").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x),
-                            F.col("big").alias("g" + x), F.col("keys").alias("k" + x), F.col("longs").alias("l" + x), F.col("two").alias("two" + x)) for x in "uv")
+                            F.col("big").alias("g" + x), F.col("keys").alias("k" + x), F.col("longs").alias("l" + x), F.col("two").alias("two" + x),
+                            *[F.col(f"b{i}").alias(f"b{i}{x}") for i in range(SKETCH)]) for x in "uv")
         cond = (F.col("ru") != F.col("rv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & extra
         light = a.where("not gu").join(b, ["key", "c"]).where(cond & (F.col("gv") | (F.col("u") < F.col("v"))))
         heavy = a.where("gu and twou").join(b.where("gv"), ["key", "c"]).where(cond & (F.col("u") < F.col("v")))
@@ -288,8 +311,12 @@ def list_pairs(posted: DataFrame, roots: DataFrame, small: int, percent: int = P
                .where((F.col("c") > 0) | (F.col("k") >= forced)).select("u", "v"))
     # a pair that shares long lists is judged by all keys in the one of the least key, and a pair that shares none by its count above
     both = F.array_intersect("ku", "kv")
-    once = meet(full, (F.greatest("nu", "nv") > small) & (F.col("key") == F.array_min(F.array_intersect("lu", "lv"))) & (F.size(both) >= forced))
-    return counted.unionByName(once.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+    apart_by = sum((F.bit_count(F.col(f"b{i}u").bitwiseXOR(F.col(f"b{i}v"))) for i in range(1, SKETCH)),
+                   F.bit_count(F.col("b0u").bitwiseXOR(F.col("b0v"))))
+    once = meet(full, (F.greatest("nu", "nv") > small) & (F.col("nu") + F.col("nv") - apart_by >= 2 * o) & (F.col("key") == F.array_min(F.array_intersect("lu", "lv"))) & (F.size(both) >= forced))
+    pairs = written(counted.unionByName(once.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), "jac_pairs")
+    discard(rows, lists, live, who, keys)
+    return pairs
 
 
 def class_roots(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -308,10 +335,11 @@ def class_roots(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tu
     shared = counts.agg(F.sum("m"), F.count(F.lit(1))).first()
     small = boundary(hist, shared[0] / shared[1] if shared[1] else 1.0, percent)
     posted = written(postings(docs, bits, small, k, percent), "jac_postings")
-    pairs = written(list_pairs(posted, roots, small, percent), "jac_pairs")
+    pairs = list_pairs(posted, roots, described.where("digest is not null").select("digest", "sketch"), small, percent)
     ends = pairs.select(F.col("u").alias("digest")).union(pairs.select("v")).distinct()
     sets = set_rows(docs, classes.join(ends, "digest", "left_semi").select("doc_id", "digest"), "jac_pair_sets", k)
     links = written(links.unionByName(linked(pairs, sets, percent)), "jac_all_links")
+    discard(sets, pairs)
     roots = written(components(links), "jac_all_roots")
 
     tied = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -338,20 +366,21 @@ def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     tied = class_roots(docs, k, percent)[1]
     # the class that stays is its component's first by doc_id, nulls last
     first = tied.groupBy("root").agg(F.min_by("digest", F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"))
-    gone = written(tied.join(first, "root").where("digest != first").select(F.col("digest").alias("_key")), "jac_gone")
+    text, own_set, key = (free_name(docs, x) for x in ("_text", "_set", "_key"))
+    gone = written(tied.join(first, "root").where("digest != first").select(F.col("digest").alias(key)), "jac_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [digest(x) for x in sets_of(b.column(b.num_columns - 1), k)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.binary())], names=[*b.schema.names[:-1], "_set"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.binary())], names=[*b.schema.names[:-1], own_set])
 
-    schema = StructType([*docs.schema.fields, StructField("_set", BinaryType())])
-    marked = arrow_map(docs.withColumn("_text", F.col("text").cast("string")), run, schema)
+    schema = StructType([*docs.schema.fields, StructField(own_set, BinaryType())])
+    marked = arrow_map(docs.withColumn(text, F.col("text").cast("string")), run, schema)
     own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.hex("text"), F.lit("-")))
-    keyed = marked.withColumn("_key", F.coalesce("_set", F.unhex(F.sha2(own.cast("binary"), 256))))
+    keyed = marked.withColumn(key, F.coalesce(own_set, F.unhex(F.sha2(own.cast("binary"), 256))))
     # one row a class first, then the classes that go: many rows of a class never meet in one task
-    best = one_per(keyed, docs.columns, -F.col("doc_id").cast("decimal(20,0)"))
-    return best.join(gone, "_key", "left_anti").drop("_key")
+    best = one_per(keyed, key, docs.columns, -F.col("doc_id").cast("decimal(20,0)"))
+    return best.join(gone, key, "left_anti").drop(key)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
