@@ -123,13 +123,37 @@ class Merges:
         return known
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one word (of symbols), as the transducer emits them."""
-        t = Transducer(self)
+        """Ids of one word (of symbols), as the transducer emits them.  A word
+        within its window is one step of it, without state to carry."""
         look = 64 * self.lookahead
+        if len(word) < 4 * self.lookahead:
+            return self._within(word + MARK)
+        t = Transducer(self)
         out = [i for at in range(0, len(word), look) for i in t.feed(word[at:at + look])]
         return out + t.finish()
 
 
+    def _within(self, symbols: str) -> list[int]:
+        last, decided, size_of = [-1] * (len(symbols) + 1), self._apart, self.size
+        for end, (size, i) in self.find.iter(symbols):
+            end += 1
+            if last[end] < 0:
+                if size == end:
+                    last[end] = i
+                    continue
+                left = last[end - size]
+                if left >= 0:
+                    known = decided.get(left << 20 | i)
+                    if known or known is None and self._decide(left << 20 | i):
+                        last[end] = i
+        out, at = [], len(symbols)
+        while at:
+            i = last[at]
+            out.append(i)
+            at -= size_of[i]
+        return out[::-1]
+
+
 class Transducer:
     """Streams the symbols of one word to token ids; ``finish`` adds the end mark."""
 
@@ -242,6 +266,7 @@ class Encoder:
     def __init__(self, path: str):
         self.merges = Merges(path)
         from tokenizers.normalizers import NFC, Lowercase, Sequence
+        self.chunk = re.compile(f"[^{SPACES}]+").findall
         self.near, self.far = word_pattern(NEAR).findall, None
         self.normal = Sequence([NFC(), Lowercase()]).normalize_str
         self.table = str.maketrans({chr(b): s for b, s in byte_symbols().items()})
@@ -268,11 +293,19 @@ class Encoder:
         self.far = self.far or word_pattern(0x110000).findall
         return self.far(self.normal(text))
 
-    def ids(self, word: str) -> list[int]:
+    def chunks(self, text: str) -> list[str] | None:
+        """The stretches between white space, which words don't reach across; None
+        if the piece may hold special tokens, which do."""
+        return None if any(x in text for x in self.marks) else self.chunk(text)
+
+    def symbols(self, word: str) -> str:
+        return word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.table)
+
+    def ids(self, word: str, encode=None) -> list[int]:
+        """Ids of a word by the merges here, or by another encoder of symbols."""
         if word[0] == "\0" and word[1:] in self.merges.special:
             return [self.merges.special[word[1:]]]
-        return self.merges.encode_word(word if word.isalpha() and word.isascii()
-                                       else word.encode().decode("latin-1").translate(self.table))
+        return (encode or self.merges.encode_word)(self.symbols(word))
 
 
 class Decoder:
@@ -350,6 +383,38 @@ class WordCache(dict):
         return value
 
 
+class PieceCache:
+    """Values of a piece's words, looked up by white-space chunk: a chunk (a word
+    with its punctuation, as written) stands for its normalised words' values,
+    put together by ``join``."""
+
+    def __init__(self, enc: Encoder, make, join):
+        self.enc = enc
+        words, near, plain = WordCache(make), enc.near, enc._plain
+
+        def together(chunk: str):
+            found = near(chunk.lower()) if chunk.isascii() else plain(chunk)
+            return words[found[0]] if len(found) == 1 else join([words[w] for w in found])
+
+        self.words, self.known = words, WordCache(together)
+
+    def values(self, piece: str) -> list:
+        chunks = self.enc.chunks(piece)
+        if chunks is None:
+            return [self.words[w] for w in self.enc.words(piece)]
+        return list(map(self.known.__getitem__, chunks))
+
+
+_CACHES: dict[tuple[str, str], PieceCache] = {}
+
+
+def piece_cache(path: str, kind: str, make, join) -> PieceCache:
+    """The cache of one kind of values, kept by the worker process from task to task."""
+    if (path, kind) not in _CACHES:
+        _CACHES[path, kind] = PieceCache(encoder(path), make, join)
+    return _CACHES[path, kind]
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per document."""
     where = path or default_path()
@@ -362,13 +427,13 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = enc.ids(word)
             return " ".join(map(str, ids)), dec.joined(ids)
 
-        known = WordCache(make)
+        known = piece_cache(where, "texts", make, lambda each: tuple(map(" ".join, zip(*each))))
         for b in batches:
             out = []
             for text in b.column(1):
                 n, ids_hash, text_hash, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
                 for piece in pieces(text.as_py() or ""):
-                    found = list(map(known.__getitem__, enc.words(piece)))
+                    found = known.values(piece)
                     if found:
                         ids, decoded = map(" ".join, zip(*found))
                         n += ids.count(" ") + 1

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import WordCache, default_path, encoder, pieces
+from .bpe import default_path, encoder, piece_cache, pieces
 from .common import arrow_map, table
 
 TIERS = (512, 1024, 2048, 4096)
@@ -133,6 +133,14 @@ class Packer:
                 yield self._fill(top, min(1 << (rest.bit_length() - 1), self.tiers[-1]))
 
 
+def word_bytes(path: str):
+    """The ids of a word as bytes, by the library's own model."""
+    from tokenizers import Tokenizer
+    enc, tokenize = encoder(path), Tokenizer.from_file(path).model.tokenize
+    by_library = lambda symbols: [t.id for t in tokenize(symbols)]
+    return lambda word: array("I", enc.ids(word, by_library)).tobytes()
+
+
 def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIERS,
                    buffer_tokens: int = BUFFER_TOKENS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
@@ -140,8 +148,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
     where = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(where)
-        known = WordCache(lambda word: array("I", enc.ids(word)).tobytes())
+        known = piece_cache(where, "bytes", word_bytes(where), b"".join)
         part = TaskContext.get().partitionId() << 40
         packer, held, number, sequences = Packer(tiers), {}, 0, 0
         filled: dict[int, int] = {}
@@ -172,7 +179,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
         own: list[list] = []
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = b"".join([x for p in pieces(text.as_py() or "") for x in map(known.__getitem__, enc.words(p))])
+                ids = b"".join([x for p in pieces(text.as_py() or "") for x in known.values(p)])
                 ids += array("I", [END_ID]).tobytes()
                 n = len(ids) // 4
                 held[number] = [doc_id, ids, n]
