@@ -230,9 +230,11 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES)
     groups = written(ids.where(F.col("size") >= min_revisit_bytes).groupBy("digest")
                      .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "page_groups")
     copies = join_groups(ids, groups, "digest", "n", ids.count())
-    revisits = written(copies.where(F.col("page_id") != F.col("first_id"))
-                       .select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct(), "page_revisits")
-    return src.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    # rows without an id revisit the one with the smallest id; if no row has one they are responses
+    revisits = written(copies.where(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+                       .select(F.col("page_id").alias("id"), F.col("digest").alias("payload"), F.col("first_id").alias("refers_to")).distinct(), "page_revisits")
+    same = src["page_id"].eqNullSafe(revisits["id"]) & (src["digest"] == revisits["payload"])
+    return src.join(revisits, same, "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, level: int = GZIP_LEVEL) -> DataFrame:
