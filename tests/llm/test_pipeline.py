@@ -1,6 +1,7 @@
 """The corpus pipeline against a brute-force version, stage by stage."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import pytest
 
 import corpus_pipeline
-from verdant.llm import bpe, language, pii
+from verdant.llm import bpe, exact_dedup, language, pii
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -130,6 +131,24 @@ def test_dedup_stages_keep_one_row_without_an_id_or_repeated(spark):
     assert got == [(0, 1), (1, 0), (2, 5), (3, 5)]
 
 
+def test_exact_stage_goes_through_the_digest_index(spark, monkeypatch):
+    seen = []
+    plain = exact_dedup.DigestIndex.add
+
+    def counted(index, batch):
+        rows = [(r.doc_id, bytes(r.digest).hex()) for r in batch.collect()]
+        seen.extend(rows)
+        return plain(index, batch)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", counted)
+    # a heavy text, repeats of the row that stays, and texts of their own
+    rows = [(i, "HEAVY one" if i % 2 else "heavy ONE") for i in range(60)] + [(59, "HEAVY one")] * 2 + [(100 + i, f"own {i}") for i in range(20)]
+    docs = spark.createDataFrame([(d, t, "en", "web", len(t)) for d, t in rows], DOCS)
+    got = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == [59, *range(100, 120)]
+    assert collections.Counter(seen) == collections.Counter((d, hashlib.sha256(fold(t).encode()).hexdigest()) for d, t in rows)
+
+
 def test_near_stage_has_five_words_and_80_percent(spark):
     """Four words changed in 200: 0.886 on three-word shingles, 0.815 on five-word ones."""
     rng = random.Random(5)

@@ -66,13 +66,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     total / HEAVY_SHARE rows: fewer than HEAVY_SHARE of them) are looked up in
     a broadcast table of that proven size and the rest is merge-joined.
     """
+    light, hot = join_group_parts(rows, groups, key, size, total)
+    return light.unionByName(hot)
+
+
+def join_group_parts(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``join_groups``: the merge-joined rows (they lie partitioned
+    by ``key``) and those of the heavy keys."""
     limit = max(total // HEAVY_SHARE, 16)
     heavy = F.broadcast(groups.where(F.col(size) > limit).withColumn("_heavy", F.lit(True)))
     tagged = rows.join(heavy.select(key, "_heavy"), key, "left")
     hot = rows.join(heavy.drop("_heavy"), key, "inner")
     light = tagged.where(F.col("_heavy").isNull()).drop("_heavy")
     rest = groups.where(F.col(size) <= limit)
-    return light.join(rest.hint("merge"), key, "left").unionByName(hot)
+    return light.join(rest.hint("merge"), key, "left"), hot
 
 
 def free_name(df: DataFrame, name: str) -> str:

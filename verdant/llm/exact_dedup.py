@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import free_name, join_groups, one_per, table, written
+from .common import free_name, join_group_parts, join_groups, one_per, table, written
 
 #: batches that a query feeds to the index
 BATCHES = 3
@@ -100,12 +100,10 @@ class DigestIndex:
         self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder), True)
 
 
-def exact_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    # the texts are read and hashed once; everything later moves 40-byte rows
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest")),
-                   "doc_digests")
+def digest_groups(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """(digest, keep_id, group_size) of rows(doc_id, digest), which go through a
+    digest index in batches."""
+    spark = rows.sparkSession
     folder = scratch_path(spark, "digest_index")
     number = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(batches))
     for b in range(batches):
@@ -115,6 +113,15 @@ def exact_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     index = DigestIndex(spark, folder)
     groups = written(index.groups(), "digest_groups")
     index.delete()
+    return groups
+
+
+def exact_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    # the texts are read and hashed once; everything later moves 40-byte rows
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest")),
+                   "doc_digests")
+    groups = digest_groups(rows, batches)
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     # a group of one needs no look-up
     joined = join_groups(rows, groups.where("group_size > 1"), "digest", "group_size", total)
@@ -126,13 +133,19 @@ def exact_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """One row of each text, all columns as they are: that of the largest doc_id
-    (a null one only if the text has no other), also of repeated rows.  The
-    rows are reduced before and after one shuffle by digest, so a text of many
-    rows reaches its task as one row a map task."""
-    key = free_name(docs, "_key")
-    return one_per(docs.withColumn(key, digest_of(F.col("text"))), key, docs.columns, F.col("doc_id").cast("long")).drop(key)
+    (a null one only if the text has no other), also of repeated rows.  The digest
+    index says which doc_id stays; the texts then move once, to the index's answer
+    for their digest, and of repeats with that doc_id one row is left.  Rows of
+    heavy texts are sifted before they move."""
+    key, keep, size = (free_name(docs, n) for n in ("_key", "_keep_id", "_group_size"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = written(docs.select(doc_id.alias("doc_id"), digest_of(F.col("text")).alias("digest")), "doc_digests")
+    groups = digest_groups(rows, batches).where("group_size > 1").toDF(key, keep, size)
+    parts = join_group_parts(docs.withColumn(key, digest_of(F.col("text"))), groups, key, size, rows.count())
+    light, hot = (one_per(p.where(F.col(size).isNull() | doc_id.eqNullSafe(F.col(keep))), key, docs.columns, doc_id).drop(key) for p in parts)
+    return light.unionByName(hot)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
