@@ -154,3 +154,29 @@ def test_accents_of_every_character(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", TX.strip_accents(F.col("t")).alias("s")).collect()
     for r in got:
         assert r["s"] == "".join(c for c in unicodedata.normalize("NFKD", r["t"]) if not unicodedata.combining(c))
+
+
+def test_weights_by_document_match_the_long_table(spark, monkeypatch):
+    """Counting inside the row, also for ids that repeat or are missing, gives what grouping the term rows gives."""
+    from verdant.operators import features as FT
+    from verdant.plans import classic
+
+    words = ["alpha", "beta", "Gamma", "d\u00e9lta", "epsilon", "zeta"]
+    rows = [(i, " ".join(words[(i * k) % 6] for k in range(1, 3 + i % 5)), i % 2) for i in range(60)]
+    rows += [(3, "alpha beta", 1), (3, "beta zeta zeta", 1), (4, None, 0), (None, "alpha zeta", 0), (None, "alpha", 0), (70, None, 1), (71, "", 0), (72, "!?", 1)]
+    where = ["train", "train", "train", "val", "test"]
+    split = spark.createDataFrame([(d, t, y, where[i % 5]) for i, (d, t, y) in enumerate(rows)], "doc_id long, text string, label int, split string")
+
+    def made(split, materialize):
+        p = classic.prepare(None, max_features=12, materialize=materialize, split=split)
+        show = lambda df: sorted(([round(x, 9) if isinstance(x, float) else x for x in r] for r in df.collect()), key=repr)
+        entries = classic.vector_rows(p)[0].select("doc_id", "label", "split", "y", F.explode(F.arrays_zip("index", "value")).alias("e"))
+        return [show(p.vocab.select("term", "count", "df", "idf", "term_index")), show(p.weights.select("doc_id", "label", "split", "term", "weight")),
+                show(entries.select("doc_id", "label", "split", "y", "e.index", "e.value")), classic.vector_rows(p)[0].count()]
+
+    assert made(split, True) == made(split.fillna("", ["text"]), False)
+    calls = []
+    plain = FT.doc_terms
+    monkeypatch.setattr(FT, "doc_terms", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    once = split.where("doc_id < 60 and doc_id not in (3, 4)")
+    assert made(once, True)[1] and not calls  # no term rows grouped by document

@@ -16,15 +16,21 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.ml.feature import NGram
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel, NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (INDEX_FROM, OOV_ID_ENCODED, START_ID, UNKNOWN_WORD, attention_mask,
                               normalise, pad_ids, sequence_words, word_tokens)
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 MAX_BROADCAST_TERMS = 2_000_000
+# a vocabulary of at most so many terms is looked up inside each document
+MAX_LOCAL_TERMS = 200_000
 HOT_WORDS = 100_000
 
 
@@ -95,6 +101,72 @@ def fit_vocabulary(train_terms: DataFrame, max_features: int | None = 50000, n_d
     return vocab
 
 
+def choose_terms(train: DataFrame, max_features: int, text_col: str = "text", ngram_max: int = 2) -> DataFrame:
+    """(term, count, term_index): the terms that ``fit_vocabulary`` keeps.  A
+    term's total count needs no counts by document: the n-grams go straight into
+    the aggregate by term."""
+    grams = with_ngrams(train.select(text_col), text_col, ngram_max)
+    counts = (grams.select(F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
+                   .groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("count")))
+    kept = top_k_by_count(cut_lineage(counts), max_features, "count", "term")
+    return kept.withColumn("term_index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))  # max_features rows
+
+
+def count_vectors(df: DataFrame, terms: list[str], text_col: str = "text", ngram_max: int = 2, keep=("doc_id",)) -> DataFrame:
+    """(keep..., index, tf): each row's counts of ``terms`` (positions ascending).
+    The counting happens inside the row (Spark's ``CountVectorizerModel``); no term
+    row is exploded, grouped or joined."""
+    grams = with_ngrams(df.select(*keep, text_col), text_col, ngram_max)
+    grams = grams.select(*keep, F.coalesce("_terms", F.array().cast("array<string>")).alias("_terms"))
+    if not terms:
+        return grams.select(*keep, F.array().cast("array<int>").alias("index"), F.array().cast("array<bigint>").alias("tf"))
+    model = CountVectorizerModel.from_vocabulary(terms, inputCol="_terms", outputCol="_v")
+    counted = model.transform(grams).select(*keep, "_v")
+    ship_package(df.sparkSession)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.select(*keep).schema.fields)
+    return counted.mapInArrow(sparse_entries, f"{kept}, index array<int>, tf array<bigint>")
+
+
+def sparse_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a sparse vector of counts, as its positions and counts."""
+    for b in batches:
+        v = b.column(b.num_columns - 1)
+        tf = v.field("values")
+        tf = pa.ListArray.from_arrays(tf.offsets, tf.values.cast(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], v.field("indices"), tf], names=[*b.schema.names[:-1], "index", "tf"])
+
+
+def document_frequencies(counts: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
+    """(term, count, df, idf, term_index) of chosen ``terms``; ``counts(index)`` holds
+    one row per training document."""
+    df = counts.select(F.explode("index").alias("term_index")).groupBy("term_index").agg(F.count(F.lit(1)).cast("long").alias("df"))
+    n = F.lit(float(n_docs))
+    return terms.join(df, "term_index").select(
+        "term", "count", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"), "term_index")
+
+
+def weigh(counts: DataFrame, vocab: DataFrame, keep=("doc_id",)) -> DataFrame:
+    """(keep..., index, value): ``tfidf`` weights of counts(index, tf), one row per
+    document.  The idf values, as many as the vocabulary has terms, are broadcast."""
+    spark = counts.sparkSession
+    ship_package(spark)
+    rows = vocab.select("term_index", "idf").orderBy("term_index").collect()  # max_features rows
+    idf = spark.sparkContext.broadcast(np.array([r["idf"] for r in rows], float))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*keep).schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index, tf = b.column("index"), b.column("tf")
+            w = tf.flatten().to_numpy() * idf.value[index.flatten().to_numpy()]
+            row = np.repeat(np.arange(b.num_rows), index.value_lengths().to_numpy(zero_copy_only=False))
+            value = w / np.sqrt(np.bincount(row, weights=w * w, minlength=b.num_rows))[row]
+            offsets = np.append(0, np.cumsum(np.bincount(row, minlength=b.num_rows))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.ListArray.from_arrays(offsets, index.flatten()),
+                                              pa.ListArray.from_arrays(offsets, pa.array(value))], names=[*keep, "index", "value"])
+
+    return counts.select(*keep, "index", "tf").mapInArrow(run, f"{kept}, index array<int>, value array<double>")
+
+
 def rank_rows(df: DataFrame, order: list[Column], out_col: str, start: int) -> DataFrame:
     """Positions in ``order`` + ``start`` by the range-partitioned global rank,
     at every size."""
