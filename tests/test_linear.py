@@ -1,6 +1,7 @@
 """Linear classifiers: losses, optimum against a dense solver, joint fits, one vector table."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,19 @@ def test_bad_names_and_sizes(spark, prep):
     with pytest.raises(ValueError, match="coefficients"):
         L.fit(frame(spark, np.zeros((2, 2)), [0, 1]), [L.Problem("logistic", 2)], L.MAX_COEFFICIENTS)
     assert L.fit(frame(spark, np.zeros((2, 2)), [0, 1]).where("false"), [L.Problem("logistic", 2)], 2)[0]["steps"] == 0
+
+
+def test_passes_take_the_entries_as_bytes(spark, monkeypatch):
+    x = np.array([[0.5, 0, 2.0], [0, 0, 0], [1.5, -1.0, 0]])
+    rows = frame(spark, x, [0, 1, 1])
+    whole = pa.Table.from_batches(L.packed(rows).toArrow().to_batches()).combine_chunks().to_batches()[0]
+    for b in (whole, whole.slice(1), whole.slice(0, 0)):
+        y, index, value, row = L.rows_of(b)
+        dense = np.zeros((b.num_rows, 3))
+        dense[row, index] = value
+        assert sorted([int(a), *d] for a, d in zip(y, dense.tolist())) == sorted([int(a), *x[[0.5, 0, 1.5].index(d[0])].tolist()] for a, d in zip(y, dense.tolist()))
+    seen = []
+    plain = L.one_pass
+    monkeypatch.setattr(L, "one_pass", lambda r, *a: seen.append(r.schema["value"].dataType.typeName()) or plain(r, *a))
+    L.fit(rows, [L.Problem("logistic", 2)], 3)
+    assert seen and set(seen) == {"binary"}

@@ -12,7 +12,8 @@ The optimiser is a trust-region Newton method whose steps come from conjugate
 gradients, so it only ever needs a value with its gradient, or the Hessian times
 a direction, at given coefficients.  Each problem is a generator that asks for one
 of the two; one pass over the rows answers the open requests of *all* problems.
-A pass is one Spark job: coefficients go out as a broadcast (their number is
+The rows are written once with their entries as bytes (``packed``).  A pass is one
+Spark job over them: coefficients go out as a broadcast (their number is
 bounded by ``MAX_COEFFICIENTS``), each task adds up its rows' part, and the parts
 are added up in a second stage (``vectors.summed``).
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import scratch_path, ship_package
 from .vectors import summed
 
 MAX_COEFFICIENTS = 20_000_000
@@ -175,11 +176,46 @@ def batch_parts(b: pa.RecordBatch, requests: list[tuple[Problem, Request]], feat
 
 
 def rows_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class numbers, and the entries of the sparse rows: index, value, row."""
-    at = b.column("index")
-    sizes = at.value_lengths().to_numpy(zero_copy_only=False)
-    return (b.column("y").to_numpy(), at.flatten().to_numpy(), b.column("value").flatten().to_numpy(),
-            np.repeat(np.arange(b.num_rows), sizes))
+    """Class numbers, and the entries of the sparse rows (arrays, or ``packed``): index, value, row."""
+    if pa.types.is_list(b.column("index").type):
+        index, sizes = b.column("index").flatten().to_numpy(), b.column("index").value_lengths().to_numpy(zero_copy_only=False)
+        value = b.column("value").flatten().to_numpy()
+    else:
+        (index, sizes), (value, _) = numbers_of(b.column("index"), np.int32), numbers_of(b.column("value"), np.float64)
+    return b.column("y").to_numpy(), index, value, np.repeat(np.arange(b.num_rows), sizes)
+
+
+def numbers_of(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that lie in the bytes of a binary column, and how many each row has."""
+    _, at, data = column.cast(pa.binary()).buffers()
+    width = np.dtype(kind).itemsize
+    at = np.frombuffer(at, np.int32)[column.offset:column.offset + len(column) + 1]
+    if at[0] == at[-1]:
+        return np.empty(0, kind), np.diff(at)
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(kind), np.diff(at) // width
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """rows(y, index, value) with the arrays as bytes, written once: a pass then takes
+    them as they lie, without a step for each entry."""
+    spark = rows.sparkSession
+    ship_package(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                at = np.append(0, np.cumsum(b.column("index").value_lengths().to_numpy(zero_copy_only=False)))
+                cols = []
+                for name, kind in (("index", np.int32), ("value", np.float64)):
+                    numbers = np.ascontiguousarray(b.column(name).flatten().to_numpy(), kind)
+                    offsets = (at * numbers.itemsize).astype(np.int32)
+                    cols.append(pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(numbers)]))
+                yield pa.RecordBatch.from_arrays([b.column("y"), *cols], names=["y", "index", "value"])
+
+    path = scratch_path(spark, "packed")
+    rows.select("y", "index", "value").mapInArrow(run, "y int, index binary, value binary").write.parquet(path)
+    return spark.read.schema("y int, index binary, value binary").parquet(path)
 
 
 def outputs(index: np.ndarray, value: np.ndarray, row: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
@@ -211,6 +247,7 @@ def fit(rows: DataFrame, problems: Sequence[Problem], features: int, tol: float
     running = {i: newton((p.outputs, features + 1), masks[i], tol, max_iter) for i, p in enumerate(problems)}
     asked: dict[int, Request] = {i: next(g) for i, g in running.items()}
     done: dict[int, dict] = {}
+    rows = packed(rows)
     while asked:
         order = sorted(asked)
         if passes is not None:
