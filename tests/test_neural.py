@@ -48,6 +48,26 @@ def test_features_equal_a_plain_loop(monkeypatch):
         assert np.allclose(features, want) and prob.sum() == pytest.approx(1)
 
 
+def test_no_text_is_multiplied_with_the_filters():
+    class Counted(np.ndarray):
+        rows = 0
+
+        def __array_ufunc__(self, ufunc, method, *inputs, **kw):
+            if ufunc is np.matmul:
+                Counted.rows += len(inputs[0])
+            return getattr(ufunc, method)(*(np.asarray(x) for x in inputs), **kw)
+
+    rng = np.random.default_rng(4)
+    p = N.initial(TINY, 2)
+    seen = []
+    for n in (5, 500):
+        batch, y = [np.concatenate([[0], rng.integers(1, 40, 30), [0]]) for _ in range(n)], rng.integers(0, 2, n)
+        Counted.rows = 0
+        N.gradient(batch, y, {**p, "filter": p["filter"].view(Counted)})
+        seen.append(Counted.rows)
+    assert seen[0] == seen[1]  # products with the filters, whatever the number of texts
+
+
 def test_word_order_counts():
     p = N.initial(TINY, 2)
     a, b = (N.forward(np.array([0, *ids, 0]), p)[0] for ids in ((3, 7, 9, 4), (3, 9, 7, 4)))

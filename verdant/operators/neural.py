@@ -64,39 +64,54 @@ def initial(s: Settings, classes: int) -> Parameters:
             "filter_bias": np.zeros(s.filters), "out": rng.standard_normal((s.filters, classes)) * s.filters ** -0.5, "out_bias": np.zeros(classes)}
 
 
-def windows(ids: np.ndarray, at: np.ndarray, embedding: np.ndarray) -> np.ndarray:
-    """The embedded neighbourhoods of the words at these places, one row each.
-    ``ids`` has a 0 before and after the text, so word i stands at i + 1."""
-    return np.hstack([embedding[ids[at + j]] for j in range(WINDOW)])
+def responses(p: Parameters) -> list[np.ndarray]:
+    """What each word at each place of a window adds to each filter's response:
+    WINDOW tables of buckets x filters.  A window's response is a sum of WINDOW of
+    their rows, so no text is multiplied with the filters."""
+    size = p["embedding"].shape[1]
+    return [p["embedding"] @ p["filter"][j * size:(j + 1) * size] for j in range(WINDOW)]
 
 
-def strongest(ids: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
-    """Each filter's largest response over a text and where it is (the first place)."""
-    n = len(ids) - 2
-    best, where = np.full(len(p["filter_bias"]), -np.inf), np.zeros(len(p["filter_bias"]), dtype=np.int64)
+def strongest(ids: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's largest response (without bias) over a text and where it is (the first place).
+    ``ids`` has a 0 before and after the text, so word i stands at i + 1."""
+    n, filters = len(ids) - 2, tables[0].shape[1]
+    best, where = np.full(filters, -np.inf), np.zeros(filters, dtype=np.int64)
     for lo in range(0, n, STRETCH):
-        z = windows(ids, np.arange(lo, min(n, lo + STRETCH)), p["embedding"]) @ p["filter"]
+        hi = min(n, lo + STRETCH)
+        z = tables[0].take(ids[lo:hi], axis=0)
+        for j in range(1, WINDOW):
+            z += tables[j].take(ids[lo + j:hi + j], axis=0)
         at = z.argmax(axis=0)
-        top = z[at, np.arange(z.shape[1])]
+        top = z[at, np.arange(filters)]
         where, best = np.where(top > best, at + lo, where), np.maximum(best, top)
-    return best + p["filter_bias"], where
+    return best, where
 
 
-def forward(ids: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class probabilities, features, and where the filters fire, of one text's padded ids."""
-    features, where = strongest(ids, p) if len(ids) > 2 else (np.zeros(p["out"].shape[0]), np.zeros(p["out"].shape[0], np.int64))
-    features = np.maximum(features, 0)
+def forward(ids: np.ndarray, p: Parameters, tables: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class probabilities, features, and where the filters fire, of one text's
+    padded ids.  ``tables``: the ``responses`` of the parameters, made once for many texts."""
+    if len(ids) > 2:
+        features, where = strongest(ids, responses(p) if tables is None else tables)
+        features = np.maximum(features + p["filter_bias"], 0)
+    else:
+        features, where = np.zeros(p["out"].shape[0]), np.zeros(p["out"].shape[0], np.int64)
     z = features @ p["out"] + p["out_bias"]
     e = np.exp(z - z.max())
     return e / e.sum(), features, where
 
 
-def gradient(texts: Sequence[np.ndarray], y: np.ndarray, p: Parameters) -> tuple[float, int, Parameters]:
-    """Sum of the log losses of padded id arrays, right answers, and the loss's gradient."""
+def gradient(texts: Sequence[np.ndarray], y: np.ndarray, p: Parameters, tables: list[np.ndarray] | None = None) -> tuple[float, int, Parameters]:
+    """Sum of the log losses of padded id arrays, right answers, and the loss's
+    gradient.  A text only marks which words its filters fired at; the products
+    with the embedding and the filters are taken once for all texts."""
     g = {k: np.zeros_like(v) for k, v in p.items()}
+    tables = responses(p) if tables is None else tables
+    size, each = p["embedding"].shape[1], np.arange(len(p["filter_bias"]))
+    fired = [np.zeros_like(t) for t in tables]  # by place: (word, filter), the loss's derivative there
     loss, right = 0.0, 0
     for ids, label in zip(texts, y):
-        prob, features, where = forward(ids, p)
+        prob, features, where = forward(ids, p, tables)
         loss -= np.log(max(prob[label], 1e-300))
         right += int(prob.argmax() == label)
         d = prob.copy()
@@ -107,10 +122,12 @@ def gradient(texts: Sequence[np.ndarray], y: np.ndarray, p: Parameters) -> tuple
             continue
         back = (p["out"] @ d) * (features > 0)
         g["filter_bias"] += back
-        g["filter"] += (windows(ids, where, p["embedding"]) * back[:, None]).T
-        below = (p["filter"] * back).T.reshape(len(back), WINDOW, -1)
         for j in range(WINDOW):
-            np.add.at(g["embedding"], ids[where + j], below[:, j])
+            fired[j][ids[where + j], each] += back  # one cell a filter: none comes twice
+    for j, s in enumerate(fired):
+        own = slice(j * size, (j + 1) * size)
+        g["filter"][own] = p["embedding"].T @ s
+        g["embedding"] += s @ p["filter"][own].T
     g["embedding"][0] = 0
     return loss, right, g
 
@@ -157,8 +174,9 @@ class TextModel:
         two = len(self.classes) == 2
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = responses(sent.value)
             for b in batches:
-                probs = [forward(ids, sent.value)[0] for ids in padded(b)]
+                probs = [forward(ids, sent.value, tables)[0] for ids in padded(b)]
                 best = [int(x.argmax()) for x in probs]
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in keep), pa.array(best, pa.int32()), pa.array([float(x[1] if two else x[k]) for x, k in zip(probs, best)], pa.float64())],
@@ -196,10 +214,12 @@ class Adam:
 def summed_gradient(rows: DataFrame, p: Parameters) -> tuple[float, float, float, np.ndarray]:
     """Loss, right answers, number of rows and flat gradient of rows(y, ids): one job."""
     sent = rows.sparkSession.sparkContext.broadcast(p)
+    tables: list[np.ndarray] = []  # of a task, made for its first batch
 
     def of_batch(b: pa.RecordBatch) -> list[np.ndarray]:
+        tables.extend(() if tables else responses(sent.value))
         texts, y = padded(b), b.column("y").to_numpy()
-        loss, right, g = gradient(texts, y, sent.value)
+        loss, right, g = gradient(texts, y, sent.value, tables)
         return [np.concatenate([[loss, right, len(y)], flat(g)])]
 
     try:
@@ -212,11 +232,13 @@ def summed_gradient(rows: DataFrame, p: Parameters) -> tuple[float, float, float
 def evaluated(rows: DataFrame, p: Parameters, classes: int) -> tuple[float, np.ndarray]:
     """Loss, and the confusion cells (true, predicted) of rows(y, ids): one job."""
     sent = rows.sparkSession.sparkContext.broadcast(p)
+    tables: list[np.ndarray] = []  # of a task, made for its first batch
 
     def of_batch(b: pa.RecordBatch) -> list[np.ndarray]:
+        tables.extend(() if tables else responses(sent.value))
         cells, loss = np.zeros((classes, classes)), 0.0
         for ids, label in zip(padded(b), b.column("y").to_pylist()):
-            prob = forward(ids, sent.value)[0]
+            prob = forward(ids, sent.value, tables)[0]
             loss -= np.log(max(prob[label], 1e-7))
             cells[label, prob.argmax()] += 1
         return [np.append(cells.ravel(), loss)]
