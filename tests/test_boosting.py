@@ -121,3 +121,16 @@ def test_edge_cases(spark):
     with pytest.raises(ValueError, match="gain"):
         B.Settings(gain="none")
     assert B.scale_for(10) == 2.0 ** 30 and B.scale_for(2 ** 40) * 2 ** 40 <= 2 ** 62
+
+
+def test_a_level_takes_tasks_by_its_rows(spark, monkeypatch):
+    files, sums = [], B.level_sums
+    monkeypatch.setattr(B, "level_sums", lambda rows, *a: files.append(len(rows.inputFiles())) or sums(rows, *a))
+    s = B.Settings(rounds=2, depth=2)
+    x, y = data(5)
+    many = B.fit(frame(spark, x, y, 7), NAMES, settings=s)
+    assert set(files) == {1}
+    monkeypatch.setattr(B, "TASK_ROWS", 40)
+    files.clear()
+    assert B.fit(frame(spark, x, y), NAMES, settings=s).to_json() == many.to_json()
+    assert set(files) == {90 // 40 + 1}

@@ -5,7 +5,8 @@ grows level by level: one grouped aggregate per level gives, for every (node,
 feature, bin), the sums of gradient and Hessian and the number of rows; the best
 cut of every node follows from these few sums on the driver.  Rows never move:
 each task sums its own rows first, so the shuffle carries at most nodes x
-features x bins rows a task.
+features x bins rows a task.  Tasks follow the rows (``TASK_ROWS`` each), so a level over
+few rows is one task however many partitions the session asks for.
 
 Gradients and Hessians are summed as whole numbers (multiples of 2^-30, coarser
 only beyond 2^32 rows), so the sums, and with them the trees, don't depend on how rows
@@ -39,6 +40,8 @@ from ..session import scratch_path, ship_package
 
 BINS = 255
 WRITE_EVERY = 10
+#: rows that one task of a level takes: a level is a short job, so it gets tasks by its rows, not by the session's partitions
+TASK_ROWS = 1 << 16
 LEAST_GAIN = 1e-9
 
 
@@ -211,7 +214,9 @@ def level_sums(rows: DataFrame, model: BoostedTrees, tree: Tree, level: int, col
 
     ship_package(rows.sparkSession)
     parts = rows.mapInArrow(run, "node int, feature int, bin int, n long, g long, h long")
-    return parts.groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "g", "h")])
+    # nodes x columns x bins rows a task at most: they meet in few partitions whatever the session's number
+    few = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes)
+    return parts.repartition(few, "node", "feature", "bin").groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "g", "h")])
 
 
 def best_cut(sums: np.ndarray, columns: Sequence[int], s: Settings) -> tuple[float, int, int, np.ndarray, np.ndarray] | None:
@@ -330,7 +335,7 @@ def fit(rows: DataFrame, features: Sequence[str], label: str = "y_true", key: st
     if not n:
         return model
     scale = scale_for(n)
-    now = _written(binned_rows(rows, model, label, key))
+    now = _written(binned_rows(rows, model, label, key).repartition(n // TASK_ROWS + 1))
     first = 0
     for number in range(s.rounds):
         def sums_of(tree, level, columns, now=now, first=first):
