@@ -34,6 +34,12 @@ def test_rare_word_branch_equals_broadcast(spark, monkeypatch):
     assert plain_ids[-1][1] == [1] and plain_ids[-2][1] == [1]   # empty texts keep their row
 
 
+def test_decoder_reads_written_ids(spark):
+    from verdant.plans.queries import QUERIES
+    read = QUERIES["cap_vocabulary"](spark, SF).inputFiles()
+    assert read and not any("documents.parquet" in x for x in read)   # no text is encoded again
+
+
 def test_bounded_ids_equal_unbounded_with_cap(spark, monkeypatch):
     docs = TB.table(spark, SF, "documents").select("doc_id", "text")
     index = FT.fit_word_index(docs).cache()

@@ -145,14 +145,15 @@ def _decode_sql(cap: int | None) -> str:
 
 
 def _encoded(spark, sf):
-    # text shuffled once by document: the id sequences are then assembled
-    # without shuffling the (much larger) word rows
-    docs = by_doc(TB.table(spark, sf, "documents").select("doc_id", "text"))
-    # read by the encoder and the decoder (hot and rare parts each); the ranked
-    # rows are already written once inside the rank, so each read is a scan of
-    # that copy plus a broadcast of partition offsets
-    index = FT.fit_word_index(docs, with_oov=False)
-    return FT.encode_reviews(docs, index), index
+    # the index needs no order by document, so it reads the table as it lies; the ranked
+    # rows are written once inside the rank, so each later read is a scan of that
+    # copy plus a broadcast of partition offsets
+    raw = TB.table(spark, sf, "documents").select("doc_id", "text")
+    index = FT.fit_word_index(raw, with_oov=False)
+    # text shuffled once by document: the id sequences are then assembled without
+    # shuffling the (much larger) word rows, and written, for the decoder reads
+    # them for its hot and its rare words
+    return bucketed_table(FT.encode_reviews(by_doc(raw), index), "doc_id", "encoded"), index
 
 
 @query("decode_reviews", W(_decode_sql(None), ["doc_id", "text"]))
