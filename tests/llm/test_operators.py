@@ -501,3 +501,59 @@ def test_sketch_never_overrates(spark):
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(-2**62, 2**62, rng.integers(1, 40))]))
         bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(jaccard.sketch(a), jaccard.sketch(b)))
         assert bits <= len(np.setxor1d(a, b))
+
+
+def test_described_batches_are_few_rows_and_count_repeats(monkeypatch):
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from verdant.llm.shingles import ROWS, sets_of
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(12))) for _ in range(3 * ROWS)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(jaccard, "arrow_map", lambda df, fn, schema: fn)
+    monkeypatch.setattr("verdant.llm.bpe._CACHES", {("there", "bytes"): "kept by an encoding task"})
+    monkeypatch.setattr("verdant.llm.bpe._ENCODERS", {})
+    out = list(jaccard.describe(None, 3)(iter([batch])))
+    assert not __import__("verdant.llm.bpe", fromlist=["_CACHES"])._CACHES
+    assert max(b.num_rows for b in out) <= ROWS
+    assert [d for b in out for d in b.column(0).to_pylist() if d is not None] == list(range(len(texts)))
+    last = out[-1].to_pylist()
+    assert [r["n"] for r in last] == [-1]
+    want = {x: m for x, m in Counter(int(x) for s in sets_of(batch.column(1), 3) for x in s).items() if m > 1}
+    assert dict(zip(last[0]["shingles"], last[0]["counts"])) == want
+    values, counts = jaccard.repeats([np.array([3, 1], np.int64), np.array([1], np.int64), np.array([2, 1, 2], np.int64)])
+    assert (values.tolist(), counts.tolist()) == ([1, 2], [3, 2])
+    assert [x.tolist() for x in jaccard.repeats([np.array([7], np.int64)])] == [[], []]
+
+
+def test_profiles_hold_the_ngrams_of_few_texts(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from verdant.llm import language
+
+    caught, plain = [], language.arrow_map
+    monkeypatch.setattr(language, "arrow_map", lambda df, fn, schema: caught.append(fn) or plain(df, fn, schema))
+    language.profiles(spark.createDataFrame([("x", "one text")], "lang string, text string"))
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(150)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    tracemalloc.start()
+    for _ in caught[0](iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 100, peak
+
+
+def test_kept_rows_with_a_text_that_is_no_string(spark):
+    rows = [(2, b"a b c d e f"), (1, b"a b c d e f"), (3, b"x y z"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text binary")
+    got = jaccard.keep_first(df, 3, 90)
+    assert got.schema == df.schema
+    assert sorted((r.doc_id, r.text and bytes(r.text)) for r in got.collect()) == [(1, b"a b c d e f"), (3, b"x y z"), (4, None)]

@@ -415,6 +415,13 @@ def piece_cache(path: str, kind: str, make, join) -> PieceCache:
     return _CACHES[path, kind]
 
 
+def forget() -> None:
+    """Lets go of what this worker process keeps for encoding; called by the steps
+    that may come after it in the same process."""
+    _CACHES.clear()
+    _ENCODERS.clear()
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per document."""
     where = path or default_path()

@@ -41,9 +41,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import arrow_map, discard, free_name, join_groups, one_per, table, written
+from .bpe import forget
+from .common import arrow_map, discard, free_name, join_groups, one_per, slices, table, written
 from .components import components
 from .shingles import ROWS, SHINGLE, digest, mixed, sets_of
 
@@ -109,6 +110,20 @@ def sketch(s: np.ndarray) -> list[int]:
     return np.packbits(cells.astype(np.uint8)).view(np.int64).tolist()
 
 
+def repeats(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values that the parts hold twice or more, ascending, and how often.  The
+    parts go into one array that is sorted where it lies; the list is emptied."""
+    every, at = np.empty(sum(map(len, parts)), np.int64), 0
+    while parts:
+        part = parts.pop()
+        every[at:at + len(part)] = part
+        at += len(part)
+    every.sort()
+    edge = np.diff((every[1:] == every[:-1]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return every[first], (last - first + 1).astype(np.int32)
+
+
 def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, n, digest, lows (min-hashes), sketch.  Per batch one more
     row (digest null, n -1) with the shingles of several of its documents and
@@ -118,25 +133,26 @@ def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         names = ["doc_id", "n", "digest", "lows", "sketch", "shingles", "counts"]
+        forget()
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         for b in batches:
-            rows, every = [], []
-            for doc_id, s in zip(b.column(0).to_pylist(), sets_of(b.column(1), k)):
-                lows, bits = None, None
-                if len(s):
-                    bits = sketch(s)
-                    with np.errstate(over="ignore"):
-                        lows = [int(mixed(s.view(np.uint64) + x).min().view(np.int64)) for x in salts]
-                    every.append(s)
-                rows.append((doc_id, len(s), digest(s), lows, bits, None, None))
+            every: list[np.ndarray] = []
+            for lo in range(0, b.num_rows, ROWS):
+                rows, part = [], []
+                for doc_id, s in zip(b.column(0).slice(lo, ROWS).to_pylist(), sets_of(b.column(1).slice(lo, ROWS), k)):
+                    lows, bits = None, None
+                    if len(s):
+                        bits = sketch(s)
+                        with np.errstate(over="ignore"):
+                            lows = [int(mixed(s.view(np.uint64) + x).min().view(np.int64)) for x in salts]
+                        part.append(s)
+                    rows.append((doc_id, len(s), digest(s), lows, bits, None, None))
+                if part:
+                    every.append(np.concatenate(part))
+                yield made(rows)
             if every:
-                every = np.concatenate(every)
-                every.sort()
-                first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-                count = np.diff(np.append(first, len(every)))
-                often = count > 1
-                rows.append((None, -1, None, None, None, every[first[often]], count[often].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names) if rows else \
-                pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=names)
+                shingles, counts = repeats(every)
+                yield made([(None, -1, None, None, None, shingles, counts)])
 
     return arrow_map(docs, run, "doc_id long, n int, digest binary, lows array<long>, sketch array<long>, shingles array<long>, counts array<int>")
 
@@ -150,11 +166,11 @@ def set_rows(docs: DataFrame, wanted: DataFrame, name: str, k: int = SHINGLE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            some = b.filter(pa.array(has_bit(bits, b.column(1).to_numpy())))
+            wanted_rows = np.flatnonzero(has_bit(bits, b.column(1).to_numpy()))
             seen: set[bytes] = set()  # copies within the batch: many texts may share the null id
-            for lo in range(0, some.num_rows, ROWS):
+            for lo in range(0, len(wanted_rows), ROWS):
                 names, sets = [], []
-                for x in sets_of(some.column(0).slice(lo, ROWS), k):
+                for x in sets_of(b.column(0).take(pa.array(wanted_rows[lo:lo + ROWS])), k):
                     name = digest(x)
                     if name is not None and name not in seen and has_bit(digests, np.array([int.from_bytes(name[:4], "big")]))[0]:
                         seen.add(name)
@@ -370,12 +386,19 @@ def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     gone = written(tied.join(first, "root").where("digest != first").select(F.col("digest").alias(key)), "jac_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [digest(x) for x in sets_of(b.column(b.num_columns - 1), k)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.binary())], names=[*b.schema.names[:-1], own_set])
+        for b in slices(batches, ROWS):
+            own = [digest(x) for x in sets_of(b.column(at), k)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(own, pa.binary())], names=[*b.schema.names[:width], own_set])
 
     schema = StructType([*docs.schema.fields, StructField(own_set, BinaryType())])
-    marked = arrow_map(docs.withColumn(text, F.col("text").cast("string")), run, schema)
+    # the text goes to the workers once: as it is, or as a string beside it
+    width = len(docs.columns)
+    at = next(i for i, f in enumerate(docs.schema.fields) if f.name.lower() == "text")
+    if docs.schema.fields[at].dataType == StringType():
+        marked = arrow_map(docs, run, schema)
+    else:
+        at = width
+        marked = arrow_map(docs.withColumn(text, F.col("text").cast("string")), run, schema)
     own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.hex("text"), F.lit("-")))
     keyed = marked.withColumn(key, F.coalesce(own_set, F.unhex(F.sha2(own.cast("binary"), 256))))
     # one row a class first, then the classes that go: many rows of a class never meet in one task

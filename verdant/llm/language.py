@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import arrow_map, crc_bucket, slices, table
 
 PROFILE = 300
@@ -67,6 +68,7 @@ def profiles(docs: DataFrame, k: int = PROFILE) -> dict[str, np.ndarray]:
     """Each language's k most frequent n-grams over docs(lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: dict[str, dict[int, int]] = {}
 
         def flush(lang: str) -> pa.RecordBatch:
@@ -74,7 +76,7 @@ def profiles(docs: DataFrame, k: int = PROFILE) -> dict[str, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(sums), pa.string()), pa.array(list(sums), pa.int64()),
                                                pa.array(list(sums.values()), pa.int64())], names=["lang", "gram", "n"])
 
-        for b in batches:
+        for b in slices(batches):  # the n-grams of a few texts at a time
             parts: dict[str, list] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 parts.setdefault(lang, []).append(grams(text.as_py() or ""))

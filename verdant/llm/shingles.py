@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 3
-SEGMENT = 1 << 19  # bytes hashed at once
+SEGMENT = 1 << 16  # bytes hashed at once: numpy takes some 100 bytes for each of them
 ROWS = 512  # texts held as Python strings at once
 SPACES = b" \t\n\x0b\x0c\r"
 _SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, dtype=np.uint8))
