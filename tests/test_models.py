@@ -205,3 +205,46 @@ def test_member_sets_need_every_member(spark):
         E.majority_mode(s, models=["a", "b"]).collect()
     assert E.ensemble_votes(s, sets.where("ensemble = 'alone'")).count() == 4
     assert E.ensemble_votes(s.where("doc_id = 1"), sets).count() == 4
+
+
+ODD_TEXTS = ["Good good day", "caf\u00e9 CAF\u00c9 stra\u00dfe \u4f60\u597d \u4e16\u754c", "", None, "a b c", "x_1 22 x_1 22", "good day stra\u00dfe", "\u0130stanbul good-day"]
+
+
+def test_terms_counted_in_tasks_equal_counts_by_document(spark):
+    from verdant.operators import features as T
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "doc_id long, text string").repartition(3)
+    by_doc = T.doc_terms(docs.where("text is not null"), ngram_max=2).collect()
+    want = {}
+    for r in by_doc:
+        want[r.term] = want.get(r.term, 0) + r.tf
+    chosen = T.choose_terms(docs, 1000).orderBy("term_index").collect()
+    assert {r.term: r["count"] for r in chosen} == want
+    terms = [r.term for r in chosen][::2]
+    counted = T.count_vectors(docs, terms)
+    got = {r.doc_id: dict(zip(r["index"], r.tf)) for r in counted.collect()}
+    assert all(list(v) == sorted(v) for v in got.values())
+    assert {(d, terms[i]): n for d, v in got.items() for i, n in v.items()} == {(r.doc_id, r.term): r.tf for r in by_doc if r.term in terms}
+    assert set(got) == set(range(len(ODD_TEXTS)))
+    assert {r.doc_id: (r["index"], r.tf) for r in T.count_vectors(docs, []).collect()} == {i: ([], []) for i in range(len(ODD_TEXTS))}
+
+
+def test_naive_bayes_inside_rows_equals_the_one_by_terms(spark):
+    import dataclasses
+
+    from verdant.plans import classic
+
+    words = "good bad day night film book slow fast".split()
+    rows = [(i, " ".join(words[(i * k + k) % 8] for k in range(1, 5 + i % 4)), i % 2) for i in range(120)]
+    # ids that repeat, rows without an id, a repeated id without any term
+    rows += [(7, "good film", 1), (7, "bad book", 0), (None, "good good", 1), (None, "bad", 0), (200, "", 0), (200, "", 0), (201, "", 1)]
+    split = spark.createDataFrame([(*r, ("train", "test", "val")[n % 3] if r[0] != 7 else "test") for n, r in enumerate(rows)],
+                                  "doc_id long, text string, label int, split string")
+    p = classic.prepare(None, split=classic.bucketed_table(split, "doc_id", "split"))
+    assert p.rows is not None
+    scored = classic.nb_scores(p, ("val", "test"))
+    shown = lambda df: sorted((str(r.doc_id), r.split, r.y_true, r.y_pred, round(r.prob, 9)) for r in df.collect())
+    assert shown(scored) == shown(classic.nb_scores(dataclasses.replace(p, rows=None), ("val", "test")))
+    single = classic.prepare(None, split=classic.bucketed_table(split.where("doc_id is not null and doc_id != 7 and doc_id < 200"), "doc_id", "split"))
+    # no term row is made to score documents of one row
+    assert "Generate" not in classic.nb_scores(single, ("val", "test"))._jdf.queryExecution().executedPlan().toString()

@@ -13,13 +13,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .features import MAX_BROADCAST_TERMS
 
 
@@ -102,8 +105,12 @@ def predict_naive_bayes(weights: DataFrame, docs: DataFrame, log_prob: DataFrame
                    .groupBy("doc_id", "class").agg(F.sum(F.col("weight") * F.col("flp")).alias("_s"))
                    .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("class", "_s"))).alias("_m")))
     scored = docs.select(*keep).join(sums, "doc_id", "left")
-    score_cols = [F.lit(float(priors.get(c, float("-inf")))) + F.coalesce(F.col("_m")[F.lit(c)], F.lit(0.0))
-                  for c in classes]
+    return _decided(scored, [F.coalesce(F.col("_m")[F.lit(c)], F.lit(0.0)) for c in classes], priors, classes, keep)
+
+
+def _decided(scored: DataFrame, sums: Sequence[Column], priors: dict, classes: Sequence, keep) -> DataFrame:
+    """(keep..., y_pred, prob) of rows with one sum a class."""
+    score_cols = [F.lit(float(priors.get(c, float("-inf")))) + s for c, s in zip(classes, sums)]
     scored = scored.withColumn("_sc", F.array(*score_cols))
     best = F.array_position(F.col("_sc"), F.array_max("_sc")).cast("int")
     y = F.element_at(F.array(*[F.lit(c) for c in classes]), best)
@@ -114,6 +121,35 @@ def predict_naive_bayes(weights: DataFrame, docs: DataFrame, log_prob: DataFrame
     return scored.select(*keep, yc.alias("y_pred"), F.exp(target - lse).alias("prob"))
 
 
+def predict_rows(rows: DataFrame, log_prob: DataFrame, prior: DataFrame, vocab: DataFrame, classes: Sequence,
+                 keep=("doc_id", "label")) -> DataFrame:
+    """``predict_naive_bayes`` for rows(keep..., index, value) that hold all terms of
+    their document: the sums are made inside the row from a broadcast (class x term)
+    array, so no term row is exploded, joined or grouped."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    classes = sorted(classes)
+    priors = {r["class"]: r["prior"] for r in prior.collect()}
+    number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class")).cast("int") - 1
+    got = (log_prob.join(F.broadcast(vocab.select("term", "term_index")), "term")
+           .select(number.alias("at"), "term_index", "flp").toArrow())  # classes x terms
+    table = np.zeros((len(classes), got.num_rows // len(classes)))
+    table[got.column("at").to_numpy(), got.column("term_index").to_numpy()] = got.column("flp").to_numpy()
+    sent = spark.sparkContext.broadcast(table)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index, value = b.column("index").flatten().to_numpy(), b.column("value").flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), b.column("index").value_lengths().to_numpy(zero_copy_only=False))
+            sums = np.column_stack([np.bincount(row, weights=value * t[index], minlength=b.num_rows) for t in sent.value])
+            offsets = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], names=[*keep, "_s"])
+
+    scored = rows.select(*keep, "index", "value").mapInArrow(run, f"{kept}, _s array<double>")
+    return _decided(scored, [F.col("_s")[i] for i in range(len(classes))], priors, classes, keep)
+
+
 # ------------------------------------------------------------------ C1/C3/C5
 MODEL_NAMES = ("logreg", "svm", "nb")
 

@@ -16,11 +16,14 @@ Scale notes
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel, NGram
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,10 @@ MAX_BROADCAST_TERMS = 2_000_000
 # a vocabulary of at most so many terms is looked up inside each document
 MAX_LOCAL_TERMS = 200_000
 HOT_WORDS = 100_000
+# distinct terms that a task adds up before it hands them on
+HELD_TERMS = 1 << 18
+# ``TOKEN_PATTERN`` for ASCII texts
+ASCII_WORDS = re.compile(r"[A-Za-z0-9_]{2,}")
 
 
 def _bounded(df: DataFrame, bound: int | None) -> DataFrame:
@@ -101,39 +108,78 @@ def fit_vocabulary(train_terms: DataFrame, max_features: int | None = 50000, n_d
     return vocab
 
 
+def readable(df: DataFrame, text_col: str, keep=()) -> DataFrame:
+    """(keep..., plain, words): the normalised text if it is ASCII, else its word
+    tokens.  For ASCII a word pattern means the same to Java and to Python."""
+    low = df.select(*keep, normalise(F.col(text_col)).alias("_low"))
+    plain = F.octet_length("_low") == F.length("_low")
+    return low.select(*keep, F.when(plain, F.col("_low")).alias("plain"), F.when(~plain, word_tokens(F.col("_low"))).alias("words"))
+
+
+def grams_of(b: pa.RecordBatch, ngram_max: int) -> Iterator[list[str]]:
+    """All 1..ngram_max grams of each row(..., plain, words), unigrams first."""
+    for plain, words in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+        words = ASCII_WORDS.findall(plain) if plain is not None else words or []
+        out = words
+        for n in range(2, ngram_max + 1):
+            out = out + list(map(" ".join, zip(*(words[i:] for i in range(n)))))
+        yield out
+
+
+def few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of a few rows, so that few texts are Python strings at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def choose_terms(train: DataFrame, max_features: int, text_col: str = "text", ngram_max: int = 2) -> DataFrame:
     """(term, count, term_index): the terms that ``fit_vocabulary`` keeps.  A
-    term's total count needs no counts by document: the n-grams go straight into
-    the aggregate by term."""
-    grams = with_ngrams(train.select(text_col), text_col, ngram_max)
-    counts = (grams.select(F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
-                   .groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("count")))
+    term's total count needs no counts by document: each task adds up its texts'
+    n-grams, at most ``HELD_TERMS`` and those of a few texts at a time, and Spark
+    adds up by term."""
+    ship_package(train.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        for b in few(batches):
+            for terms in grams_of(b, ngram_max):
+                held.update(terms)
+            if len(held) > HELD_TERMS:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
+                held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
+
+    counts = (readable(train, text_col).mapInArrow(run, "term string, n long")
+              .groupBy("term").agg(F.sum("n").cast("long").alias("count")))
     kept = top_k_by_count(cut_lineage(counts), max_features, "count", "term")
     return kept.withColumn("term_index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))  # max_features rows
 
 
 def count_vectors(df: DataFrame, terms: list[str], text_col: str = "text", ngram_max: int = 2, keep=("doc_id",)) -> DataFrame:
     """(keep..., index, tf): each row's counts of ``terms`` (positions ascending).
-    The counting happens inside the row (Spark's ``CountVectorizerModel``); no term
+    The counting happens inside the row, in a broadcast table of the terms; no term
     row is exploded, grouped or joined."""
-    grams = with_ngrams(df.select(*keep, text_col), text_col, ngram_max)
-    grams = grams.select(*keep, F.coalesce("_terms", F.array().cast("array<string>")).alias("_terms"))
-    if not terms:
-        return grams.select(*keep, F.array().cast("array<int>").alias("index"), F.array().cast("array<bigint>").alias("tf"))
-    model = CountVectorizerModel.from_vocabulary(terms, inputCol="_terms", outputCol="_v")
-    counted = model.transform(grams).select(*keep, "_v")
-    ship_package(df.sparkSession)
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.select(*keep).schema.fields)
-    return counted.mapInArrow(sparse_entries, f"{kept}, index array<int>, tf array<bigint>")
-
-
-def sparse_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column, a sparse vector of counts, as its positions and counts."""
-    for b in batches:
-        v = b.column(b.num_columns - 1)
-        tf = v.field("values")
-        tf = pa.ListArray.from_arrays(tf.offsets, tf.values.cast(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], v.field("indices"), tf], names=[*b.schema.names[:-1], "index", "tf"])
+    spark = df.sparkSession
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # max_features entries
+    width = max(len(terms), 1)
+    read = readable(df, text_col, keep)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.select(*keep).schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in few(batches):
+            found = [[i for i in map(known.get, grams) if i is not None] for grams in grams_of(b, ngram_max)]
+            row = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
+            flat = np.fromiter(chain.from_iterable(found), np.int64, len(row))
+            cell, tf = np.unique(row * width + flat, return_counts=True)
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(cell // width, minlength=b.num_rows))), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-2], pa.ListArray.from_arrays(offsets, pa.array((cell % width).astype(np.int32))),
+                 pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int64)))], names=[*b.schema.names[:-2], "index", "tf"])
+
+    return read.mapInArrow(run, f"{kept}, index array<int>, tf array<bigint>")
 
 
 def document_frequencies(counts: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:

@@ -117,17 +117,37 @@ def long_weights(rows: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def nb_scores(p: Prepared, splits=("train", "val", "test"), alpha: float = 1.0) -> DataFrame:
-    train_w = p.weights.where(F.col("split") == "train")
-    train_docs = p.split.where(F.col("split") == "train").select("doc_id", "label")
-    log_prob, prior = C.fit_naive_bayes(train_w, train_docs, p.vocab, p.classes, alpha=alpha)
+    train = F.col("split") == "train"
+    train_docs = p.split.where(train).select("doc_id", "label")
     docs = p.split.where(F.col("split").isin(list(splits))).select("doc_id", "label", "split")
-    w = p.weights.where(F.col("split").isin(list(splits)))
-    pred = C.predict_naive_bayes(w, docs, log_prob, prior, p.classes, p.max_features,
-                                 keep=("doc_id", "label", "split"), term_counts=p.vocab)
+    local = p.rows is not None and p.max_features * len(p.classes) <= T.MAX_BROADCAST_TERMS
+    # sums by feature number first: a term's name joins one row a class
+    train_w = class_totals(p.rows.where(train), p.vocab) if local else p.weights.where(train)
+    log_prob, prior = C.fit_naive_bayes(train_w, train_docs, p.vocab, p.classes, alpha=alpha)
+
+    def by_terms(docs: DataFrame, w: DataFrame) -> DataFrame:
+        return C.predict_naive_bayes(w, docs, log_prob, prior, p.classes, p.max_features, keep=KEEP, term_counts=p.vocab)
+
+    if not local:
+        pred = by_terms(docs, p.weights.where(F.col("split").isin(list(splits))))
+    else:
+        pred = C.predict_rows(p.rows.where("single").where(F.col("split").isin(list(splits))), log_prob, prior, p.vocab, p.classes, KEEP)
+        # rows that share a doc_id (or have none) have the terms of all
+        others = docs.join(p.rows.where("single").select("doc_id"), "doc_id", "left_anti").select(*KEEP)
+        if not others.isEmpty():
+            more = long_weights(p.rows.where("not single"), p.vocab).where(F.col("split").isin(list(splits)))
+            pred = pred.unionByName(by_terms(others, more))
     return pred.select(F.lit("nb").alias("model"), "split", "doc_id", F.col("label").cast("int").alias("y_true"),
                        "y_pred", "prob")
 
 
+def class_totals(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(label, term, weight): the total weight of each term by label."""
+    entries = rows.select("label", F.explode(F.arrays_zip("index", "value")).alias("_e"))
+    sums = entries.groupBy("label", F.col("_e.index").alias("term_index")).agg(F.sum("_e.value").alias("weight"))
+    return sums.join(F.broadcast(vocab.select("term_index", "term")), "term_index").select("label", "term", "weight")
+
+
 def vector_rows(p: Prepared) -> tuple[DataFrame, int]:
     """(doc_id, label, split, y, index, value) of every document, y its class
     number, and the number of features.  Built from the TF-IDF table and written
