@@ -422,6 +422,22 @@ def test_chunks_give_the_words_of_the_piece(library):
         assert [i for x in got for i in x] == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_packing_keeps_each_word_once_and_no_rule_tables(library):
+    path = bpe.default_path()
+    bpe.forget()
+    known = bpe.piece_cache(path, "bytes", packing.word_bytes(path), b"".join, 40)
+    rng = random.Random(12)
+    for _ in range(300):
+        text = " ".join(rng.choice(["{}", "{},", "É{}", "X{}", "'{}", "{}'s", "\0{}", "<|endoftext|>{}"]).format(f"ab{rng.randrange(60)}") for _ in range(12))
+        got = array.array("I", b"".join(known.values(text))).tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids, text
+        assert len(known.known) <= 40 and len(known.words) <= 40
+    known.values("plain words, Plain Words")
+    assert not [w for w in known.words if w.isascii() and w[0] != "\0"]
+    assert "merges" not in vars(bpe.encoder(path))  # 45 MB that packing has no use for
+    bpe.forget()
+
+
 def test_personal_data_in_long_runs():
     import time
     for text in ("a" * 10**6 + "@", "@" + "b" * 10**6, "1" * 10**6, "1." * 5 * 10**5, "1" * 10**6 + ".2.3.4", "a@" * 5 * 10**5, "+1" + " " * 10**6, "x" * 10**6 + "@" + "1" * 10**6):

@@ -28,6 +28,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
@@ -264,14 +265,21 @@ class Encoder:
     """Text to words to tokens, with a bounded memory of words seen."""
 
     def __init__(self, path: str):
-        self.merges = Merges(path)
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            self.special: dict[str, int] = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         from tokenizers.normalizers import NFC, Lowercase, Sequence
         self.chunk = re.compile(f"[^{SPACES}]+").findall
         self.near, self.far = word_pattern(NEAR).findall, None
         self.normal = Sequence([NFC(), Lowercase()]).normalize_str
         self.table = str.maketrans({chr(b): s for b, s in byte_symbols().items()})
-        self.split = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")").split
-        self.marks = tuple({s[:2] for s in self.merges.special})
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
+        self.marks = tuple({s[:2] for s in self.special})
+
+    @cached_property
+    def merges(self) -> Merges:
+        """The rule tables, some 45 MB: made when a word is first encoded by them."""
+        return Merges(self.path)
 
     def words(self, text: str) -> list[str]:
         """Words of a piece; special tokens stand as they are (they hold upper
@@ -303,8 +311,8 @@ class Encoder:
 
     def ids(self, word: str, encode=None) -> list[int]:
         """Ids of a word by the merges here, or by another encoder of symbols."""
-        if word[0] == "\0" and word[1:] in self.merges.special:
-            return [self.merges.special[word[1:]]]
+        if word[0] == "\0" and word[1:] in self.special:
+            return [self.special[word[1:]]]
         return (encode or self.merges.encode_word)(self.symbols(word))
 
 
@@ -371,13 +379,13 @@ class WordCache(dict):
     """word -> value of its encoding; missing words are encoded, long words are
     not kept, and a full cache starts anew."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = CACHE_WORDS):
+        self.make, self.most = make, most
 
     def __missing__(self, word: str):
         value = self.make(word)
         if len(word) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = value
         return value
@@ -386,32 +394,38 @@ class WordCache(dict):
 class PieceCache:
     """Values of a piece's words, looked up by white-space chunk: a chunk (a word
     with its punctuation, as written) stands for its normalised words' values,
-    put together by ``join``."""
+    put together by ``join``.  An ASCII word is a chunk that stands for itself, so it
+    is kept once; ``words`` has the others."""
 
-    def __init__(self, enc: Encoder, make, join):
+    def __init__(self, enc: Encoder, make, join, most: int = CACHE_WORDS):
         self.enc = enc
-        words, near, plain = WordCache(make), enc.near, enc._plain
+        near, plain = enc.near, enc._plain
 
         def together(chunk: str):
             found = near(chunk.lower()) if chunk.isascii() else plain(chunk)
-            return words[found[0]] if len(found) == 1 else join([words[w] for w in found])
+            if len(found) != 1:
+                return join([self.word(w) for w in found])
+            return make(chunk) if found[0] == chunk and chunk.isascii() else self.word(found[0])
+
+        self.words, self.known = WordCache(make, most), WordCache(together, most)
 
-        self.words, self.known = words, WordCache(together)
+    def word(self, word: str):
+        return (self.known if word.isascii() and word[0] != "\0" else self.words)[word]
 
     def values(self, piece: str) -> list:
         chunks = self.enc.chunks(piece)
         if chunks is None:
-            return [self.words[w] for w in self.enc.words(piece)]
+            return [self.word(w) for w in self.enc.words(piece)]
         return list(map(self.known.__getitem__, chunks))
 
 
 _CACHES: dict[tuple[str, str], PieceCache] = {}
 
 
-def piece_cache(path: str, kind: str, make, join) -> PieceCache:
+def piece_cache(path: str, kind: str, make, join, most: int = CACHE_WORDS) -> PieceCache:
     """The cache of one kind of values, kept by the worker process from task to task."""
     if (path, kind) not in _CACHES:
-        _CACHES[path, kind] = PieceCache(encoder(path), make, join)
+        _CACHES[path, kind] = PieceCache(encoder(path), make, join, most)
     return _CACHES[path, kind]
 
 

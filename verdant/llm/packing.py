@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder, piece_cache, pieces
-from .common import arrow_map, table
+from .common import arrow_map, slices, table
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 BUFFER_TOKENS = 1 << 21
+#: words kept with their ids per worker: the library's model makes a missing one fast
+CACHED = 200_000
 #: tokens of one training step per group
 STEP_TOKENS = 1 << 17
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -134,10 +136,16 @@ class Packer:
 
 
 def word_bytes(path: str):
-    """The ids of a word as bytes, by the library's own model."""
-    from tokenizers import Tokenizer
-    enc, tokenize = encoder(path), Tokenizer.from_file(path).model.tokenize
-    by_library = lambda symbols: [t.id for t in tokenize(symbols)]
+    """The ids of a word as bytes, by the library's own model; it is read with the
+    first word, as a task that finds the worker's cache needs no model of its own."""
+    enc, model = encoder(path), []
+
+    def by_library(symbols: str) -> list[int]:
+        if not model:
+            from tokenizers import Tokenizer
+            model.append(Tokenizer.from_file(path).model)
+        return [t.id for t in model[0].tokenize(symbols)]
+
     return lambda word: array("I", enc.ids(word, by_library)).tobytes()
 
 
@@ -148,7 +156,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
     where = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = piece_cache(where, "bytes", word_bytes(where), b"".join)
+        known = piece_cache(where, "bytes", word_bytes(where), b"".join, CACHED)
         part = TaskContext.get().partitionId() << 40
         packer, held, number, sequences = Packer(tiers), {}, 0, 0
         filled: dict[int, int] = {}
@@ -177,7 +185,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
 
         waiting = 0
         own: list[list] = []
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = b"".join([x for p in pieces(text.as_py() or "") for x in known.values(p)])
                 ids += array("I", [END_ID]).tobytes()
