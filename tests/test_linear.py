@@ -165,3 +165,35 @@ def test_passes_take_the_entries_as_bytes(spark, monkeypatch):
     monkeypatch.setattr(L, "one_pass", lambda r, *a: seen.append(r.schema["value"].dataType.typeName()) or plain(r, *a))
     L.fit(rows, [L.Problem("logistic", 2)], 3)
     assert seen and set(seen) == {"binary"}
+
+
+def test_passes_read_the_row_groups_of_the_files(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = sparse(rng, 600, 40)
+    y = rng.integers(0, 2, 600)
+    monkeypatch.setattr(L, "GROUP_BYTES", 20_000)
+    rows = L.packed(frame(spark, x, y))
+    groups = L.groups_of(rows)
+    named = [(r.file, r.row_group) for r in groups.collect()]
+    assert len(set(named)) == len(named) > len({f for f, _ in named}) > 1  # several groups a file
+    requests = [(p, (kind, rng.standard_normal((1, 41)), rng.standard_normal((1, 41)))) for p in PROBLEMS[:2] for kind in (L.VALUE, L.CURVE)]
+    for (a, u), (b, v) in zip(L.one_pass(rows, requests, 40), L.one_pass(rows, requests, 40, groups)):
+        assert a == pytest.approx(b, rel=1e-12) and np.allclose(u, v, rtol=1e-12, atol=1e-12)
+    assert L.groups_of(L.packed(frame(spark, x, y).where("false"))) is None or not L.one_pass(rows, requests[:1], 40, L.groups_of(L.packed(frame(spark, x, y).where("false"))))[0][1].any()
+
+    seen = []
+    plain = L.summed
+    monkeypatch.setattr(L, "summed", lambda rows, *a: seen.append(rows.columns) or plain(rows, *a))
+    (fitted,) = L.fit(frame(spark, x, y), PROBLEMS[:1], 40)
+    assert seen and all(c == ["file", "row_group"] for c in seen)
+    # where Arrow can't open the folder, Spark reads the rows
+
+    class Closed:
+        @staticmethod
+        def from_uri(uri):
+            raise OSError("no such file system")
+
+    monkeypatch.setattr(L.pafs, "FileSystem", Closed)
+    seen.clear()
+    (again,) = L.fit(frame(spark, x, y), PROBLEMS[:1], 40)
+    assert all("value" in c for c in seen) and np.allclose(again["coefficients"], fitted["coefficients"], atol=1e-9)

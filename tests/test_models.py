@@ -248,3 +248,38 @@ def test_naive_bayes_inside_rows_equals_the_one_by_terms(spark):
     single = classic.prepare(None, split=classic.bucketed_table(split.where("doc_id is not null and doc_id != 7 and doc_id < 200"), "doc_id", "split"))
     # no term row is made to score documents of one row
     assert "Generate" not in classic.nb_scores(single, ("val", "test"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_counted_as_numbers_equal_counts_of_strings():
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    from verdant.operators import features as T
+
+    rng = random.Random(4)
+    for ngram_max in (1, 2, 3):
+        texts = [[rng.choice("good bad day x_1 straße night".split()) for _ in range(rng.randrange(9))] for _ in range(40)]
+        want = [Counter(" ".join(t[i:i + n]) for n in range(1, ngram_max + 1) for i in range(len(t) - n + 1)) for t in texts]
+        number = T.Numbers()
+        held = [np.array([number[w] for w in t], np.int64) for t in texts]
+        got = [r for b in T.gram_counts(held, list(number), ngram_max) for r in zip(b.column("term").to_pylist(), b.column("n").to_pylist())]
+        assert len(got) == len(dict(got)) and dict(got) == sum(want, Counter())
+        # every second term, so that some are there only as the beginning of others; longer ones don't count
+        terms = sorted(dict(got))[::2] + ["good " * 3 + "day", "never seen"]
+        row, at = T.Grams.of(terms, ngram_max).found(texts)
+        assert Counter(zip(row.tolist(), at.tolist())) == {(i, j): c[t] for i, c in enumerate(want) for j, t in enumerate(terms) if c[t]}
+    assert [len(x) for x in T.Grams.of([], 2).found([["good"], []])] == [0, 0]
+
+
+def test_tasks_hand_on_counts_at_a_bound(spark, monkeypatch):
+    """However many words a task holds at once, the counts are those of all texts."""
+    from verdant.operators import features as T
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS * 5)], "doc_id long, text string").repartition(2)
+    counted = {}
+    for bound in (1, 7, 1 << 20):
+        monkeypatch.setattr(T, "HELD_WORDS", bound)
+        counted[bound] = sorted((r.term, r["count"]) for r in T.choose_terms(docs, 1000, ngram_max=3).collect())
+    assert counted[1] == counted[7] == counted[1 << 20] and ("good good day", 5) in counted[1]

@@ -17,12 +17,13 @@ Scale notes
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ MAX_BROADCAST_TERMS = 2_000_000
 # a vocabulary of at most so many terms is looked up inside each document
 MAX_LOCAL_TERMS = 200_000
 HOT_WORDS = 100_000
-# distinct terms that a task adds up before it hands them on
-HELD_TERMS = 1 << 18
+# words that a task holds as numbers before it hands on their n-grams' counts
+HELD_WORDS = 1 << 20
 # ``TOKEN_PATTERN`` for ASCII texts
 ASCII_WORDS = re.compile(r"[A-Za-z0-9_]{2,}")
 
@@ -116,14 +117,18 @@ def readable(df: DataFrame, text_col: str, keep=()) -> DataFrame:
     return low.select(*keep, F.when(plain, F.col("_low")).alias("plain"), F.when(~plain, word_tokens(F.col("_low"))).alias("words"))
 
 
-def grams_of(b: pa.RecordBatch, ngram_max: int) -> Iterator[list[str]]:
-    """All 1..ngram_max grams of each row(..., plain, words), unigrams first."""
+def words_of(b: pa.RecordBatch) -> Iterator[list[str]]:
+    """The words of each row(..., plain, words)."""
     for plain, words in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-        words = ASCII_WORDS.findall(plain) if plain is not None else words or []
-        out = words
-        for n in range(2, ngram_max + 1):
-            out = out + list(map(" ".join, zip(*(words[i:] for i in range(n)))))
-        yield out
+        yield ASCII_WORDS.findall(plain) if plain is not None else words or []
+
+
+def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all texts in one array, the text of each, and how many
+    words its text still has from there on."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    flat = np.concatenate([np.empty(0, np.int64), *texts])
+    return flat, np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
 
 
 def few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -133,22 +138,49 @@ def few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Recor
             yield b.slice(lo, rows)
 
 
+class Numbers(dict):
+    """Numbers words from 0 on, in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def gram_counts(texts: list[np.ndarray], words: list[str], ngram_max: int) -> Iterator[pa.RecordBatch]:
+    """(term, n): how often each 1..ngram_max gram is in texts of word numbers.  An
+    n-gram is counted as the number of its first n - 1 words and that of its last;
+    only distinct ones become strings."""
+    flat, _, left = laid_out(texts)
+    names = grams = pa.array(words, pa.string())
+    code, distinct, counts = flat, np.arange(len(words)), np.bincount(flat, minlength=len(words))
+    for n in range(1, ngram_max + 1):
+        if n > 1:
+            at = np.flatnonzero(left >= n)  # a text ends before its last n - 1 words begin another
+            key = code[at] * len(words) + flat[at + n - 1]
+            distinct, counts = np.unique(key, return_counts=True)
+            grams = pc.binary_join_element_wise(grams.take(pa.array(distinct // max(len(words), 1))), names.take(pa.array(distinct % max(len(words), 1))), " ")
+            if n < ngram_max:
+                code = np.zeros(len(flat), np.int64)
+                code[at] = np.searchsorted(distinct, key)
+        yield pa.RecordBatch.from_arrays([grams, pa.array(counts, pa.int64())], names=["term", "n"])
+
+
 def choose_terms(train: DataFrame, max_features: int, text_col: str = "text", ngram_max: int = 2) -> DataFrame:
     """(term, count, term_index): the terms that ``fit_vocabulary`` keeps.  A
-    term's total count needs no counts by document: each task adds up its texts'
-    n-grams, at most ``HELD_TERMS`` and those of a few texts at a time, and Spark
-    adds up by term."""
+    term's total count needs no counts by document: each task adds up the n-grams
+    of ``HELD_WORDS`` words at a time as numbers, and Spark adds up by term."""
     ship_package(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        number, held, size = Numbers(), [], 0
         for b in few(batches):
-            for terms in grams_of(b, ngram_max):
-                held.update(terms)
-            if len(held) > HELD_TERMS:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
-                held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
+            for words in words_of(b):
+                held.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                size += len(words)
+                if size >= HELD_WORDS:
+                    yield from gram_counts(held, list(number), ngram_max)
+                    number, held, size = Numbers(), [], 0
+        yield from gram_counts(held, list(number), ngram_max)
 
     counts = (readable(train, text_col).mapInArrow(run, "term string, n long")
               .groupBy("term").agg(F.sum("n").cast("long").alias("count")))
@@ -156,23 +188,70 @@ def choose_terms(train: DataFrame, max_features: int, text_col: str = "text", ng
     return kept.withColumn("term_index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))  # max_features rows
 
 
+@dataclass
+class Grams:
+    """Terms as a tree of words, for look-ups by number.  ``levels``: for each number
+    of words, the sorted keys (code of all words but the last x words + number of the last)
+    and the term's position, -1 where only longer terms begin so; a code is a place in the keys."""
+
+    number: dict[str, int]
+    first: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, terms: list[str], ngram_max: int) -> Grams:
+        number = Numbers()
+        parts = [[number[w] for w in t.split(" ")] for t in terms]
+        first = np.full(len(number), -1, np.int64)
+        for i, p in enumerate(parts):
+            if len(p) == 1:
+                first[p[0]] = i
+        levels, code = [], {(w,): w for w in range(len(number))}
+        for n in range(2, min(max(map(len, parts), default=1), ngram_max) + 1):
+            key = {tuple(p[:n]): code[tuple(p[:n - 1])] * len(number) + p[n - 1] for p in parts if len(p) >= n}
+            keys = np.array(sorted(key.values()), np.int64)
+            code = {p: int(np.searchsorted(keys, k)) for p, k in key.items()}
+            position = np.full(len(keys), -1, np.int64)
+            for i, p in enumerate(parts):
+                if len(p) == n:
+                    position[code[tuple(p)]] = i
+            levels.append((keys, position))
+        return cls(dict(number), first, levels)
+
+    def found(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The text and the position of every term in the texts, repeats included."""
+        flat, row, left = laid_out([np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words)) for words in texts])
+        at = np.flatnonzero(flat >= 0)
+        code = flat[at]
+        rows, terms = [row[at]], [self.first[code]]
+        for n, (keys, position) in enumerate(self.levels, 2):
+            more = np.flatnonzero(left[at] >= n)
+            at, code = at[more], code[more]
+            last = flat[at + n - 1]
+            key = code * len(self.number) + last
+            code = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            known = np.flatnonzero((last >= 0) & (keys[code] == key))
+            at, code = at[known], code[known]
+            rows.append(row[at])
+            terms.append(position[code])
+        row, term = np.concatenate(rows), np.concatenate(terms)
+        return row[term >= 0], term[term >= 0]
+
+
 def count_vectors(df: DataFrame, terms: list[str], text_col: str = "text", ngram_max: int = 2, keep=("doc_id",)) -> DataFrame:
     """(keep..., index, tf): each row's counts of ``terms`` (positions ascending).
-    The counting happens inside the row, in a broadcast table of the terms; no term
-    row is exploded, grouped or joined."""
+    The counting happens inside the row, in a broadcast tree of the terms' words; no term
+    row is exploded, grouped or joined, and no n-gram becomes a string."""
     spark = df.sparkSession
     ship_package(spark)
-    sent = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # max_features entries
+    sent = spark.sparkContext.broadcast(Grams.of(terms, ngram_max))  # max_features entries
     width = max(len(terms), 1)
     read = readable(df, text_col, keep)
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for b in few(batches):
-            found = [[i for i in map(known.get, grams) if i is not None] for grams in grams_of(b, ngram_max)]
-            row = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
-            flat = np.fromiter(chain.from_iterable(found), np.int64, len(row))
+            row, flat = sent.value.found(list(words_of(b)))
             cell, tf = np.unique(row * width + flat, return_counts=True)
             offsets = pa.array(np.append(0, np.cumsum(np.bincount(cell // width, minlength=b.num_rows))), pa.int32())
             yield pa.RecordBatch.from_arrays(

@@ -13,7 +13,7 @@ gradients, so it only ever needs a value with its gradient, or the Hessian times
 a direction, at given coefficients.  Each problem is a generator that asks for one
 of the two; one pass over the rows answers the open requests of *all* problems.
 The rows are written once with their entries as bytes (``packed``).  A pass is one
-Spark job over them: coefficients go out as a broadcast (their number is
+Spark job over them, whose tasks read the files' row groups themselves (``groups_of``): coefficients go out as a broadcast (their number is
 bounded by ``MAX_COEFFICIENTS``), each task adds up its rows' part, and the parts
 are added up in a second stage (``vectors.summed``).
 """
@@ -25,6 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from ..session import scratch_path, ship_package
 from .vectors import summed
 
 MAX_COEFFICIENTS = 20_000_000
+# bytes of a row group of the packed rows
+GROUP_BYTES = 16 << 20
 VALUE, CURVE = "value", "curve"
 
 Request = tuple[str, np.ndarray, np.ndarray | None]
@@ -158,31 +162,39 @@ def newton(shape: tuple[int, int], mask: np.ndarray, tol: float, max_iter: int)
 
 def batch_parts(b: pa.RecordBatch, requests: list[tuple[Problem, Request]], features: int) -> list[tuple[float, np.ndarray]]:
     """(value or 0, gradient or Hessian-vector part) of each request over one batch."""
-    y, index, value, row = rows_of(b)
+    y, index, value, sizes = entries(b)
+    index = index.astype(np.int64)  # once, not at every look-up
     out = []
     for problem, (kind, w, d) in requests:
-        z = outputs(index, value, row, len(y), w)
+        z = outputs(index, value, sizes, w)
         loss = 0.0
         if kind == VALUE:
             loss, r = problem.value(z, y)
         else:
-            r = problem.curve(z, outputs(index, value, row, len(y), d), y)
+            r = problem.curve(z, outputs(index, value, sizes, d), y)
         part = np.empty((w.shape[0], features + 1))
         for k in range(w.shape[0]):
-            part[k, :-1] = np.bincount(index, weights=value * r[row, k], minlength=features)
+            part[k, :-1] = np.bincount(index, weights=value * np.repeat(r[:, k], sizes), minlength=features)
             part[k, -1] = r[:, k].sum()
         out.append((loss, part))
     return out
 
 
-def rows_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class numbers, and the entries of the sparse rows (arrays, or ``packed``): index, value, row."""
+def entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class numbers, the entries of the sparse rows (arrays, or ``packed``), index
+    and value, and how many each row has."""
     if pa.types.is_list(b.column("index").type):
         index, sizes = b.column("index").flatten().to_numpy(), b.column("index").value_lengths().to_numpy(zero_copy_only=False)
         value = b.column("value").flatten().to_numpy()
     else:
         (index, sizes), (value, _) = numbers_of(b.column("index"), np.int32), numbers_of(b.column("value"), np.float64)
-    return b.column("y").to_numpy(), index, value, np.repeat(np.arange(b.num_rows), sizes)
+    return b.column("y").to_numpy(), index, value, sizes
+
+
+def rows_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class numbers, and the entries of the sparse rows: index, value, row."""
+    y, index, value, sizes = entries(b)
+    return y, index, value, np.repeat(np.arange(b.num_rows), sizes)
 
 
 def numbers_of(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -214,23 +226,59 @@ def packed(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("y"), *cols], names=["y", "index", "value"])
 
     path = scratch_path(spark, "packed")
-    rows.select("y", "index", "value").mapInArrow(run, "y int, index binary, value binary").write.parquet(path)
+    # hardly two rows are alike: as they are, in groups that a task reads one after another
+    (rows.select("y", "index", "value").mapInArrow(run, "y int, index binary, value binary").write
+     .option("compression", "none").option("parquet.enable.dictionary", "false").option("parquet.block.size", GROUP_BYTES).parquet(path))
     return spark.read.schema("y int, index binary, value binary").parquet(path)
 
 
-def outputs(index: np.ndarray, value: np.ndarray, row: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.bincount(row, weights=value * k[index], minlength=n) + k[-1] for k in w])
-
-
-def one_pass(rows: DataFrame, requests: list[tuple[Problem, Request]], features: int) -> list[tuple[float, np.ndarray]]:
-    """Answers of all requests over rows(y, index, value): one job."""
+def groups_of(rows: DataFrame) -> DataFrame | None:
+    """(file, row_group) of every row group of the files under ``packed`` rows, dealt
+    evenly to the tasks; None where Arrow can't open their folder.  A pass over these
+    reads the bytes in the task itself, past Spark's rows."""
+    spark = rows.sparkSession
+    groups = []
+    try:
+        for uri in rows.inputFiles():  # at most one for each task that wrote
+            fs, path = pafs.FileSystem.from_uri(uri)
+            with fs.open_input_file(path) as f:
+                groups += [(uri, g) for g in range(pq.ParquetFile(f).num_row_groups)]
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    tasks = max(min(len(groups), spark.sparkContext.defaultParallelism), 1)
+    return spark.createDataFrame(spark.sparkContext.parallelize(groups, tasks), "file string, row_group int")
+
+
+def read_groups(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of the row groups named by b(file, row_group), a few at a time."""
+    for uri, group in zip(b.column("file").to_pylist(), b.column("row_group").to_pylist()):
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_file(path) as f:
+            yield from pq.ParquetFile(f).iter_batches(1024, row_groups=[group])
+
+
+def outputs(index: np.ndarray, value: np.ndarray, sizes: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(rows x outputs): each row's sum of value * coefficient, and the intercept."""
+    some = np.flatnonzero(sizes)
+    begin = np.cumsum(sizes)[some] - sizes[some]
+    z = np.zeros((len(sizes), len(w)))
+    if len(some):
+        for j, k in enumerate(w):
+            z[some, j] = np.add.reduceat(k.take(index) * value, begin)
+    return z + w[:, -1]
+
+
+def one_pass(rows: DataFrame, requests: list[tuple[Problem, Request]], features: int, groups: DataFrame | None = None) -> list[tuple[float, np.ndarray]]:
+    """Answers of all requests over rows(y, index, value): one job.  With ``groups``
+    of the files of the rows, the tasks read these."""
     sent = rows.sparkSession.sparkContext.broadcast(requests)
 
     def of_batch(b: pa.RecordBatch) -> list[np.ndarray]:
         return [np.append(part.ravel(), loss) for loss, part in batch_parts(b, sent.value, features)]
 
+    sizes = [w.size + 1 for _, (_, w, _) in requests]
     try:
-        flat = summed(rows, of_batch, [w.size + 1 for _, (_, w, _) in requests])
+        flat = summed(rows, of_batch, sizes) if groups is None else summed(groups, of_batch, sizes, read_groups)
     finally:
         sent.destroy()
     return [(float(x[-1]), x[:-1].reshape(w.shape)) for x, (_, (_, w, _)) in zip(flat, requests)]
@@ -248,11 +296,12 @@ def fit(rows: DataFrame, problems: Sequence[Problem], features: int, tol: float
     asked: dict[int, Request] = {i: next(g) for i, g in running.items()}
     done: dict[int, dict] = {}
     rows = packed(rows)
+    groups = groups_of(rows)
     while asked:
         order = sorted(asked)
         if passes is not None:
             passes.append(len(order))
-        answers = one_pass(rows, [(problems[i], asked[i]) for i in order], features)
+        answers = one_pass(rows, [(problems[i], asked[i]) for i in order], features, groups)
         for i, (loss, part) in zip(order, answers):
             kind, w, _ = asked[i]
             reply = (loss + 0.5 * float((masks[i] * w * w).sum()), part + masks[i] * w) if kind == VALUE else part
@@ -308,9 +357,9 @@ def score(rows: DataFrame, models: Sequence[LinearModel], keep: Sequence[str]) -
         for b in batches:
             if not b.num_rows:
                 continue
-            y, index, value, row = rows_of(b)
+            _, index, value, sizes = entries(b)
             for m in sent.value:
-                choice, prob = m.decide(outputs(index, value, row, b.num_rows, m.coefficients))
+                choice, prob = m.decide(outputs(index, value, sizes, m.coefficients))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([m.name] * b.num_rows), *(b.column(c) for c in keep), pa.array(choice.astype(np.int32)),
                      pa.array(prob, mask=np.isnan(prob))], names=["model", *keep, "choice", "prob"])

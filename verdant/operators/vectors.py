@@ -8,6 +8,7 @@ not by the rows or the number of tasks, and the driver gets each sum once.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +25,20 @@ def _record(vector: Sequence[int], chunk: Sequence[int], part: Sequence[np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(vector, pa.int32()), pa.array(chunk, pa.int32()), pa.array(part, pa.list_(pa.float64()))], names=NAMES)
 
 
-def summed(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], list[np.ndarray]], sizes: Sequence[int]) -> list[np.ndarray]:
+def summed(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], list[np.ndarray]], sizes: Sequence[int],
+           opened: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None = None) -> list[np.ndarray]:
     """The sums over all Arrow batches of the flat vectors that ``of_batch`` gives
-    (one of each size); zeros without rows.  One job."""
+    (one of each size); zeros without rows.  One job.  ``opened``: the batches that a
+    batch of ``rows`` stands for, if these only name them."""
     spark = rows.sparkSession
     ship_package(spark)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for b in batches:
+        for b in batches if opened is None else chain.from_iterable(map(opened, batches)):
             if b.num_rows:
                 own = of_batch(b)
-                total = own if total is None else [x + y for x, y in zip(total, own)]
+                total = own if total is None else [np.add(x, y, out=x) for x, y in zip(total, own)]
         for i, flat in enumerate(total or ()):
             cut = [flat[lo:lo + CHUNK] for lo in range(0, len(flat), CHUNK)]
             yield _record([i] * len(cut), range(len(cut)), cut)
