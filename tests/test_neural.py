@@ -118,3 +118,15 @@ def test_layout_and_edge_cases(spark, split, tmp_path):
     assert none[2] == 0 and not none[3].any()
     run = N.train(split.where("split = 'train' and label = 1"), [1], ModelStore(spark, str(tmp_path)), "one", TINY)
     assert {r.choice for r in run.model.score(split, ["doc_id"]).collect()} == {0}
+
+
+def test_places_are_found_in_runs_and_only_if_asked_for():
+    rng = np.random.default_rng(7)
+    for n in (1, 15, 16, 17, 100):
+        z = rng.integers(0, 4, (n, 9)).astype(float)  # many ties: the first place counts
+        at, top = N.first_largest(z)
+        assert (at == z.argmax(axis=0)).all() and (top == z.max(axis=0)).all()
+    p = N.initial(TINY, 2)
+    for t in texts(rng, 20):
+        whole, without = N.forward(t, p), N.forward(t, p, None, False)
+        assert (whole[0] == without[0]).all() and (whole[1] == without[1]).all() and not without[2].any()

@@ -38,6 +38,7 @@ from .vectors import summed
 
 WINDOW = 3
 STRETCH = 16384
+RUN = 16
 
 
 @dataclass(frozen=True)
@@ -72,9 +73,10 @@ def responses(p: Parameters) -> list[np.ndarray]:
     return [p["embedding"] @ p["filter"][j * size:(j + 1) * size] for j in range(WINDOW)]
 
 
-def strongest(ids: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Each filter's largest response (without bias) over a text and where it is (the first place).
-    ``ids`` has a 0 before and after the text, so word i stands at i + 1."""
+def strongest(ids: np.ndarray, tables: list[np.ndarray], places: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's largest response (without bias) over a text and, if ``places`` are
+    asked for, where it is (the first place).  ``ids`` has a 0 before and after the
+    text, so word i stands at i + 1."""
     n, filters = len(ids) - 2, tables[0].shape[1]
     best, where = np.full(filters, -np.inf), np.zeros(filters, dtype=np.int64)
     for lo in range(0, n, STRETCH):
@@ -82,17 +84,38 @@ def strongest(ids: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np
         z = tables[0].take(ids[lo:hi], axis=0)
         for j in range(1, WINDOW):
             z += tables[j].take(ids[lo + j:hi + j], axis=0)
-        at = z.argmax(axis=0)
-        top = z[at, np.arange(filters)]
+        if not places:
+            best = np.maximum(best, z.max(axis=0))
+            continue
+        at, top = first_largest(z)
         where, best = np.where(top > best, at + lo, where), np.maximum(best, top)
     return best, where
 
 
-def forward(ids: np.ndarray, p: Parameters, tables: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class probabilities, features, and where the filters fire, of one text's
-    padded ids.  ``tables``: the ``responses`` of the parameters, made once for many texts."""
+def first_largest(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each column's largest value, and the value.  The largest of
+    each ``RUN`` rows say in which of these runs to look."""
+    whole, each = len(z) // RUN, np.arange(z.shape[1])
+    if not whole:
+        at = z.argmax(axis=0)
+        return at, z[at, each]
+    runs = z[:whole * RUN].reshape(whole, RUN, -1).max(axis=1)
+    begin = runs.argmax(axis=0) * RUN
+    at = begin + z[begin + np.arange(RUN)[:, None], each].argmax(axis=0)
+    top = z[at, each]
+    if len(z) > whole * RUN:
+        rest = z[whole * RUN:]
+        last = rest.argmax(axis=0)
+        high = rest[last, each]
+        at, top = np.where(high > top, last + whole * RUN, at), np.maximum(top, high)
+    return at, top
+
+
+def forward(ids: np.ndarray, p: Parameters, tables: list[np.ndarray] | None = None, places: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class probabilities, features, and where the filters fire (if ``places`` are asked
+    for), of one text's padded ids.  ``tables``: the ``responses`` of the parameters, made once for many texts."""
     if len(ids) > 2:
-        features, where = strongest(ids, responses(p) if tables is None else tables)
+        features, where = strongest(ids, responses(p) if tables is None else tables, places)
         features = np.maximum(features + p["filter_bias"], 0)
     else:
         features, where = np.zeros(p["out"].shape[0]), np.zeros(p["out"].shape[0], np.int64)
@@ -176,7 +199,7 @@ class TextModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = responses(sent.value)
             for b in batches:
-                probs = [forward(ids, sent.value, tables)[0] for ids in padded(b)]
+                probs = [forward(ids, sent.value, tables, False)[0] for ids in padded(b)]
                 best = [int(x.argmax()) for x in probs]
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in keep), pa.array(best, pa.int32()), pa.array([float(x[1] if two else x[k]) for x, k in zip(probs, best)], pa.float64())],
@@ -238,7 +261,7 @@ def evaluated(rows: DataFrame, p: Parameters, classes: int) -> tuple[float, np.n
         tables.extend(() if tables else responses(sent.value))
         cells, loss = np.zeros((classes, classes)), 0.0
         for ids, label in zip(padded(b), b.column("y").to_pylist()):
-            prob = forward(ids, sent.value, tables)[0]
+            prob = forward(ids, sent.value, tables, False)[0]
             loss -= np.log(max(prob[label], 1e-7))
             cells[label, prob.argmax()] += 1
         return [np.append(cells.ravel(), loss)]
